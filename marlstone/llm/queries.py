@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from marlstone.llm import mixing, sharding
+from marlstone.llm import decontaminate, licenses, mixing, quality, sharding
 
 QUERIES = {
+    "op2_line_quality": quality.op2_line_quality,
+    "op5_benchmark_windows": decontaminate.op5_benchmark_windows,
     "op7_rendezvous_sharding": sharding.op7_rendezvous_sharding,
+    "op8_license_diagonals": licenses.op8_license_diagonals,
     "op9_source_mixing": mixing.op9_source_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_line_quality": quality.SQL,
+    "op5_benchmark_windows": decontaminate.SQL,
+}

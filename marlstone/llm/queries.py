@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from marlstone.llm import decontaminate, licenses, mixing, quality, sharding
+from marlstone.llm import decontaminate, licenses, mixing, quality, sharding, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op2_line_quality": quality.op2_line_quality,
+    "op3_column_transform": suffix_dedup.op3_column_transform,
     "op5_benchmark_windows": decontaminate.op5_benchmark_windows,
+    "op6_fm_index": substring_dedup.op6_fm_index,
     "op7_rendezvous_sharding": sharding.op7_rendezvous_sharding,
     "op8_license_diagonals": licenses.op8_license_diagonals,
     "op9_source_mixing": mixing.op9_source_mixing,
@@ -14,5 +16,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_line_quality": quality.SQL,
+    "op3_column_transform": suffix_dedup.op3_column_transform,
     "op5_benchmark_windows": decontaminate.SQL,
 }

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import SPACE_WORD, table, text_or_empty, written
+from marlstone.llm.shared import space_words, table, text_or_empty, written
 
 
 def water_fill(sizes: Mapping[str | None, int], weights: Mapping[str | None, float], total: float, most: float) -> dict:
@@ -176,7 +176,7 @@ def cycled(weights: Sequence[float]):
 
 
 def count_words() -> Column:
-    return F.regexp_count(text_or_empty(), F.lit(SPACE_WORD)).cast("long")
+    return F.size(space_words(text_or_empty())).cast("long")
 
 
 def mix_documents(docs: DataFrame, size: Column) -> DataFrame:

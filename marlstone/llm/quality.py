@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import BLANKS, table, text_or_empty
+from marlstone.llm.shared import BLANKS, space_words, table
 
 SYMBOLS = "#*$%&|<>"
 #: Stock phrases of web pages, in lower case.
@@ -33,6 +33,8 @@ BOILERPLATE = (
     "subscribe to our newsletter",
     "click here to",
 )
+#: Marks that set the parts of a menu apart.
+BARS = ("|", "»", ">", "›", "•", "·")
 #: Words of menus, in lower case.
 MENU_WORDS = ("home", "menu", "login", "logout", "sign in", "sign up", "register", "search", "next", "previous", "back", "share", "print", "contact", "about us", "sitemap", "skip to content", "read more")
 
@@ -45,20 +47,40 @@ def _count_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(_without(text, chars))
 
 
+def _any_of(text: Column, parts) -> Column:
+    out = F.lit(False)
+    for part in parts:
+        out = out | text.contains(part)
+    return out
+
+
+def _has_words(line: Column) -> Column:
+    return F.length(F.btrim(line, F.lit(BLANKS))) > 0
+
+
+def with_text_flags(df: DataFrame, text: str) -> DataFrame:
+    """Facts about a whole text that spare its lines a rule: without a symbol in the text, no line
+    has one."""
+    low = F.lower(F.col(text))
+    return (
+        df.withColumn("_sym", F.col(text).rlike(f"[{SYMBOLS}{{}}!]"))
+        .withColumn("_bar", _any_of(F.col(text), BARS))
+        .withColumn("_stock", _any_of(low, {p.split(" ")[-1 if p != "click here to" else 0] for p in BOILERPLATE}))
+    )
+
+
 def line_fails(line: Column) -> Column:
-    """Whether a line breaks one of the three rules. A line without words does not."""
-    low = F.lower(line)
+    """Whether a line breaks one of the three rules, given the flags of its text. A line without
+    words breaks none. Cheap conditions come first: the rest is then not computed."""
     bare = F.length(_without(line, BLANKS))
-    symbols = _count_of(line, SYMBOLS + "{}") + _count_of(line, "!") / 2
-    noisy = symbols * 10 > bare
+    symbols = _count_of(line, SYMBOLS + "{}") + (F.length(line) - F.length(F.replace(line, F.lit("!"), F.lit("")))) / 2
+    noisy = F.col("_sym") & (symbols * 10 > bare)
     unmarked = ~line.rlike(r"[^\w\s]") & (F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= 12)
     bars = F.regexp_count(line, F.lit(r"(?:^|[ \t])(?:\||»|>|›|•|·)(?=$|[ \t])"))
-    menu = (bars >= 2) & (bars * 40 > bare)
-    only_menu = F.trim(F.regexp_replace(low, "[^a-z ]+", " ")).isin(*MENU_WORDS)
-    stock = F.lit(False)
-    for phrase in BOILERPLATE:
-        stock = stock | low.contains(phrase)
-    return (bare > 0) & (noisy | stock | menu | only_menu | unmarked)
+    menu = F.col("_bar") & (bars >= 2) & (bars * 40 > bare)
+    only_menu = (F.octet_length(line) < 30) & F.trim(F.regexp_replace(F.lower(line), "[^a-z ]+", " ")).isin(*MENU_WORDS)
+    stock = F.col("_stock") & _any_of(F.lower(line), BOILERPLATE)
+    return _has_words(line) & (unmarked | only_menu | noisy | menu | stock)
 
 
 def with_repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
@@ -72,10 +94,12 @@ def with_repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
     df = df.withColumn("_p", F.zip_with(F.col(words), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
     df = df.withColumn("_p", F.zip_with(F.col("_p"), F.slice(words, F.lit(3), n), lambda a, b: F.xxhash64(a, b)))
     df = df.withColumn("_p", F.slice("_p", F.lit(1), F.greatest(n - 2, F.lit(0))))
-    df = df.withColumn("_p", F.array_sort(F.transform("_p", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    # most texts repeat no window: nothing to sort
+    df = df.withColumn("_p", F.when(F.size(F.array_distinct("_p")) < F.size("_p"), F.col("_p")).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn("_p", F.sort_array(F.transform("_p", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     df = df.withColumn("_e", F.zip_with("_p", F.slice("_p", F.lit(2), F.size("_p")), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))))
     df = df.withColumn("_d", F.zip_with("_e", F.concat(F.array(F.lit(False)), F.col("_e")), lambda a, b: F.coalesce(a, F.lit(False)) | b))
-    df = df.withColumn("_p", F.array_sort(F.array_compact(F.zip_with("_p", F.slice("_d", F.lit(1), F.size("_p")), lambda p, d: F.when(d, p["i"])))))
+    df = df.withColumn("_p", F.sort_array(F.array_compact(F.zip_with("_p", F.slice("_d", F.lit(1), F.size("_p")), lambda p, d: F.when(d, p["i"])))))
     gaps = F.zip_with("_p", F.slice("_p", F.lit(2), F.size("_p")), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
     return df.withColumn(out, F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)).drop("_p", "_e", "_d")
 
@@ -87,12 +111,11 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     names of the figures are replaced; other columns stay.
     """
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    blank = F.trim(F.translate(value, BLANKS, " " * len(BLANKS)))
-    df = df.withColumn("_t", value).withColumn("_w", F.when(F.length(blank) > 0, F.split(blank, " +")).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("_t", value).withColumn("_w", space_words(value))
     df = df.withColumn("n_words", F.size("_w").cast("long"))
     df = df.withColumn("word_chars", F.length(_without(F.col("_t"), BLANKS)).cast("long"))
-    df = df.withColumn("n_symbols", _count_of(F.col("_t"), SYMBOLS).cast("long"))
-    df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.length(_without(x, BLANKS)) > 0))
+    df = df.withColumn("n_symbols", F.when(F.col("_t").rlike(f"[{SYMBOLS}]"), _count_of(F.col("_t"), SYMBOLS)).otherwise(0).cast("long"))
+    df = df.withColumn("_l", F.filter(F.split("_t", "\n"), _has_words))
     df = df.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
     df = with_repeated_words(df, "_w", "n_repeat_words")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
@@ -104,13 +127,14 @@ def clean_lines(df: DataFrame, text: str = "text", most_lost: float = 0.5) -> Da
 
     Null texts become empty texts that lose nothing. A text without line ends is one line.
     """
-    df = df.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    df = with_text_flags(df.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit(""))), "_t")
     df = df.withColumn("_l", F.split("_t", "\n"))
     df = df.withColumn("_g", F.filter("_l", lambda x: ~line_fails(x)))
     df = df.withColumn("n_bad_lines", (F.size("_l") - F.size("_g")).cast("long"))
-    df = df.withColumn("clean_text", F.array_join("_g", "\n"))
+    df = df.withColumn("clean_text", F.when(F.col("n_bad_lines") > 0, F.array_join("_g", "\n")).otherwise(F.col("_t")))
     left, had = (F.length(_without(F.col(c), BLANKS)) for c in ("clean_text", "_t"))
-    return df.withColumn("lost_too_much", (had - left) > had * F.lit(most_lost)).drop("_t", "_l", "_g")
+    lost = (F.col("n_bad_lines") > 0) & ((had - left) > had * F.lit(most_lost))
+    return df.withColumn("lost_too_much", lost).drop("_t", "_l", "_g", "_sym", "_bar", "_stock")
 
 
 def clean_documents(df: DataFrame, text: str = "text", most_lost: float = 0.5) -> DataFrame:
@@ -147,7 +171,7 @@ judged AS (
   FROM lines),
 marked AS (
   SELECT doc_id, l, bare, bare > 0 AND (sym * 10 > bare OR (bars >= 2 AND bars * 40 > bare) OR {stock}
-    OR trim(regexp_replace(lower(l), '[^a-z ]+', ' ', 'g')) IN ({menu})
+    OR (octet_length(encode(l)) < 30 AND trim(regexp_replace(lower(l), '[^a-z ]+', ' ', 'g')) IN ({menu}))
     OR (NOT regexp_matches(l, '[^\\w\\s]') AND len(regexp_extract_all(l, '{word}')) >= 12)) AS bad
   FROM judged),
 sums AS (

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 #: digits and everything from U+0080 on.
 BLANKS = " \t\n\x0b\x0c\r"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -57,8 +56,20 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(text, _UPPER, _UPPER.lower())
+    """Lower-case A-Z only. ``lower`` does that, faster, wherever no other capital stands."""
+    plain = (F.octet_length(text) == F.length(text)) | ~text.rlike(r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]")
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
+
+
+def space_words(text: Column) -> Column:
+    """Runs of anything but ASCII white space (as :data:`SPACE_WORD`, but several times as fast)."""
+    plain = F.trim(F.translate(text, BLANKS, " " * len(BLANKS)))
+    return F.when(F.length(plain) > 0, F.split(plain, " +")).otherwise(F.array().cast("array<string>"))
+
+
+def alnum_words(text: Column) -> Column:
+    """Runs of lower-case letters, digits and everything past ASCII, in a text of lower case."""
+    return F.array_remove(F.split(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.anchors import gaps, keyed_texts, repeated_spans
 from marlstone.llm.buffers import BYTE_CODES, Polynomial, words
-from marlstone.llm.shared import BLANKS, table
+from marlstone.llm.shared import space_words, table
 from marlstone.llm.windows import row_keys
 
 
@@ -157,9 +157,7 @@ def remove_repeats(df: DataFrame, length: int = 35, text: str = "text", key: str
     spans = repeated_spans(keyed_texts(df, key, text), _symbols, _codes, np.uint64, index, length, reach, gram)
     k1, k2 = row_keys(F.col(key), F.col(text))
     out = df.withColumn("_k1", k1).withColumn("_k2", k2).join(spans.withColumnRenamed("k1", "_k1").withColumnRenamed("k2", "_k2"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    plain = F.trim(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), BLANKS, " " * len(BLANKS)))
-    out = out.withColumn("_plain", plain)
-    out = out.withColumn("_w", F.when(F.length("_plain") > 0, F.split("_plain", " +")).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn("_w", space_words(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     out = out.withColumn("n_words", F.size("_w"))
     left = F.flatten(F.transform(gaps(F.col("spans"), F.col("n_words")), lambda g: F.slice(F.col("_w"), g["begin"] + 1, g["end"] - g["begin"])))
     kept = F.array_join(F.when(F.col("spans").isNull(), F.col("_w")).otherwise(left), " ")
@@ -167,7 +165,7 @@ def remove_repeats(df: DataFrame, length: int = 35, text: str = "text", key: str
         out.withColumn("kept", kept)
         .withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int>>")))
         .withColumn("n_words", F.col("n_words").cast("long"))
-        .drop("_w", "_plain")
+        .drop("_w")
     )
 
 
@@ -180,3 +178,18 @@ def op6_fm_index(spark, sf_dir: str) -> DataFrame:
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"]).alias("n_removed"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS g FROM starts),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM again)),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.j) AS t, count(*) AS n
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.j = g.j WHERE g.j IS NULL GROUP BY e.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import ALNUM_WORD, lower_ascii
+from marlstone.llm.shared import alnum_words, lower_ascii
 
 
 def words_of(text: Column) -> Column:
     """Lower-cased words of a text: letters, digits and everything past ASCII; null has none."""
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), F.lit(ALNUM_WORD), F.lit(0))
+    return alnum_words(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))))
 
 
 def _shifted(a: Column, b: Column, by: int) -> Column:
@@ -23,7 +23,11 @@ def _shifted(a: Column, b: Column, by: int) -> Column:
 
 
 def with_window_hashes(df: DataFrame, words: str, length: int, out: str) -> DataFrame:
-    """Add an array with the hash of each window of ``length`` words, by start; empty if none fits."""
+    """Add an array with the hash of each window of ``length`` words, by start; empty if none fits.
+
+    Explode the array with an ``_outer`` form: the plain ones make Spark infer a filter on the
+    array's size, which it pushes below the steps here and so computes them over again, many times.
+    """
     df = df.withColumn("_h1", F.transform(words, lambda w: F.xxhash64(w)))
     made, level, power = ["_h1"], "_h1", 1
     acc, have = None, 0

@@ -110,13 +110,14 @@ def sift(docs: DataFrame, symbols: Symbols, length: int, reach: int, gram: int)
     cores with fragments that differ, and whether the core has too many for one shard (``hot``).
     """
     every = written(anchors(docs, symbols, length, reach, gram), "anchors")
-    twice = every.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    # Counts are written before they are joined: a join of plain exchanges can split a hot core.
+    twice = written(every.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "twice")
     held = written(every.join(twice, "core"), "held")
     discard(every)
     fragment = ["core", "least", "most", "whole"]
     counted = written(held.groupBy(*fragment).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "at")).alias("place")), "fragments")
     settled = held.join(counted.filter("times > 1").select(*fragment), fragment, "left_semi").select("k1", "k2", "at", "least", "most")
-    varied = counted.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    varied = written(counted.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "varied")
     open_ = counted.join(varied, "core").select("core", "place.*", "least", "most", "times", (F.col("n") > CLASS_ROWS).alias("hot"))
     return settled, open_
 
@@ -204,10 +205,8 @@ def by_windows(fetched: DataFrame, dtype, length: int) -> DataFrame:
     of its two halves (128 bits), counted with map-side aggregation, so no task gets the class."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             flat = [np.frombuffer(p, dtype) for p in batch.column("piece").to_pylist()]
-            if not flat:
-                continue
             sizes = np.array([len(p) for p in flat])
             codes = np.concatenate(flat).astype(np.uint64)
             polynomial = Polynomial(BYTE_CODES[codes.astype(np.int64)] if dtype == np.uint8 else codes)
@@ -226,7 +225,7 @@ def by_windows(fetched: DataFrame, dtype, length: int) -> DataFrame:
             )
 
     windows = written(fetched.filter("hot").mapInArrow(run, "a long, b long, k1 long, k2 long, begin int, times long"), "hot-windows")
-    twice = windows.groupBy("a", "b").agg(F.sum("times").alias("n")).filter("n > 1").select("a", "b")
+    twice = written(windows.groupBy("a", "b").agg(F.sum("times").alias("n")).filter("n > 1").select("a", "b"), "hot-twice")
     return windows.join(twice, ["a", "b"], "left_semi").select("k1", "k2", "begin", (F.col("begin") + length).alias("end"))
 
 

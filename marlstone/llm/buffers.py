@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 #: Random odd multiplier and byte codes of the polynomial hash (mod 2^64).

@@ -1 +1,6 @@
 """Queries composed from the operators, with their SQL."""
+
+from marlstone.plans import text_queries
+from marlstone.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "text_queries"]

@@ -80,7 +80,7 @@ def meta_content(page: Column, itemprop: str) -> Column:
 def join_url(base: Column, target: Column) -> Column:
     """Address of a link on a page: absolute, scheme-relative, rooted or relative to its folder."""
     root = F.concat(F.try_parse_url(base, F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url(base, F.lit("AUTHORITY")))
-    folder = F.regexp_replace(F.coalesce(F.try_parse_url(base, F.lit("PATH")), F.lit("/")), "[^/]*$", "")
+    folder = F.regexp_replace(F.coalesce(F.nullif(F.try_parse_url(base, F.lit("PATH")), F.lit("")), F.lit("/")), "[^/]*$", "")
     return (
         F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), target)
         .when(target.startswith("//"), F.concat(F.try_parse_url(base, F.lit("PROTOCOL")), F.lit(":"), target))

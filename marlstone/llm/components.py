@@ -15,7 +15,7 @@ from marlstone.llm.shared import discard, written
 
 def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     """One star step over directed pairs (u, v): every u with the least of itself and its v."""
-    least = written(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    least = written(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", small=True)
     joined = pairs.join(least, "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -30,12 +30,12 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     ``links``: (a, b), longs, in any direction and order, repeated or looping links allowed. No
     links give no rows.
     """
-    now = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    now = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label, small=True)
     before = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        large = written(_stars(both, True).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
-        now_next = written(_stars(large, False), label)
+        large = written(_stars(both, True).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label, small=True)
+        now_next = written(_stars(large, False), label, small=True)
         state = now_next.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         discard(large)
         discard(now)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.buffers import BYTE_CODES, Polynomial, mix, pieces, words
 from marlstone.llm.components import components
-from marlstone.llm.shared import discard, table, written
+from marlstone.llm.shared import discard, few_files, table, written
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -278,7 +278,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, miss: float = MISS, text:
     source = df.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     every = written(signatures(source, key_type), "signatures")
     nodes = written(every.filter("n > 0").select("node", "n", "signature", "bands").dropDuplicates(["node"]), "nodes")
-    firsts = written(every.filter("n > 0").groupBy("node").agg(F.min("id").alias("first")), "firsts")
+    firsts = written(every.filter("n > 0").groupBy("node").agg(F.min("id").alias("first")), "firsts", small=True)
 
     banded = nodes.select("node", F.explode("bands").alias("key"))
     buckets = (
@@ -287,17 +287,17 @@ def near_duplicates(df: DataFrame, percent: int = 85, miss: float = MISS, text:
         .filter("size > 1")
     )
     # Buckets with the same members are looked at once.
-    buckets = written(buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size"), "buckets")
+    buckets = written(buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size"), "buckets", small=True)
     members = written(banded.join(buckets, "key"), "bucket-members")
     signed = members.join(nodes.select("node", "signature"), "node")
-    forest = written(bucket_forests(in_blocks(signed, F.ceil(F.col("size") / BLOCK_NODES)), percent / 100, miss), "survivors")
+    forest = written(bucket_forests(in_blocks(signed, F.ceil(F.col("size") / BLOCK_NODES)), percent / 100, miss), "survivors", small=True)
     discard(members)
 
-    clusters = written(components(forest, "survivor-links"), "clusters")
-    sizes = written(clusters.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")), "cluster-sizes")
-    placed = written(clusters.join(sizes, "root").join(firsts, "node").select(F.col("root").alias("key"), "node", "size", "weight", F.col("first").alias("id")), "placed")
-    # a first id of null is looked up as null
-    fetched = source.join(placed.select(F.col("id").alias("_id"), "node", "key", "size", "weight"), F.col("id").eqNullSafe(F.col("_id"))).drop("_id", "id")
+    clusters = written(components(forest, "survivor-links"), "clusters", small=True)
+    sizes = written(clusters.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")), "cluster-sizes", small=True)
+    placed = written(clusters.join(sizes, "root").join(firsts, "node").select(F.col("root").alias("key"), "node", "size", "weight", F.col("first").alias("id")), "placed", small=True)
+    # A first id of null is looked up as null. The plan is the same at every size: sorted and merged.
+    fetched = source.join(placed.hint("merge").select(F.col("id").alias("_id"), "node", "key", "size", "weight"), F.col("id").eqNullSafe(F.col("_id"))).drop("_id", "id")
 
     def with_sets(batches):
         for batch in batches:
@@ -317,14 +317,14 @@ def near_duplicates(df: DataFrame, percent: int = 85, miss: float = MISS, text:
     sets = fetched.mapInArrow(with_sets, "key long, node long, size long, weight long, members binary")
     full = written(sets.join(nodes.select("node", "signature"), "node").dropDuplicates(["node"]), "sets")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_NODES), F.ceil(F.col("weight") / BLOCK_SHINGLES))
-    links = written(confirmed_forests(in_blocks(full, blocks), percent, miss), "links")
+    links = written(confirmed_forests(in_blocks(full, blocks), percent, miss), "links", small=True)
     discard(full)
 
-    linked = written(components(links, "link-rounds"), "components")
+    linked = written(components(links, "link-rounds"), "components", small=True)
     lowest = linked.join(firsts, "node").groupBy("root").agg(F.min("first").alias("least"))
-    lowest = written(lowest, "lowest")
+    lowest = written(lowest, "lowest", small=True)
     found = linked.join(lowest, "root").select("node", "least")
-    known = written(firsts.join(found, "node", "left").select("node", F.coalesce("least", "first").alias("component_id")), "known")
+    known = written(firsts.join(found, "node", "left").select("node", F.coalesce("least", "first").alias("component_id")), "known", small=True)
     out = every.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "node").join(known, "node", "left").drop("node")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
@@ -332,12 +332,12 @@ def near_duplicates(df: DataFrame, percent: int = 85, miss: float = MISS, text:
 
 def op10_bayesian_minhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at 85 percent of five-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return few_files(near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, the one with the least doc_id."""
-    gone = written(near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id").distinct(), "near-copies")
+    gone = written(near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id").distinct(), "near-copies", small=True)
     return docs.join(gone, "doc_id", "left_anti")
 
 

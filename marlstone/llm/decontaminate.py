@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import ALNUM_WORD, lower_ascii, table, text_or_empty, written
+from marlstone.llm.shared import few_files, table, text_or_empty, written
 from marlstone.llm.windows import row_keys, with_window_hashes, words_of
 
 #: Most distinct window hashes that are broadcast (8 bytes each, 64 MB in all).
@@ -39,30 +39,47 @@ def _hashed(windows: DataFrame, lengths: list[int]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("window", F.array_join("words", " ")).drop("words")
 
 
+def _places(keyed: DataFrame, length: int, *more: str) -> DataFrame:
+    """Every window of the texts: k1, k2, start, hash (and the columns ``more``)."""
+    rows = with_window_hashes(keyed.withColumn("_w", words_of(F.col("_text"))), "_w", length, "_x")
+    return rows.select("k1", "k2", *more, F.posexplode_outer("_x").alias("start", "hash"))
+
+
+def _window_at(words: str, start: Column, length: Column) -> Column:
+    return F.array_join(F.slice(words, start + 1, length), " ")
+
+
+def _scan(keyed: DataFrame, hashes: DataFrame, lengths: list[int]) -> DataFrame:
+    """Hits by a broadcast hash set. The words of a row go along by reference as its windows pass
+    the set, and only those of a hit are written."""
+    found = []
+    for n in lengths:
+        hits = _places(keyed, n, "_w").join(F.broadcast(hashes.filter(F.col("length") == n)), "hash", "left_semi")
+        found.append(hits.select("k1", "k2", "start", F.lit(n).alias("length"), "hash", _window_at("_w", F.col("start"), F.lit(n)).alias("window")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _scan_by_shuffle(keyed: DataFrame, hashes: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same for a benchmark too large to broadcast: hashes are joined by shuffle, and the texts
+    of rows with hits are fetched once more for their words."""
+    found = [_places(keyed, n).join(hashes.filter(F.col("length") == n), "hash", "left_semi").withColumn("length", F.lit(n)) for n in lengths]
+    hits = written(reduce(DataFrame.unionByName, found).distinct(), "hash-hits")
+    by_row = written(hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "length", "hash")).alias("places")), "hash-hit-rows", small=True)
+    worded = keyed.join(by_row, ["k1", "k2"]).withColumn("_w", words_of(F.col("_text"))).withColumn("_n", F.size("_w"))
+    named = F.transform(
+        "places", lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), p["hash"].alias("hash"), _window_at("_w", p["start"], p["length"]).alias("window"))
+    )
+    return worded.select("k1", "k2", F.explode_outer(named).alias("p")).select("k1", "k2", "p.*")
+
+
 def find_hits(docs: DataFrame, windows: DataFrame, lengths: list[int], text: str, keys: tuple[Column, Column]) -> DataFrame:
     """(k1, k2, start, length, items): verified places of benchmark windows in the documents."""
     hashes = windows.select("length", "hash").distinct()
-    if hashes.count() <= BROADCAST_HASHES:
-        hashes = F.broadcast(hashes)
+    scan = _scan if hashes.count() <= BROADCAST_HASHES else _scan_by_shuffle
     keyed = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), F.col(text).alias("_text"))
-    found = []
-    for n in lengths:
-        rows = with_window_hashes(keyed.withColumn("_w", words_of(F.col("_text"))), "_w", n, "_x")
-        places = rows.select("k1", "k2", F.posexplode("_x").alias("start", "hash"))
-        found.append(places.join(hashes.filter(F.col("length") == n), "hash", "left_semi").select("k1", "k2", "start", F.lit(n).alias("length"), "hash"))
-    hits = written(reduce(DataFrame.unionByName, found), "hits")
-    # The rows that have hits, once more, to compare the words themselves.
-    held = keyed.join(hits.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    by_row = hits.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "length", "hash")).alias("places"))
-    worded = held.join(by_row, ["k1", "k2"]).withColumn("_w", words_of(F.col("_text")))
-    cut = worded.withColumn("_n", F.size("_w")).withColumn(
-        "places",
-        F.transform(
-            "places",
-            lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), p["hash"].alias("hash"), F.array_join(F.slice("_w", p["start"] + 1, p["length"]), " ").alias("window")),
-        ),
-    )
-    return cut.select("k1", "k2", F.explode("places").alias("p")).select("k1", "k2", "p.*").join(windows, ["length", "hash", "window"]).select("k1", "k2", "start", "length", "items")
+    hits = written(scan(keyed, hashes, lengths), "hits", small=True)
+    # The hash only nominates: the words themselves must be equal.
+    return hits.distinct().join(windows, ["length", "hash", "window"]).select("k1", "k2", "start", "length", "items")
 
 
 def contamination(
@@ -84,18 +101,18 @@ def contamination(
     windows = benchmark_windows(benchmark, item, benchmark_text, length)
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())
     keys = row_keys(F.col(key), F.col(text))
-    counted = docs.withColumn("n_words", F.regexp_count(lower_ascii(text_or_empty(text)), F.lit(ALNUM_WORD)).cast("long"))
+    counted = docs.withColumn("n_words", F.size(words_of(F.col(text))).cast("long"))
     if not lengths:
         none = F.array().cast("array<string>")
         return counted.withColumn("n_hit", F.lit(0).cast("long")).withColumn("item_ids", none).withColumn("hit_words", F.array().cast("array<int>"))
-    windows = written(_hashed(windows, lengths), "windows")
+    windows = written(_hashed(windows, lengths), "windows", small=True)
     hits = find_hits(docs, windows, lengths, text, keys)
     per_row = written(
         hits.groupBy("k1", "k2").agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1))))).alias("hit_words"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
         ),
-        "hit-rows",
+        "hit-rows", small=True
     )
     joined = counted.withColumn("_k1", keys[0]).withColumn("_k2", keys[1]).join(
         per_row.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "hit_words", "item_ids"), ["_k1", "_k2"], "left"
@@ -119,7 +136,7 @@ def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:
 
     Takes what :func:`contamination` returns. Rows without hits keep their text.
     """
-    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # as ALNUM_WORD, capitals included
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # words, capitals included
     value = text_or_empty(text)
     between, words = F.split(value, word, -1), F.regexp_extract_all(value, F.lit(word), F.lit(0))
     out = found.withColumn("_b", between).withColumn("_w", words).withColumn("_n", F.size("_w"))
@@ -132,7 +149,7 @@ def op5_benchmark_windows(spark, sf_dir: str) -> DataFrame:
     """Contamination of every document by the benchmark."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.select(
+    figures = found.select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -140,6 +157,7 @@ def op5_benchmark_windows(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
     )
+    return few_files(figures)
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_line_quality": quality.SQL,
-    "op3_column_transform": suffix_dedup.op3_column_transform,
     "op5_benchmark_windows": decontaminate.SQL,
     "op6_fm_index": substring_dedup.SQL,
     "op10_bayesian_minhash": minhash.SQL,

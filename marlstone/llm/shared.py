@@ -28,15 +28,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def few_files(df: DataFrame) -> DataFrame:
+    """Deal rows that are small beside the work that made them into an eighth of the shuffle
+    partitions. The stage that does the work then writes no files of its own: each file costs the
+    executor two process starts on a local file system, and small files cost any reader."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, parts // 8))
+
+
+def written(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts lineage with copies that survive a lost executor, and gives the planner true sizes, so
-    that a later join broadcasts only what is small.
+    that a later join broadcasts only what is small. ``small``: by :func:`few_files`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (few_files(df) if small else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     free_shuffles(spark)

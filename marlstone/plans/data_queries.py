@@ -11,6 +11,7 @@ from marlstone.operators import chat, ingest, quality
 from marlstone.operators.index import index_checks
 from marlstone.plans.registry import CATALOG, catalog, query, table, values
 from marlstone.sources import tables
+from marlstone.streaming import ingest as streaming
 
 # ---- quality
 
@@ -411,3 +412,20 @@ def x_group(spark, sf_dir):
 def x_window_topk(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("r"), F.lead("o_orderkey").over(w).alias("nxt")).filter("r <= 3")
+
+
+@query(f"WITH {CATALOG} SELECT 'shop:' || sku AS source_product_key, name, price FROM catalog WHERE ord % 9 <> 0")
+def i17_stream_ingest(spark, sf_dir):
+    """Pages in three files through the stream, merged by key into a published table."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marlstone-")).rstrip("/")
+    base = f"{folder}/stream-{tables.uuid.uuid4().hex}"
+    pages = _microdata(spark, sf_dir).withColumn("retrieved_at", F.lit("2024-01-01T00:00:00Z")).withColumn("seq", F.lit(1).cast("long"))
+    pages.repartition(3).write.parquet(f"{base}/pages")
+    streaming.ingest_stream(spark, f"{base}/pages", f"{base}/table", f"{base}/checkpoint", "shop", 1).awaitTermination()
+    return tables.read_published(spark, f"{base}/table").select("source_product_key", "name", "price")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def x_event_windows(spark, sf_dir):
+    out = streaming.event_windows(table(spark, sf_dir, "events"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -22,7 +22,7 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
     fs, p = _filesystem(spark, path)
     if not fs.exists(p):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path, multiLine=True, encoding="UTF-8")
+    return spark.read.schema(schema).json(path, multiLine=True)
 
 
 def with_order(rows: DataFrame, order: str = "ord") -> DataFrame:

@@ -171,3 +171,12 @@ def group_blocks(blocks: DataFrame, products: DataFrame, most: int = 3) -> DataF
     return out.filter("type <> 'comparison_item' OR size(items) >= 2").select(
         "msg_id", "block_no", F.when(F.col("type") == "product", "product_group").when(F.col("type") == "comparison_item", "comparison").otherwise(F.col("type")).alias("type"), "category", "items"
     )
+
+
+def markers(replies: DataFrame) -> DataFrame:
+    """(msg_id, place, kind, product_id, text) of every marker, by built-in functions."""
+    pattern = r"(?i)(\[id\s*:\s*\d+\]|\[compare\s*:\s*\d+\s*\|\s*[^\]\r\n]{1,240}\]|\[compare_result\s*:\s*[^\]\r\n]{1,500}\])"
+    found = replies.select("msg_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("place", "m"))
+    kind = F.lower(F.regexp_extract("m", r"^\[(\w+)", 1))
+    note = F.trim(F.regexp_extract("m", r"(?is)^\[(?:compare\s*:\s*\d+\s*\||compare_result\s*:)\s*(.*)\]$", 1))
+    return found.select("msg_id", "place", kind.alias("kind"), F.nullif(F.regexp_extract("m", r"(?i)^\[(?:id|compare)\s*:\s*(\d+)", 1), F.lit("")).alias("product_id"), F.nullif(note, F.lit("")).alias("text"))

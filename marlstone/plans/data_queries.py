@@ -429,3 +429,22 @@ def i17_stream_ingest(spark, sf_dir):
 def x_event_windows(spark, sf_dir):
     out = streaming.event_windows(table(spark, sf_dir, "events"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+_REPLIES = ((1, "a [id: 12] b [ID:7]"), (2, "[compare:3| good ] [compare_result: so]"), (3, "[id:x] nothing"))
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'id', '12', NULL), (1, 1, 'id', '7', NULL), (2, 0, 'compare', '3', 'good'), (2, 1, 'compare_result', NULL, 'so')) t(msg_id, place, kind, product_id, \"text\")")
+def h03_markers(spark, sf_dir):
+    return chat.markers(spark.createDataFrame(list(_REPLIES), "msg_id int, text string"))
+
+
+@query(f"WITH {CATALOG} SELECT brand_id AS entity_id, count(*) AS n FROM catalog GROUP BY 1")
+def s07_index_scan(spark, sf_dir):
+    """Entity index written by type and read for one type."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marlstone-")
+    path = f"{folder.rstrip('/')}/index-{tables.uuid.uuid4().hex}"
+    c = catalog(spark, sf_dir)
+    rows = c.select(F.lit("brand").alias("entity_type"), F.col("brand_id").alias("entity_id")).union(c.select(F.lit("product_type"), "product_type_id"))
+    tables.write_index(rows, path)
+    return tables.read_index(spark, path, "brand").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import graph, legacy, resolve, respond, search
 from marlstone.operators.index import unit_vector
 from marlstone.operators.parse import parse_queries
+from marlstone.plans.engine import Engine
 from marlstone.plans.registry import ASKED_SQL, CATALOG, asked, catalog, dictionary, parse_sql, parsed, query, table, values
 
 # ---- resolver: a span is a vector of ``embeddings``, an entity its label, a phrase its id
@@ -375,3 +376,10 @@ def v05_selector_counts(spark, sf_dir):
     return graph.selector_counts(_nodes(spark), catalog(spark, sf_dir))
 
 
+
+
+@query()
+def p10_engine(spark, sf_dir):
+    """The whole engine over a batch of queries, repeated ones answered once."""
+    again = asked(spark).unionByName(asked(spark).select((F.col("query_id") + 100).alias("query_id"), F.upper("raw").alias("raw")))
+    return Engine(catalog(spark, sf_dir), dictionary(spark), _edges(spark), _nodes(spark), longest=2).answer(again, 5)

@@ -111,3 +111,13 @@ def type_corpus(products: DataFrame, scope: DataFrame, per_type: int = 8) -> Dat
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def write_index(phrases: DataFrame, path: str) -> None:
+    """Entity index in a folder for each entity type, so that a lookup of one type reads only its own."""
+    phrases.write.partitionBy("entity_type").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, entity_type: str | None = None) -> DataFrame:
+    index = spark.read.parquet(path)
+    return index if entity_type is None else index.filter(F.col("entity_type") == entity_type)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import canonical, chat, graph, ingest, legacy, resolve, respond, search
 from marlstone.operators.aliases import ALIAS_SCHEMA, alias_dictionary
 from marlstone.operators.parse import parse_queries
+from marlstone.plans.engine import Engine
 from marlstone.sources import tables
 
 ALIASES = [
@@ -228,3 +229,33 @@ def test_publish_keeps_a_whole_version(spark, tmp_path):
     old = tables.read_published(spark, path)
     tables.publish(spark.range(5), path)
     assert old.count() == 3 and tables.read_published(spark, path).count() == 5
+
+
+def test_engine(spark, dictionary, catalog):
+    edges = spark.createDataFrame([("type:paint", "PREPARE_WITH", "type:primer", "r", "approved", 1)], "source string, relation string, target string, rationale string, review_status string, edge_ord int")
+    nodes = spark.createDataFrame([("type:primer", "грунтовка", ["грунт"])], "id string, label string, contains_any array<string>")
+    engine = Engine(catalog, dictionary, edges, nodes)
+    out = engine.search_json(spark, "краска тикурила 9 л")
+    assert [p["id"] for p in out["primary"]["products"]] == ["1"] and out["primary"]["title"] == "Найденные краски Tikkurila"
+    assert [p["id"] for p in out["complements"][0]["products"]] == ["4"]
+    assert not out["meta"]["fallback_used"]
+    relaxed = engine.search_json(spark, "грунтовка dulux")
+    assert [p["id"] for p in relaxed["primary"]["products"]] == ["3"] and relaxed["complements"] == []
+    assert engine.search_json(spark, "лента")["meta"]["strategy"] == "legacy_fallback"
+    forced = engine.search_json(spark, "краска", force_legacy=True)
+    assert forced["meta"]["fallback_used"] and len(forced["primary"]["products"]) == 3
+
+
+def test_engine_resolves_typos(spark, dictionary, catalog):
+    names = [("brand", "brand:tikkurila", "Tikkurila", "тикурила", 1, [1.0, 0.0]), ("product_type", "type:paint", "краска", "краска", 1, [0.0, 1.0])]
+    index = spark.createDataFrame(names, "entity_type string, entity_id string, display string, normalized_phrase string, trusted int, vector array<double>")
+    embed = lambda spans: spans.withColumn("vector", F.when(F.col("text").startswith("тик"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+    none = spark.createDataFrame([], "source string, relation string, target string, rationale string, review_status string, edge_ord int")
+    nodes = spark.createDataFrame([], "id string, label string, contains_any array<string>")
+    engine = Engine(catalog, dictionary, none, nodes, index, embed)
+    query = spark.createDataFrame([(1, "тикурилла краскка")], "query_id long, raw string")
+    row = engine.parse(query).first()
+    assert (row["brand_id"], row["product_type_id"], row["unparsed_tokens"]) == ("brand:tikkurila", "type:paint", [])
+    shadow = engine.parse(query, "shadow").first()
+    assert shadow["brand_id"] is None and shadow["resolver_status"] != "not_needed"
+    assert engine.parse(query, "off").first()["resolver_status"] == "not_needed"

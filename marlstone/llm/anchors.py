@@ -111,13 +111,13 @@ def sift(docs: DataFrame, symbols: Symbols, length: int, reach: int, gram: int)
     """
     every = written(anchors(docs, symbols, length, reach, gram), "anchors")
     # Counts are written before they are joined: a join of plain exchanges can split a hot core.
-    twice = written(every.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "twice")
+    twice = written(every.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "twice", small=True)
     held = written(every.join(twice, "core"), "held")
     discard(every)
     fragment = ["core", "least", "most", "whole"]
     counted = written(held.groupBy(*fragment).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "at")).alias("place")), "fragments")
     settled = held.join(counted.filter("times > 1").select(*fragment), fragment, "left_semi").select("k1", "k2", "at", "least", "most")
-    varied = written(counted.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "varied")
+    varied = written(counted.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "varied", small=True)
     open_ = counted.join(varied, "core").select("core", "place.*", "least", "most", "times", (F.col("n") > CLASS_ROWS).alias("hot"))
     return settled, open_
 
@@ -225,7 +225,7 @@ def by_windows(fetched: DataFrame, dtype, length: int) -> DataFrame:
             )
 
     windows = written(fetched.filter("hot").mapInArrow(run, "a long, b long, k1 long, k2 long, begin int, times long"), "hot-windows")
-    twice = written(windows.groupBy("a", "b").agg(F.sum("times").alias("n")).filter("n > 1").select("a", "b"), "hot-twice")
+    twice = written(windows.groupBy("a", "b").agg(F.sum("times").alias("n")).filter("n > 1").select("a", "b"), "hot-twice", small=True)
     return windows.join(twice, ["a", "b"], "left_semi").select("k1", "k2", "begin", (F.col("begin") + length).alias("end"))
 
 

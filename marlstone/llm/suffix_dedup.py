@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.anchors import gaps, keyed_texts, repeated_spans
 from marlstone.llm.buffers import BYTE_CODES, Polynomial
-from marlstone.llm.shared import table
+from marlstone.llm.shared import few_files, table
 from marlstone.llm.windows import row_keys
 
 SPOOL_BYTES = 32_000_000
@@ -183,10 +183,11 @@ def op3_column_transform(spark, sf_dir: str) -> DataFrame:
     """Repeated 400-byte strings cut out of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
-    return remove_repeats(docs).select(
+    digest = remove_repeats(docs).select(
         "doc_id",
         (F.octet_length("kept") + removed).cast("long").alias("n_bytes"),
         removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+    return few_files(digest)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import ALNUM_WORD, lower_ascii, table, text_or_empty, written
+from marlstone.llm.shared import few_files, table, written
 from marlstone.llm.windows import row_keys, with_window_hashes, words_of
 
 K = 3
@@ -39,10 +39,11 @@ TEMPLATES = (
 
 
 def template_grams(spark: SparkSession, templates, k: int = K) -> DataFrame:
-    """(template, at, hash): all k-grams of the templates; a bounded, fixed table."""
+    """(template, at, hash, gram, grams): all k-grams of the templates; a bounded, fixed table."""
     rows = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(templates)], "template int, text string")
     hashed = with_window_hashes(rows.withColumn("_w", words_of(F.col("text"))), "_w", k, "_x")
-    return hashed.select("template", F.posexplode("_x").alias("at", "hash"))
+    placed = hashed.select("template", "_w", F.size("_x").alias("grams"), F.posexplode_outer("_x").alias("at", "hash"))
+    return placed.select("template", "at", "hash", "grams", F.array_join(F.slice("_w", F.col("at") + 1, F.lit(k)), " ").alias("gram"))
 
 
 def find_spans(docs: DataFrame, templates, exact: int, text: str, keys: tuple[Column, Column], k: int = K, reach: int = 3, least_share: float = 0.6) -> DataFrame:
@@ -50,63 +51,36 @@ def find_spans(docs: DataFrame, templates, exact: int, text: str, keys: tuple[Co
 
     The first ``exact`` templates must be met word for word on a single diagonal; for the others,
     diagonals at most ``reach`` apart are merged and at least ``least_share`` of the template's
-    k-grams must stand in the span, compared as words.
+    k-grams must stand in the span. Votes go by hash; a span is verified by the words of its grams,
+    which the scan writes beside each vote.
     """
-    spark = docs.sparkSession
-    grams = F.broadcast(template_grams(spark, templates, k))  # fixed size
-    keyed = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), F.col(text).alias("_text"))
-    hashed = with_window_hashes(keyed.withColumn("_w", words_of(F.col("_text"))), "_w", k, "_x")
-    votes = hashed.select("k1", "k2", F.posexplode("_x").alias("start", "hash")).join(grams, "hash")
-    # Equal rows have equal keys: distinct votes (collected as sets) count them once.
-    tally = written(
-        votes.withColumn("diagonal", F.col("start") - F.col("at")).groupBy("k1", "k2", "template", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("ats")),
-        "diagonals",
-    )
-    sizes = template_grams(spark, templates, k).groupBy("template").agg(F.count(F.lit(1)).alias("grams"))
-    tally = tally.join(F.broadcast(sizes), "template")
-    alone = tally.filter((F.col("template") < exact) & (F.size("ats") == F.col("grams"))).select(
-        "k1", "k2", "template", "grams", F.array(F.struct("diagonal", "ats")).alias("marks")
+    grams = F.broadcast(template_grams(docs.sparkSession, templates, k))  # fixed size
+    keyed = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), words_of(F.col(text)).alias("_w"))
+    hashed = with_window_hashes(keyed, "_w", k, "_x")
+    votes = hashed.select("k1", "k2", "_w", F.posexplode_outer("_x").alias("start", "hash")).join(grams, "hash")
+    same = F.array_join(F.slice("_w", F.col("start") + 1, F.lit(k)), " ") == F.col("gram")
+    hits = written(votes.select("k1", "k2", "template", "grams", "at", (F.col("start") - F.col("at")).alias("diagonal"), same.alias("same")), "votes", small=True)
+    # Equal rows have equal keys: sets count their votes once.
+    tally = hits.groupBy("k1", "k2", "template", "grams", "diagonal").agg(
+        F.collect_set("at").alias("ats"), F.collect_set(F.when(F.col("same"), F.col("at"))).alias("met")
     )
     along = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along), F.lit(reach + 1)) > F.when(F.col("template") < exact, 0).otherwise(reach)
     islands = (
-        tally.filter(F.col("template") >= exact)
-        .withColumn("_new", (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along), F.lit(reach + 1)) > reach).cast("int"))
+        tally.withColumn("_new", apart.cast("int"))
         .withColumn("_island", F.sum("_new").over(along))
         .groupBy("k1", "k2", "template", "grams", "_island")
-        .agg(F.array_sort(F.collect_list(F.struct("diagonal", "ats"))).alias("marks"))
-        .filter(F.size(F.array_distinct(F.flatten("marks.ats"))) >= F.col("grams") * least_share)
-        .drop("_island")
-    )
-    spans = alone.unionByName(islands)
-    per_row = written(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("template", "grams", "marks")).alias("spans")), "spans")
-    held = keyed.join(per_row, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    worded = held.withColumn("_w", words_of(F.col("_text"))).withColumn("_n", F.size("_w"))
-    # Verification: the words of every voting gram against the words of the template's gram.
-    flat = worded.withColumn("s", F.explode("spans")).select("k1", "k2", "_w", "_n", "s.*")
-    pairs = flat.select(
-        "k1", "k2", "template", "grams",
-        F.xxhash64("k1", "k2", "template", F.to_json("marks")).alias("span"),
-        F.flatten(
-            F.transform(
-                "marks",
-                lambda m: F.transform(m["ats"], lambda at: F.struct(at.alias("at"), (m["diagonal"] + at).alias("start"), F.array_join(F.slice("_w", m["diagonal"] + at + 1, F.lit(k)), " ").alias("words"))),
-            )
-        ).alias("g"),
-    )
-    compared = pairs.select("k1", "k2", "template", "grams", "span", F.explode("g").alias("g")).select("k1", "k2", "template", "grams", "span", "g.*").join(F.broadcast(template_grams_words(spark, templates, k)), ["template", "at", "words"])
-    checked = compared.groupBy("k1", "k2", "template", "grams", "span").agg(
-        F.countDistinct("at").alias("met"), F.min("start").alias("first"), (F.max("start") + k - 1).alias("last")
+        .agg(
+            F.flatten(F.collect_list("ats")).alias("ats"),
+            F.flatten(F.collect_list("met")).alias("met"),
+            F.min(F.col("diagonal") + F.array_min("met")).alias("first"),
+            F.max(F.col("diagonal") + F.array_max("met") + (k - 1)).alias("last"),
+        )
     )
-    share = F.col("met") / F.col("grams")
-    good = F.when(F.col("template") < exact, F.col("met") == F.col("grams")).otherwise(share >= least_share)
-    return checked.filter(good).select("k1", "k2", "template", F.col("first").cast("long"), F.col("last").cast("long"), share.alias("share"))
-
-
-def template_grams_words(spark: SparkSession, templates, k: int) -> DataFrame:
-    rows = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(templates)], "template int, text string")
-    words = rows.withColumn("_w", words_of(F.col("text"))).withColumn("_n", F.size("_w"))
-    starts = words.select("template", "_w", F.explode(F.sequence(F.lit(0), F.col("_n") - k)).alias("at"))
-    return starts.select("template", "at", F.array_join(F.slice("_w", F.col("at") + 1, F.lit(k)), " ").alias("words"))
+    needed = F.when(F.col("template") < exact, F.col("grams")).otherwise(F.col("grams") * least_share)
+    voted = islands.filter(F.size(F.array_distinct("ats")) >= needed)
+    verified = voted.withColumn("_met", F.size(F.array_distinct("met"))).filter(F.col("_met") >= needed)
+    return verified.select("k1", "k2", "template", F.col("first").cast("long"), F.col("last").cast("long"), (F.col("_met") / F.col("grams")).alias("share"))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
@@ -135,9 +109,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", phra
             F.max("share").alias("score"),
             F.array_sort(F.collect_list(F.struct("first", "last", "label", "share"))).alias("license_spans"),
         ),
-        "license-rows",
+        "license-rows", small=True
     )
-    counted = docs.withColumn("n_words", F.regexp_count(lower_ascii(text_or_empty(text)), F.lit(ALNUM_WORD)).cast("long"))
+    counted = docs.withColumn("n_words", F.size(words_of(F.col(text))).cast("long"))
     joined = counted.withColumn("_k1", keys[0]).withColumn("_k2", keys[1]).join(per_row, ["_k1", "_k2"], "left").drop("_k1", "_k2")
     return joined.fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0})
 
@@ -145,4 +119,36 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", phra
 def op8_license_diagonals(spark, sf_dir: str) -> DataFrame:
     """License phrases and passages of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return few_files(scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"))
+
+
+def _sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate((*PHRASES, *TEMPLATES)))
+    words = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {words.format("text")} AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3),
+g AS (SELECT doc_id, i - 1 AS p, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM p),
+t AS (SELECT template, label, {words.format("txt")} AS ws FROM (VALUES {rows}) v(template, label, txt)),
+ti AS (SELECT template, ws, len(ws) - 2 AS grams, unnest(range(1, len(ws) - 1)) AS i FROM t),
+tg AS (SELECT template, grams, i - 1 AS tpos, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM ti),
+hits AS (SELECT DISTINCT doc_id, template, grams, p - tpos AS diagonal, tpos FROM g JOIN tg USING (gram)),
+dg AS (SELECT DISTINCT doc_id, template, diagonal FROM hits),
+nw AS (SELECT doc_id, template, diagonal, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= CASE WHEN template < {len(PHRASES)} THEN 0 ELSE 3 END THEN 0 ELSE 1 END AS n FROM dg),
+isl AS (SELECT doc_id, template, diagonal, sum(n) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM nw),
+sp AS (SELECT h.doc_id, h.template, i.island, grams, count(DISTINCT tpos) AS met, min(h.diagonal + tpos) AS begins
+  FROM hits h JOIN isl i ON h.doc_id = i.doc_id AND h.template = i.template AND h.diagonal = i.diagonal
+  GROUP BY h.doc_id, h.template, i.island, grams HAVING count(DISTINCT tpos) >= CASE WHEN h.template < {len(PHRASES)} THEN grams ELSE grams * 0.6 END),
+lab AS (SELECT sp.doc_id, sp.template, begins, CAST(met AS DOUBLE) / grams AS share, label FROM sp JOIN t USING (template)),
+base AS (SELECT doc_id, count(*) AS n_base, min(begins) AS first_word, max(begins) AS last_word FROM lab WHERE template < {len(PHRASES)} GROUP BY doc_id),
+bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM lab WHERE template < {len(PHRASES)}) GROUP BY doc_id),
+al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM lab) GROUP BY doc_id),
+sc AS (SELECT doc_id, max(share) AS score FROM lab GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN sc USING (doc_id)
+"""
+
+
+SQL = _sql()

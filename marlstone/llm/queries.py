@@ -21,5 +21,6 @@ SQL: dict[str, str] = {
     "op2_line_quality": quality.SQL,
     "op5_benchmark_windows": decontaminate.SQL,
     "op6_fm_index": substring_dedup.SQL,
+    "op8_license_diagonals": licenses.SQL,
     "op10_bayesian_minhash": minhash.SQL,
 }

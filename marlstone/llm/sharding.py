@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import row_hash, table, text_or_empty
+from marlstone.llm.shared import few_files, row_hash, table, text_or_empty
 
 _BITS = 52
 
@@ -72,7 +72,7 @@ def shard_records(
         dealt.withColumn("_rank", F.row_number().over(inside))
         .join(offsets, ["shard", "_bin", "_sub"])
         .withColumn("slot", (F.col("_from") + F.col("_rank") - 1).cast("long"))
-        .drop("_bin", "_sub", "_rank", "_from", "_row")
+        .select(*[c for c in df.columns if c not in ("shard", "slot")], "shard", "slot")
     )
 
 
@@ -84,7 +84,7 @@ def op7_rendezvous_sharding(spark, sf_dir: str) -> DataFrame:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
-    return shard_records(docs).select(
+    digest = shard_records(docs).select(
         "doc_id",
         "size",
         "text_crc32",
@@ -93,6 +93,7 @@ def op7_rendezvous_sharding(spark, sf_dir: str) -> DataFrame:
         "slot",
         rendezvous(key_of("doc_id"), (1.0,) * 17).cast("int").alias("grown_shard"),
     )
+    return few_files(digest)
 
 
 def shard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

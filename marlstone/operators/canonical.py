@@ -155,10 +155,10 @@ def name_attributes(name: Column) -> Column:
     return F.struct(name_amount(name, WEIGHT_UNITS).alias("weight_kg"), name_amount(name, VOLUME_UNITS).alias("volume_l"))
 
 
-def synthetic_id(*keys: Column) -> Column:
-    """Stable id of a staged row from its first key that is not empty."""
+def synthetic_id(*keys: Column, source_id: str = "shop") -> Column:
+    """Stable id of a staged row from its first key that is not empty, under the source's name."""
     key = F.coalesce(*[F.nullif(k, F.lit("")) for k in keys])
-    return F.concat(F.lit("remplanika:"), F.substring(F.sha2(key, 256), 1, 20))
+    return F.concat(F.lit(f"{source_id}:"), F.substring(F.sha2(key, 256), 1, 20))
 
 
 def sku_key(sku: Column) -> Column:
@@ -202,7 +202,7 @@ def first_of_each(staged: DataFrame, order: str = "ord", rounds: int = 50) -> Da
     return rows.join(kept, order, "left_semi").drop("_sku", "_url")
 
 
-def canonical_catalog(snapshot: DataFrame, staged: DataFrame, brands: DataFrame, types: list[tuple[str, list[str]]]) -> DataFrame:
+def canonical_catalog(snapshot: DataFrame, staged: DataFrame, brands: DataFrame, types: list[tuple[str, list[str]]], source_id: str = "shop") -> DataFrame:
     """Canonical rows of snapshot and new staged products, in order: snapshot first, then staged.
 
     Both: name, brand, category, subcategory, sku, price, url, image, ord; the snapshot has id, staged
@@ -213,7 +213,7 @@ def canonical_catalog(snapshot: DataFrame, staged: DataFrame, brands: DataFrame,
         F.lit(None).cast("string").alias("source_product_key"), F.lit(None).cast("string").alias("retrieved_at"), F.lit(None).cast("string").alias("content_sha256"),
     )
     fresh = first_of_each(not_known(staged, snapshot)).select(
-        synthetic_id(F.col("source_product_key"), F.col("url"), F.col("sku")).alias("id"), *_FIELDS, "ord", F.lit("staging").alias("source"), F.lit(False).alias("immutable"),
+        synthetic_id(F.col("source_product_key"), F.col("url"), F.col("sku"), source_id=source_id).alias("id"), *_FIELDS, "ord", F.lit("staging").alias("source"), F.lit(False).alias("immutable"),
         "source_product_key", "retrieved_at", "content_sha256",
     )
     both = old.withColumn("_part", F.lit(0)).unionByName(fresh.withColumn("_part", F.lit(1)))

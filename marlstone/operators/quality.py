@@ -62,7 +62,7 @@ def gates(metrics: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return metrics.select(F.when(F.size(failed) == 0, "PASS").otherwise("FAIL").alias("status"), failed.alias("errors"))
 
 
-def staging_checks(staged: DataFrame, host: str = "remplanika.ru") -> DataFrame:
+def staging_checks(staged: DataFrame, host: str = "shop.example") -> DataFrame:
     """(code, key) of bad staged records (source_product_key, url, sku, retrieved_at, content_sha256,
     raw_snapshot): missing provenance, foreign or insecure addresses, repeated keys, snapshot paths
     that leave their folder."""

@@ -7,25 +7,28 @@ from pyspark.sql import functions as F
 
 from marlstone.operators.search import primary_title
 
-# Hosts whose addresses are shown, and the form of image paths.
-HOSTS = ("remplanika.ru", "www.remplanika.ru")
+#: Host of the shop whose addresses are shown; every function takes another as a parameter.
+SITE = "shop.example"
+
+# The form of image paths, the title of keyword results, versions.
 IMAGE = r"^/site/catalog-images/[a-zA-Z0-9_.-]+$"
 LEGACY_TITLE = "Результаты поиска (Fallback)"
 VERSIONS = {"catalog_version": "canonical-v1", "aliases_version": "aliases-v1", "graph_version": "complement-graph-v1-approved"}
 
 
-def safe_url(url: Column) -> Column:
+def safe_url(url: Column, site: str = SITE) -> Column:
+    """The address if it is a secure one of the shop, else empty."""
     host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
-    good = (F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & host.isin(*HOSTS)
+    good = (F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & host.isin(site, f"www.{site}")
     return F.when(F.coalesce(good, F.lit(False)), url).otherwise("")
 
 
-def category_url(url: Column) -> Column:
+def category_url(url: Column, site: str = SITE) -> Column:
     """Address of a product's category: the path segment after ``catalog``."""
-    parts = F.filter(F.split(F.coalesce(F.try_parse_url(safe_url(url), F.lit("PATH")), F.lit("")), "/"), lambda p: p != "")
+    parts = F.filter(F.split(F.coalesce(F.try_parse_url(safe_url(url, site), F.lit("PATH")), F.lit("")), "/"), lambda p: p != "")
     name = F.get(parts, F.lit(1))
     good = (F.get(parts, F.lit(0)) == "catalog") & name.rlike("^[A-Za-z0-9_-]+$")
-    return F.when(F.coalesce(good, F.lit(False)), F.concat(F.lit("https://remplanika.ru/catalog/"), name, F.lit("/"))).otherwise("")
+    return F.when(F.coalesce(good, F.lit(False)), F.concat(F.lit(f"https://{site}/catalog/"), name, F.lit("/"))).otherwise("")
 
 
 def safe_image(image: Column) -> Column:
@@ -38,13 +41,13 @@ def shown_price(price: Column) -> Column:
     return F.when(whole, price.cast("decimal(20,0)").cast("string")).otherwise(price.cast("string"))
 
 
-def product(columns: list[str]) -> Column:
+def product(columns: list[str], site: str = SITE) -> Column:
     """What is shown of a product, from the columns a catalogue has."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in columns else F.lit("")
     url = text("url")
     return F.struct(
         "id", *[text(c).alias(c) for c in ("name", "brand", "sku")], shown_price(F.col("price")).alias("price"), text("category").alias("category"), text("subcategory").alias("subcategory"),
-        safe_url(url).alias("url"), category_url(url).alias("category_url"), safe_image(text("image")).alias("image"),
+        safe_url(url, site).alias("url"), category_url(url, site).alias("category_url"), safe_image(text("image")).alias("image"),
     )
 
 
@@ -52,10 +55,10 @@ def _ordered(rows: DataFrame, by: list[str], order: str, value: str, out: str) -
     return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias(out))
 
 
-def responses(parsed: DataFrame, primary: DataFrame, groups: DataFrame, fallback: DataFrame, catalog: DataFrame) -> DataFrame:
+def responses(parsed: DataFrame, primary: DataFrame, groups: DataFrame, fallback: DataFrame, catalog: DataFrame, site: str = SITE) -> DataFrame:
     """(query_id, response): answers as JSON. Queries in which nothing was recognised get the keyword
     results (``fallback``: query_id, rank, id); the others their ``primary`` products and complements."""
-    shown = catalog.select("id", product(catalog.columns).alias("product"))
+    shown = catalog.select("id", product(catalog.columns, site).alias("product"))
     first = _ordered(primary.select("query_id", "rank", F.col("c.id").alias("id")).join(shown, "id"), ["query_id"], "rank", "product", "found")
     other = _ordered(fallback.select("query_id", "rank", "id").join(shown, "id"), ["query_id"], "rank", "product", "legacy")
     relaxed = primary.groupBy("query_id").agg(F.bool_or("attribute_relaxed").alias("attribute_relaxed"))

@@ -67,10 +67,10 @@ def v07_gates(spark, sf_dir):
 
 
 _STAGED = (
-    ("k1", "https://remplanika.ru/a", "t", "s", "raw/a"),
-    ("k2", "http://remplanika.ru/b", "t", "s", "raw/b"),
+    ("k1", "https://shop.example/a", "t", "s", "raw/a"),
+    ("k2", "http://shop.example/b", "t", "s", "raw/b"),
     ("k2", "https://other.example/c", "t", "s", "raw/c"),
-    ("k4", "https://remplanika.ru/a", "", "s", "raw/../../x"),
+    ("k4", "https://shop.example/a", "", "s", "raw/../../x"),
 )
 
 

@@ -30,6 +30,7 @@ class Engine:
     index: DataFrame | None = None
     embed: Callable[[DataFrame], DataFrame] | None = None
     longest: int = 8
+    site: str = respond.SITE
 
     def parse(self, queries: DataFrame, mode: str = "apply") -> DataFrame:
         """Slots of the queries, with what the resolver adds; an unknown mode counts as apply."""
@@ -59,7 +60,7 @@ class Engine:
         beside = graph.complements(search.complement_types(parsed, primary), self.edges, self.nodes, self.catalog)
         nothing = parsed.filter("brand_id IS NULL AND product_type_id IS NULL AND product_id IS NULL").select("query_id")
         fallback = legacy.keyword_search(once.join(nothing, "query_id", "left_semi"), self.catalog, top_k)
-        answers = respond.responses(parsed, primary, beside, fallback, self.catalog)
+        answers = respond.responses(parsed, primary, beside, fallback, self.catalog, self.site)
         return asked.select(F.col("query_id"), F.xxhash64("_key").alias("_q")).join(answers.withColumnRenamed("query_id", "_q"), "_q").drop("_q")
 
     def search_json(self, spark: SparkSession, raw: str, **options) -> dict:

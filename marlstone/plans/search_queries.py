@@ -217,12 +217,12 @@ def p11_safe_url(spark, sf_dir):
 
 
 _CATALOG_URLS = (
-    ("https://remplanika.ru/catalog/kraski/x1/", "https://remplanika.ru/catalog/kraski/"),
-    ("https://www.remplanika.ru/catalog/lak_2/", "https://remplanika.ru/catalog/lak_2/"),
-    ("http://remplanika.ru/catalog/kraski/", ""),
+    ("https://shop.example/catalog/kraski/x1/", "https://shop.example/catalog/kraski/"),
+    ("https://www.shop.example/catalog/lak_2/", "https://shop.example/catalog/lak_2/"),
+    ("http://shop.example/catalog/kraski/", ""),
     ("https://evil.example/catalog/kraski/", ""),
-    ("https://remplanika.ru/news/kraski/", ""),
-    ("https://remplanika.ru/catalog/", ""),
+    ("https://shop.example/news/kraski/", ""),
+    ("https://shop.example/catalog/", ""),
     (None, ""),
 )
 

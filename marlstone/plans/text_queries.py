@@ -148,7 +148,7 @@ def c06_first_of_each(spark, sf_dir):
     return canonical.first_of_each(_halves(spark, sf_dir)[1]).select("ord")
 
 
-@query("SELECT p_partkey, 'remplanika:' || substr(sha256(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END), 1, 20) AS id FROM part")
+@query("SELECT p_partkey, 'shop:' || substr(sha256(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END), 1, 20) AS id FROM part")
 def c07_synthetic_id(spark, sf_dir):
     key = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.lit(""))
     return table(spark, sf_dir, "part").select("p_partkey", canonical.synthetic_id(key, F.col("p_brand")).alias("id"))

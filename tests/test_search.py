@@ -181,14 +181,14 @@ def test_type_rules(spark):
 
 def test_product_page(spark):
     html = '<meta itemprop="name" content="Краска &amp; лак"><meta itemprop="category" content="краски/фасад"><span class="vendorL">0112116</span><meta itemprop="price" content="306"><img itemprop="image" src="/i.jpg">'
-    pages = spark.createDataFrame([("https://remplanika.ru/catalog/a/b/", html), ("https://remplanika.ru/catalog/", "<h1>категория</h1>"), ("x", None)], "url string, html string")
+    pages = spark.createDataFrame([("https://shop.example/catalog/a/b/", html), ("https://shop.example/catalog/", "<h1>категория</h1>"), ("x", None)], "url string, html string")
     rows = ingest.parse_products(pages).collect()
-    assert [(r["name"], r["sku"], r["price"], r["category"], r["subcategory"], r["image"]) for r in rows] == [("Краска & лак", "0112116", 306.0, "Краски", "Фасад", "https://remplanika.ru/i.jpg")]
+    assert [(r["name"], r["sku"], r["price"], r["category"], r["subcategory"], r["image"]) for r in rows] == [("Краска & лак", "0112116", 306.0, "Краски", "Фасад", "https://shop.example/i.jpg")]
 
 
 def test_sitemap_and_leaves(spark):
-    urls = ingest.sitemap_urls(spark.createDataFrame([("<urlset><url><loc>https://remplanika.ru/catalog/a/</loc></url><broken>",)], "payload string"))
-    assert [r["url"] for r in urls.collect()] == ["https://remplanika.ru/catalog/a/"]
+    urls = ingest.sitemap_urls(spark.createDataFrame([("<urlset><url><loc>https://shop.example/catalog/a/</loc></url><broken>",)], "payload string"))
+    assert [r["url"] for r in urls.collect()] == ["https://shop.example/catalog/a/"]
     paths = spark.createDataFrame([(i, f"https://x.example/{p}") for i, p in enumerate(["catalog/", "catalog/a/", "catalog/a/1", "catalog/ab", "catalog/a/1/"])], "ord long, url string")
     assert sorted(r["ord"] for r in ingest.leaf_urls(paths).collect()) == [2, 3, 4]
 
@@ -211,8 +211,8 @@ def test_reply_blocks():
 
 
 def test_safe_addresses(spark):
-    rows = spark.createDataFrame([("https://remplanika.ru/a",), ("http://remplanika.ru/a",), ("https://evil.example/a",), (None,), ("not a url",)], "u string")
-    assert [r[0] for r in rows.select(respond.safe_url(F.col("u"))).collect()] == ["https://remplanika.ru/a", "", "", "", ""]
+    rows = spark.createDataFrame([("https://shop.example/a",), ("http://shop.example/a",), ("https://evil.example/a",), (None,), ("not a url",)], "u string")
+    assert [r[0] for r in rows.select(respond.safe_url(F.col("u"))).collect()] == ["https://shop.example/a", "", "", "", ""]
     prices = spark.createDataFrame([(306.0,), (0.5,), (None,)], "p double")
     assert [r[0] for r in prices.select(respond.shown_price(F.col("p"))).collect()] == ["306", "0.5", None]
 

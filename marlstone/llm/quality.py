@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import BLANKS, space_words, table
+from marlstone.llm.shared import BLANKS, few_files, space_words, table
 
 SYMBOLS = "#*$%&|<>"
 #: Stock phrases of web pages, in lower case.
@@ -146,9 +146,8 @@ def clean_documents(df: DataFrame, text: str = "text", most_lost: float = 0.5) -
 def op2_line_quality(spark, sf_dir: str) -> DataFrame:
     """Figures and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return clean_documents(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines"
-    )
+    found = clean_documents(docs)
+    return few_files(found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines"))
 
 
 def _sql() -> str:

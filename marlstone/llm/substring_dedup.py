@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.anchors import gaps, keyed_texts, repeated_spans
 from marlstone.llm.buffers import BYTE_CODES, Polynomial, words
-from marlstone.llm.shared import space_words, table
+from marlstone.llm.shared import few_files, space_words, table
 from marlstone.llm.windows import row_keys
 
 
@@ -172,12 +172,13 @@ def remove_repeats(df: DataFrame, length: int = 35, text: str = "text", key: str
 def op6_fm_index(spark, sf_dir: str) -> DataFrame:
     """Repeated sequences of 35 words cut out of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs).select(
+    digest = remove_repeats(docs).select(
         "doc_id",
         "n_words",
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"]).alias("n_removed"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+    return few_files(digest)
 
 
 SQL = r"""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import VOLUME_UNITS, WEIGHT_UNITS, casefold, fold_yo, name_amount, slug
+from marlstone.sources.tables import staged as staged_table
 
 # Words that are no brands.
 NO_BRANDS = (
@@ -186,7 +187,7 @@ def first_of_each(staged: DataFrame, order: str = "ord", rounds: int = 50) -> Da
     kept = open_.filter("_sku IS NULL AND _url IS NULL").select(order)
     open_ = open_.filter("_sku IS NOT NULL OR _url IS NOT NULL")
     for _ in range(rounds):
-        open_ = open_.checkpoint() if open_.sparkSession.sparkContext.getCheckpointDir() else open_.cache()
+        open_ = staged_table(open_, "undecided")
         if open_.isEmpty():
             break
         for k in ("_sku", "_url"):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.buffers import pieces
-from marlstone.llm.shared import table
+from marlstone.llm.shared import few_files, filtered_apart, table
 
 WINDOW = 192
 DIM = 8
@@ -181,7 +181,7 @@ def identify(df: DataFrame, net: ByteNet | None, text: str = "text") -> DataFram
     df = df.drop("lang_pred", "score")
     if net is None:
         return df.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
-    flagged = df.withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    flagged = df.withColumn("__letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     names = df.columns
 
     def run(batches):
@@ -194,7 +194,7 @@ def identify(df: DataFrame, net: ByteNet | None, text: str = "text") -> DataFram
                     p = net.probabilities(fill(buffer, start[s], held[s]))
                     np.add.at(total, owner[s], p * np.maximum(held[s], 1)[:, None])
                 total /= total.sum(axis=1, keepdims=True)
-                letter = np.asarray(part.column("_letter").cast(pa.int8())).astype(bool)
+                letter = np.asarray(part.column("__letter").cast(pa.int8())).astype(bool)
                 best = total.argmax(axis=1)
                 score = np.where(letter, np.clip(total[np.arange(len(best)), best], 0, 1), 0.0)
                 lang = [net.languages[b] if ok else UNKNOWN for b, ok in zip(best, letter, strict=True)]
@@ -214,10 +214,13 @@ def op4_byte_network(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = learn(docs.filter(~held_out()))
     found = identify(docs.select("doc_id", "text"), net)
-    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return few_files(found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score"))
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without any recognisable language go."""
-    found = identify(docs, learn(docs.filter(~held_out())))
-    return found.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """Pipeline stage: documents without any recognisable language go: null texts and texts without a
+    letter. If nothing is labelled, so that no network can be trained, only those go."""
+    net = learn(docs.filter(~held_out()))
+    if net is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return filtered_apart(docs, ("lang_pred", "score"), lambda d: identify(d, net).filter(F.col("lang_pred") != UNKNOWN))

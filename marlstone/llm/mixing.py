@@ -15,7 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import space_words, table, text_or_empty, written
+from marlstone.llm.shared import count_space_words, few_files, table, text_or_empty, written
+from marlstone.llm.windows import row_keys
 
 
 def water_fill(sizes: Mapping[str | None, int], weights: Mapping[str | None, float], total: float, most: float) -> dict:
@@ -27,10 +28,10 @@ def water_fill(sizes: Mapping[str | None, int], weights: Mapping[str | None, flo
         full = {s for s in free if weights[s] * share > most * sizes[s]}
         if not full:
             for s in free:
-                target[s] = weights[s] * share
+                target[s] = float(weights[s] * share)
             break
         for s in full:
-            target[s] = most * sizes[s]
+            target[s] = float(most * sizes[s])
             left -= target[s]
         free -= full
     return target
@@ -110,7 +111,8 @@ def mix_sources(
     max_patterns: int = 20_000,
     rows_per_bin: int = 20_000,
 ) -> DataFrame:
-    """Add ``size``, ``taken`` (tokens taken, repeats counted), ``_pattern`` and ``_targets``.
+    """Add ``size``, ``taken`` (tokens taken, repeats counted), and of the row's sources ``pattern``
+    (their names), ``source_sizes`` and ``source_targets``. Columns of these names are replaced.
 
     ``members``: array of the sources that a row belongs to, none null (a null source is given a
     name by the caller). ``weights_of``: function from the list of sources in code point order to
@@ -120,12 +122,12 @@ def mix_sources(
     no task gets a whole source. Rows without tokens take none; equal rows are taken one by one; an
     empty table gives an empty result.
     """
-    rows = df.withColumn("size", size.cast("long")).withColumn("_pattern", F.array_sort(F.array_distinct(members)))
-    sums = rows.groupBy("_pattern").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    rows = df.drop("source_sizes", "source_targets").withColumn("size", size.cast("long")).withColumn("pattern", F.array_sort(F.array_distinct(members)))
+    sums = rows.groupBy("pattern").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("n"))
     got = sums.limit(max_patterns + 1).collect()
     if len(got) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
-    capacity = {tuple(r["_pattern"]): r["tokens"] for r in sorted(got, key=lambda r: list(r["_pattern"]))}
+    capacity = {tuple(r["pattern"]): r["tokens"] for r in sorted(got, key=lambda r: list(r["pattern"]))}
     names = sorted({s for p in capacity for s in p})
     sizes = {s: sum(v for p, v in capacity.items() if s in p) for s in names}
     target = water_fill(sizes, dict(zip(names, weights_of(names), strict=True)), sum(capacity.values()) if total is None else total, most)
@@ -135,35 +137,35 @@ def mix_sources(
     for p, tokens in capacity.items():
         goal = sum(flow.get((p, s), 0) for s in p)
         full = min(most, goal // tokens) if tokens else 0
-        plan.append((list(p), int(full), int(goal - full * tokens) if full < most else 0, [float(sizes[s]) for s in p], [target[s] for s in p]))
-    plan_df = spark.createDataFrame(plan, "_pattern array<string>, _full long, _rest long, _sizes array<double>, _targets array<double>")
+        plan.append((list(p), int(full), int(goal - full * tokens) if full < most else 0, [float(sizes[s]) for s in p], [float(target[s]) for s in p]))
+    plan_df = spark.createDataFrame(plan, "pattern array<string>, __full long, __rest long, source_sizes array<double>, source_targets array<double>")
 
     order = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
-    binned = rows.withColumn("_h", order).withColumn(
-        "_bin", F.pmod(F.shiftrightunsigned("_h", 20), F.lit(bins)).cast("int")
+    binned = rows.withColumn("__h", order).withColumn(
+        "__bin", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(bins)).cast("int")
     )
-    per_bin = binned.groupBy("_pattern", "_bin").agg(F.sum("size").alias("_sum"))
-    upto = Window.partitionBy("_pattern").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    per_bin = binned.groupBy("pattern", "__bin").agg(F.sum("size").alias("__sum"))
+    upto = Window.partitionBy("pattern").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
-        per_bin.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
-        .join(F.broadcast(plan_df.select("_pattern", "_full", "_rest", "_sizes", "_targets")), "_pattern")
-        .withColumn("_left", F.col("_rest") - F.col("_before"))
-        .withColumn("_whole", F.col("_left") >= F.col("_sum"))
-        .drop("_sum", "_before", "_rest")
+        per_bin.withColumn("__before", F.coalesce(F.sum("__sum").over(upto), F.lit(0)))
+        .join(F.broadcast(plan_df.select("pattern", "__full", "__rest", "source_sizes", "source_targets")), "pattern")
+        .withColumn("__left", F.col("__rest") - F.col("__before"))
+        .withColumn("__whole", F.col("__left") >= F.col("__sum"))
+        .drop("__sum", "__before", "__rest")
     )
-    joined = binned.join(cuts, ["_pattern", "_bin"])
-    inside = Window.partitionBy("_pattern", "_bin").orderBy("_h", F.col(key), "size").rowsBetween(Window.unboundedPreceding, -1)
-    middle = joined.filter(~F.col("_whole") & (F.col("_left") > 0))
-    picked = middle.withColumn("_prior", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn(
-        "_extra",
+    joined = binned.join(cuts, ["pattern", "__bin"])
+    inside = Window.partitionBy("pattern", "__bin").orderBy("__h", F.col(key), "size").rowsBetween(Window.unboundedPreceding, -1)
+    middle = joined.filter(~F.col("__whole") & (F.col("__left") > 0))
+    picked = middle.withColumn("__prior", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn(
+        "__extra",
         # the document in which the rest ends is taken if most of it is wanted
-        (F.col("_left") - F.col("_prior") >= F.col("size") / 2) & (F.col("size") > 0),
+        (F.col("__left") - F.col("__prior") >= F.col("size") / 2) & (F.col("size") > 0),
     )
-    rest = joined.filter(F.col("_whole") | (F.col("_left") <= 0)).withColumn("_prior", F.lit(0).cast("long")).withColumn("_extra", F.col("_whole"))
+    rest = joined.filter(F.col("__whole") | (F.col("__left") <= 0)).withColumn("__prior", F.lit(0).cast("long")).withColumn("__extra", F.col("__whole"))
     return (
         picked.unionByName(rest)
-        .withColumn("taken", F.least(F.col("size") * most, F.col("size") * (F.col("_full") + F.col("_extra").cast("long"))))
-        .drop("_h", "_bin", "_full", "_left", "_whole", "_prior", "_extra")
+        .withColumn("taken", F.least(F.col("size") * most, F.col("size") * (F.col("__full") + F.col("__extra").cast("long"))))
+        .drop("__h", "__bin", "__full", "__left", "__whole", "__prior", "__extra")
     )
 
 
@@ -176,7 +178,7 @@ def cycled(weights: Sequence[float]):
 
 
 def count_words() -> Column:
-    return F.size(space_words(text_or_empty())).cast("long")
+    return count_space_words(text_or_empty())
 
 
 def mix_documents(docs: DataFrame, size: Column) -> DataFrame:
@@ -188,18 +190,28 @@ def mix_documents(docs: DataFrame, size: Column) -> DataFrame:
 def op9_source_mixing(spark, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     sized = table(spark, sf_dir, "documents").select("doc_id", "source", count_words().alias("size"))
-    mixed = mix_documents(written(sized, "sized"), F.col("size"))
-    return mixed.select(
+    mixed = mix_documents(written(sized, "sized", small=True), F.col("size"))
+    digest = mixed.select(
         "doc_id",
         "size",
-        F.col("_sizes")[0].cast("long").alias("source_size"),
-        F.col("_targets")[0].alias("target"),
+        F.col("source_sizes")[0].cast("long").alias("source_size"),
+        F.col("source_targets")[0].alias("target"),
         "taken",
     )
+    return few_files(digest)
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: a document is written as often as the mix takes it, at most three times."""
-    mixed = mix_documents(docs, count_words())
-    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return mixed.withColumn("_times", times).filter("_times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("col")
+    """Pipeline stage: a document is written as often as the mix takes it, at most three times.
+
+    The mix is worked out on sizes alone; texts are read once to count their words and once to be
+    written. Rows that are equal in doc_id and text are written alike, as often as any of them is
+    taken.
+    """
+    k1, k2 = row_keys(F.col("doc_id"), F.col("text"))
+    sized = written(docs.select(k1.alias("__k1"), k2.alias("__k2"), "doc_id", "source", count_words().alias("size")), "sized", small=True)
+    mixed = mix_documents(sized, F.col("size")).filter("taken > 0")
+    times = mixed.groupBy("__k1", "__k2").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__times"))
+    times = written(times, "times", small=True)
+    joined = docs.withColumn("__k1", k1).withColumn("__k2", k2).join(times.hint("merge"), ["__k1", "__k2"])
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")

@@ -59,19 +59,19 @@ def shard_records(
     """
     bins = max(8, -(-df.count() // (rows_per_bin * len(weights))))
     dealt = df.withColumn("shard", rendezvous(key_of(key), weights)).withColumn(
-        "_bin", F.pmod(F.xxhash64(key_of(key), F.lit("slot")), F.lit(bins)).cast("int")
+        "__bin", F.pmod(F.xxhash64(key_of(key), F.lit("slot")), F.lit(bins)).cast("int")
     )
     # A key that repeats without end may fill a bin: equal keys spread over as many sub-bins.
     whole_row = row_hash(df.drop("shard", "slot"))
-    dealt = dealt.withColumn("_row", whole_row).withColumn("_sub", F.pmod("_row", F.lit(4)).cast("int"))
-    counts = dealt.groupBy("shard", "_bin", "_sub").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bin", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("shard", "_bin", "_sub").orderBy(F.col(key), "_row")
+    dealt = dealt.withColumn("__row", whole_row).withColumn("__sub", F.pmod("__row", F.lit(4)).cast("int"))
+    counts = dealt.groupBy("shard", "__bin", "__sub").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("shard").orderBy("__bin", "__sub").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy("shard", "__bin", "__sub").orderBy(F.col(key), "__row")
     return (
-        dealt.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, ["shard", "_bin", "_sub"])
-        .withColumn("slot", (F.col("_from") + F.col("_rank") - 1).cast("long"))
+        dealt.withColumn("__rank", F.row_number().over(inside))
+        .join(offsets, ["shard", "__bin", "__sub"])
+        .withColumn("slot", (F.col("__from") + F.col("__rank") - 1).cast("long"))
         .select(*[c for c in df.columns if c not in ("shard", "slot")], "shard", "slot")
     )
 

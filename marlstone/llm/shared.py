@@ -70,9 +70,17 @@ def lower_ascii(text: Column) -> Column:
 
 
 def space_words(text: Column) -> Column:
-    """Runs of anything but ASCII white space (as :data:`SPACE_WORD`, but several times as fast)."""
-    plain = F.trim(F.translate(text, BLANKS, " " * len(BLANKS)))
-    return F.when(F.length(plain) > 0, F.split(plain, " +")).otherwise(F.array().cast("array<string>"))
+    """Runs of anything but ASCII white space."""
+    return F.array_remove(F.split(text, r"[ \t-\r]+"), "")
+
+
+def count_space_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(SPACE_WORD)).cast("long")
+
+
+def count_alnum_words(text: Column) -> Column:
+    """How many words :func:`alnum_words` finds; capitals need no lowering to be counted."""
+    return F.regexp_count(text, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).cast("long")
 
 
 def alnum_words(text: Column) -> Column:
@@ -88,6 +96,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def filtered_apart(df: DataFrame, names: tuple[str, ...], step) -> DataFrame:
+    """``step(df)`` with the columns of ``df`` only: its own columns that bear the ``names`` the step
+    adds are put aside meanwhile and come back as they were."""
+    own = {c: f"__own_{c}" for c in df.columns if c in names}
+    out = step(df.withColumnsRenamed(own)).drop(*names)
+    return out.withColumnsRenamed({v: k for k, v in own.items()}).select(*df.columns)
+
+
 def row_hash(df: DataFrame, *first) -> Column:
     """A 64-bit hash of a row; columns that hold maps, which have no order, are left out."""
     return F.xxhash64(*first, *[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])

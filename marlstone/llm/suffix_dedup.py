@@ -172,11 +172,11 @@ def remove_repeats(df: DataFrame, length: int = 400, text: str = "text", key: st
     spans = repeated_spans(keyed_texts(df, key, text), _symbols, _bytes, np.uint8, index, length, reach, gram)
     k1, k2 = row_keys(F.col(key), F.col(text))
     raw = F.coalesce(F.encode(F.col(text).cast("string"), "UTF-8"), F.lit(b""))
-    out = df.withColumn("_k1", k1).withColumn("_k2", k2).join(spans.withColumnRenamed("k1", "_k1").withColumnRenamed("k2", "_k2"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    out = out.withColumn("_raw", raw).withColumn("_n", F.octet_length("_raw"))
-    pieces = F.transform(gaps(F.col("spans"), F.col("_n")), lambda g: F.substring(F.col("_raw"), g["begin"] + 1, g["end"] - g["begin"]))
-    kept = F.when(F.col("spans").isNull(), F.col("_raw")).otherwise(F.aggregate(pieces, F.lit(b""), lambda a, b: F.concat(a, b)))
-    return out.withColumn("kept", kept).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int>>"))).drop("_raw", "_n")
+    out = df.withColumn("__k1", k1).withColumn("__k2", k2).join(spans.withColumnRenamed("k1", "__k1").withColumnRenamed("k2", "__k2"), ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    out = out.withColumn("__raw", raw).withColumn("__n", F.octet_length("__raw"))
+    pieces = F.transform(gaps(F.col("spans"), F.col("__n")), lambda g: F.substring(F.col("__raw"), g["begin"] + 1, g["end"] - g["begin"]))
+    kept = F.when(F.col("spans").isNull(), F.col("__raw")).otherwise(F.aggregate(pieces, F.lit(b""), lambda a, b: F.concat(a, b)))
+    return out.withColumn("kept", kept).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int>>"))).drop("__raw", "__n")
 
 
 def op3_column_transform(spark, sf_dir: str) -> DataFrame:

@@ -28,22 +28,22 @@ def with_window_hashes(df: DataFrame, words: str, length: int, out: str) -> Data
     Explode the array with an ``_outer`` form: the plain ones make Spark infer a filter on the
     array's size, which it pushes below the steps here and so computes them over again, many times.
     """
-    df = df.withColumn("_h1", F.transform(words, lambda w: F.xxhash64(w)))
-    made, level, power = ["_h1"], "_h1", 1
+    df = df.withColumn("__h1", F.transform(words, lambda w: F.xxhash64(w)))
+    made, level, power = ["__h1"], "__h1", 1
     acc, have = None, 0
     while True:
         if length & power:
             if acc is None:
                 acc, have = level, power
             else:
-                df = df.withColumn(f"_a{have}", _shifted(F.col(acc), F.col(level), have))
-                acc, have = f"_a{have}", have + power
+                df = df.withColumn(f"__a{have}", _shifted(F.col(acc), F.col(level), have))
+                acc, have = f"__a{have}", have + power
                 made.append(acc)
         power *= 2
         if power > length:
             break
-        df = df.withColumn(f"_h{power}", _shifted(F.col(level), F.col(level), power // 2))
-        level = f"_h{power}"
+        df = df.withColumn(f"__h{power}", _shifted(F.col(level), F.col(level), power // 2))
+        level = f"__h{power}"
         made.append(level)
     whole = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - (length - 1), F.lit(0)))
     return df.withColumn(out, whole).drop(*[c for c in made if c != out])

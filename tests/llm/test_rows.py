@@ -302,3 +302,42 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert {"shard", "slot", "doc_id", "text"} <= set(out.columns) and out.count() > 0
     assert entry.queries()["pipeline"] is corpus_pipeline.run
+
+
+ODD = ["__x", "_k1", "_t", "_w", "size", "taken", "pattern", "shard", "slot", "score", "kept", "node", "k1", "hash", "start", "window", "n_words", "lang_pred", "spans", "items", "labels"]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_odd_tables(spark, stage):
+    """Nulls everywhere, repeated rows, empty and long texts, extra columns with names of results."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    long = "the quick of brown and fox is here " * 4000
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, long, None, "s", 5), (3, "der und die das ist", "de", None, 3), (3, "der und die das ist", "de", None, 3), (4, "the and of it is", "en", "t", 3), (None, "le la les", "fr", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for i, c in enumerate(ODD):
+        docs = docs.withColumn(c, F.lit(i))
+    name, function = corpus_pipeline.STAGES[stage]
+    out = function(spark, docs, SMALL)
+    rows_out = out.collect()
+    if stage < 4:
+        assert out.columns == docs.columns, name
+        assert all(r[c] == i for r in rows_out for i, c in enumerate(ODD)), name
+    else:
+        assert len({(r["shard"], r["slot"]) for r in rows_out}) == len(rows) == len(rows_out)
+    if stage in (0, 1, 2):
+        assert any(r["doc_id"] == 4 for r in rows_out)
+    empty = function(spark, docs.limit(0), SMALL)
+    assert empty.count() == 0
+
+
+def test_operators_replace_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps over it " * 20), (None, None)], "doc_id long, text string")
+    for i, c in enumerate(ODD):
+        docs = docs.withColumn(c, F.lit(i))
+    from marlstone.llm import minhash, substring_dedup, suffix_dedup
+
+    for f in (quality.clean_documents, licenses.scan_licenses, substring_dedup.remove_repeats, suffix_dedup.remove_repeats, minhash.near_duplicates, sharding.shard_records):
+        assert f(docs).count() == 2
+    bench = spark.createDataFrame([(1, "quick brown fox"), (None, None)], "item_id long, text string").withColumn("length", F.lit(1))
+    found = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert found[1]["n_hit"] == 60 and found[None]["n_hit"] == 0

@@ -13,12 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import few_files, table, text_or_empty, written
+from marlstone.llm.shared import count_alnum_words, few_files, filtered_apart, table, text_or_empty, written
 from marlstone.llm.windows import row_keys, with_window_hashes, words_of
 
 #: Most distinct window hashes that are broadcast (8 bytes each, 64 MB in all).
 BROADCAST_HASHES = 8_000_000
 
+#: Columns that :func:`contamination` adds.
+FIGURES = ("n_words", "n_hit", "item_ids", "hit_words")
+
 
 def benchmark_windows(items: DataFrame, item: str, text: str, length: int) -> DataFrame:
     """Distinct windows (``hash``, ``length``, ``window`` words joined by blanks) with their items.
@@ -35,14 +38,14 @@ def benchmark_windows(items: DataFrame, item: str, text: str, length: int) -> Da
 
 def _hashed(windows: DataFrame, lengths: list[int]) -> DataFrame:
     """Windows with the hash that :func:`with_window_hashes` gives them."""
-    parts = [with_window_hashes(windows.filter(F.col("length") == n), "words", n, "_x").withColumn("hash", F.col("_x")[0]).drop("_x") for n in lengths]
+    parts = [with_window_hashes(windows.filter(F.col("length") == n), "words", n, "__x").withColumn("hash", F.col("__x")[0]).drop("__x") for n in lengths]
     return reduce(DataFrame.unionByName, parts).withColumn("window", F.array_join("words", " ")).drop("words")
 
 
 def _places(keyed: DataFrame, length: int, *more: str) -> DataFrame:
     """Every window of the texts: k1, k2, start, hash (and the columns ``more``)."""
-    rows = with_window_hashes(keyed.withColumn("_w", words_of(F.col("_text"))), "_w", length, "_x")
-    return rows.select("k1", "k2", *more, F.posexplode_outer("_x").alias("start", "hash"))
+    rows = with_window_hashes(keyed.withColumn("__w", words_of(F.col("__text"))), "__w", length, "__x")
+    return rows.select("k1", "k2", *more, F.posexplode_outer("__x").alias("start", "hash"))
 
 
 def _window_at(words: str, start: Column, length: Column) -> Column:
@@ -54,8 +57,8 @@ def _scan(keyed: DataFrame, hashes: DataFrame, lengths: list[int]) -> DataFrame:
     the set, and only those of a hit are written."""
     found = []
     for n in lengths:
-        hits = _places(keyed, n, "_w").join(F.broadcast(hashes.filter(F.col("length") == n)), "hash", "left_semi")
-        found.append(hits.select("k1", "k2", "start", F.lit(n).alias("length"), "hash", _window_at("_w", F.col("start"), F.lit(n)).alias("window")))
+        hits = _places(keyed, n, "__w").join(F.broadcast(hashes.filter(F.col("length") == n)), "hash", "left_semi")
+        found.append(hits.select("k1", "k2", "start", F.lit(n).alias("length"), "hash", _window_at("__w", F.col("start"), F.lit(n)).alias("window")))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -65,9 +68,9 @@ def _scan_by_shuffle(keyed: DataFrame, hashes: DataFrame, lengths: list[int]) ->
     found = [_places(keyed, n).join(hashes.filter(F.col("length") == n), "hash", "left_semi").withColumn("length", F.lit(n)) for n in lengths]
     hits = written(reduce(DataFrame.unionByName, found).distinct(), "hash-hits")
     by_row = written(hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "length", "hash")).alias("places")), "hash-hit-rows", small=True)
-    worded = keyed.join(by_row, ["k1", "k2"]).withColumn("_w", words_of(F.col("_text"))).withColumn("_n", F.size("_w"))
+    worded = keyed.join(by_row, ["k1", "k2"]).withColumn("__w", words_of(F.col("__text"))).withColumn("__n", F.size("__w"))
     named = F.transform(
-        "places", lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), p["hash"].alias("hash"), _window_at("_w", p["start"], p["length"]).alias("window"))
+        "places", lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), p["hash"].alias("hash"), _window_at("__w", p["start"], p["length"]).alias("window"))
     )
     return worded.select("k1", "k2", F.explode_outer(named).alias("p")).select("k1", "k2", "p.*")
 
@@ -76,7 +79,7 @@ def find_hits(docs: DataFrame, windows: DataFrame, lengths: list[int], text: str
     """(k1, k2, start, length, items): verified places of benchmark windows in the documents."""
     hashes = windows.select("length", "hash").distinct()
     scan = _scan if hashes.count() <= BROADCAST_HASHES else _scan_by_shuffle
-    keyed = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), F.col(text).alias("_text"))
+    keyed = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), F.col(text).alias("__text"))
     hits = written(scan(keyed, hashes, lengths), "hits", small=True)
     # The hash only nominates: the words themselves must be equal.
     return hits.distinct().join(windows, ["length", "hash", "window"]).select("k1", "k2", "start", "length", "items")
@@ -96,12 +99,11 @@ def contamination(
     Null texts have no words. An empty benchmark hits nothing; an empty table stays empty. Rows that
     are equal in key and text get equal results. The figures replace columns of the same names.
     """
-    figures = ("n_words", "n_hit", "item_ids", "hit_words")
-    docs = docs.drop(*figures)
+    docs = docs.drop(*FIGURES)
     windows = benchmark_windows(benchmark, item, benchmark_text, length)
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())
     keys = row_keys(F.col(key), F.col(text))
-    counted = docs.withColumn("n_words", F.size(words_of(F.col(text))).cast("long"))
+    counted = docs.withColumn("n_words", count_alnum_words(text_or_empty(text)))
     if not lengths:
         none = F.array().cast("array<string>")
         return counted.withColumn("n_hit", F.lit(0).cast("long")).withColumn("item_ids", none).withColumn("hit_words", F.array().cast("array<int>"))
@@ -114,15 +116,15 @@ def contamination(
         ),
         "hit-rows", small=True
     )
-    joined = counted.withColumn("_k1", keys[0]).withColumn("_k2", keys[1]).join(
-        per_row.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "hit_words", "item_ids"), ["_k1", "_k2"], "left"
+    joined = counted.withColumn("__k1", keys[0]).withColumn("__k2", keys[1]).join(
+        per_row.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "hit_words", "item_ids"), ["__k1", "__k2"], "left"
     )
     return (
         joined.withColumn("n_hit", F.coalesce(F.size("hit_words"), F.lit(0)).cast("long"))
         .withColumn("n_hit", F.greatest(F.col("n_hit"), F.lit(0).cast("long")))
         .withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
         .withColumn("hit_words", F.coalesce("hit_words", F.array().cast("array<int>")))
-        .drop("_k1", "_k2")
+        .drop("__k1", "__k2")
     )
 
 
@@ -139,10 +141,10 @@ def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # words, capitals included
     value = text_or_empty(text)
     between, words = F.split(value, word, -1), F.regexp_extract_all(value, F.lit(word), F.lit(0))
-    out = found.withColumn("_b", between).withColumn("_w", words).withColumn("_n", F.size("_w"))
-    kept = F.transform("_w", lambda w, i: F.when(F.array_contains(F.col("hit_words"), i.cast("int")), F.lit("")).otherwise(w))
-    glued = F.array_join(F.zip_with("_b", kept, lambda b, w: F.concat(b, F.coalesce(w, F.lit("")))), "")
-    return out.withColumn("clean_text", F.when(F.col("n_hit") > 0, glued).otherwise(F.col(text))).drop("_b", "_w", "_n")
+    out = found.withColumn("__b", between).withColumn("__w", words).withColumn("__n", F.size("__w"))
+    kept = F.transform("__w", lambda w, i: F.when(F.array_contains(F.col("hit_words"), i.cast("int")), F.lit("")).otherwise(w))
+    glued = F.array_join(F.zip_with("__b", kept, lambda b, w: F.concat(b, F.coalesce(w, F.lit("")))), "")
+    return out.withColumn("clean_text", F.when(F.col("n_hit") > 0, glued).otherwise(F.col(text))).drop("__b", "__w", "__n")
 
 
 def op5_benchmark_windows(spark, sf_dir: str) -> DataFrame:
@@ -162,8 +164,8 @@ def op5_benchmark_windows(spark, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(~contaminated()).select(*docs.columns)
+    benchmark = table(spark, sf_dir, "benchmark")
+    return filtered_apart(docs, FIGURES, lambda d: contamination(d, benchmark).filter(~contaminated()))
 
 
 SQL = r"""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import few_files, table, written
+from marlstone.llm.shared import count_alnum_words, few_files, table, text_or_empty, written
 from marlstone.llm.windows import row_keys, with_window_hashes, words_of
 
 K = 3
@@ -41,9 +41,9 @@ TEMPLATES = (
 def template_grams(spark: SparkSession, templates, k: int = K) -> DataFrame:
     """(template, at, hash, gram, grams): all k-grams of the templates; a bounded, fixed table."""
     rows = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(templates)], "template int, text string")
-    hashed = with_window_hashes(rows.withColumn("_w", words_of(F.col("text"))), "_w", k, "_x")
-    placed = hashed.select("template", "_w", F.size("_x").alias("grams"), F.posexplode_outer("_x").alias("at", "hash"))
-    return placed.select("template", "at", "hash", "grams", F.array_join(F.slice("_w", F.col("at") + 1, F.lit(k)), " ").alias("gram"))
+    hashed = with_window_hashes(rows.withColumn("__w", words_of(F.col("text"))), "__w", k, "__x")
+    placed = hashed.select("template", "__w", F.size("__x").alias("grams"), F.posexplode_outer("__x").alias("at", "hash"))
+    return placed.select("template", "at", "hash", "grams", F.array_join(F.slice("__w", F.col("at") + 1, F.lit(k)), " ").alias("gram"))
 
 
 def find_spans(docs: DataFrame, templates, exact: int, text: str, keys: tuple[Column, Column], k: int = K, reach: int = 3, least_share: float = 0.6) -> DataFrame:
@@ -55,10 +55,10 @@ def find_spans(docs: DataFrame, templates, exact: int, text: str, keys: tuple[Co
     which the scan writes beside each vote.
     """
     grams = F.broadcast(template_grams(docs.sparkSession, templates, k))  # fixed size
-    keyed = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), words_of(F.col(text)).alias("_w"))
-    hashed = with_window_hashes(keyed, "_w", k, "_x")
-    votes = hashed.select("k1", "k2", "_w", F.posexplode_outer("_x").alias("start", "hash")).join(grams, "hash")
-    same = F.array_join(F.slice("_w", F.col("start") + 1, F.lit(k)), " ") == F.col("gram")
+    keyed = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), words_of(F.col(text)).alias("__w"))
+    hashed = with_window_hashes(keyed, "__w", k, "__x")
+    votes = hashed.select("k1", "k2", "__w", F.posexplode_outer("__x").alias("start", "hash")).join(grams, "hash")
+    same = F.array_join(F.slice("__w", F.col("start") + 1, F.lit(k)), " ") == F.col("gram")
     hits = written(votes.select("k1", "k2", "template", "grams", "at", (F.col("start") - F.col("at")).alias("diagonal"), same.alias("same")), "votes", small=True)
     # Equal rows have equal keys: sets count their votes once.
     tally = hits.groupBy("k1", "k2", "template", "grams", "diagonal").agg(
@@ -67,9 +67,9 @@ def find_spans(docs: DataFrame, templates, exact: int, text: str, keys: tuple[Co
     along = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along), F.lit(reach + 1)) > F.when(F.col("template") < exact, 0).otherwise(reach)
     islands = (
-        tally.withColumn("_new", apart.cast("int"))
-        .withColumn("_island", F.sum("_new").over(along))
-        .groupBy("k1", "k2", "template", "grams", "_island")
+        tally.withColumn("__new", apart.cast("int"))
+        .withColumn("__island", F.sum("__new").over(along))
+        .groupBy("k1", "k2", "template", "grams", "__island")
         .agg(
             F.flatten(F.collect_list("ats")).alias("ats"),
             F.flatten(F.collect_list("met")).alias("met"),
@@ -79,8 +79,8 @@ def find_spans(docs: DataFrame, templates, exact: int, text: str, keys: tuple[Co
     )
     needed = F.when(F.col("template") < exact, F.col("grams")).otherwise(F.col("grams") * least_share)
     voted = islands.filter(F.size(F.array_distinct("ats")) >= needed)
-    verified = voted.withColumn("_met", F.size(F.array_distinct("met"))).filter(F.col("_met") >= needed)
-    return verified.select("k1", "k2", "template", F.col("first").cast("long"), F.col("last").cast("long"), (F.col("_met") / F.col("grams")).alias("share"))
+    verified = voted.withColumn("__met", F.size(F.array_distinct("met"))).filter(F.col("__met") >= needed)
+    return verified.select("k1", "k2", "template", F.col("first").cast("long"), F.col("last").cast("long"), (F.col("__met") / F.col("grams")).alias("share"))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
@@ -99,7 +99,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", phra
     base = F.col("template") < len(phrases)
     per_row = written(
         spans.join(F.broadcast(label), "template")
-        .groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+        .groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
         .agg(
             F.count_if(base).alias("n_base"),
             F.min(F.when(base, F.col("first"))).alias("first_word"),
@@ -111,8 +111,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", phra
         ),
         "license-rows", small=True
     )
-    counted = docs.withColumn("n_words", F.size(words_of(F.col(text))).cast("long"))
-    joined = counted.withColumn("_k1", keys[0]).withColumn("_k2", keys[1]).join(per_row, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    counted = docs.withColumn("n_words", count_alnum_words(text_or_empty(text)))
+    joined = counted.withColumn("__k1", keys[0]).withColumn("__k2", keys[1]).join(per_row, ["__k1", "__k2"], "left").drop("__k1", "__k2")
     return joined.fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0})
 
 

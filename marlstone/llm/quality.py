@@ -63,9 +63,9 @@ def with_text_flags(df: DataFrame, text: str) -> DataFrame:
     has one."""
     low = F.lower(F.col(text))
     return (
-        df.withColumn("_sym", F.col(text).rlike(f"[{SYMBOLS}{{}}!]"))
-        .withColumn("_bar", _any_of(F.col(text), BARS))
-        .withColumn("_stock", _any_of(low, {p.split(" ")[-1 if p != "click here to" else 0] for p in BOILERPLATE}))
+        df.withColumn("__sym", F.col(text).rlike(f"[{SYMBOLS}{{}}!]"))
+        .withColumn("__bar", _any_of(F.col(text), BARS))
+        .withColumn("__stock", _any_of(low, {p.split(" ")[-1 if p != "click here to" else 0] for p in BOILERPLATE}))
     )
 
 
@@ -74,12 +74,12 @@ def line_fails(line: Column) -> Column:
     words breaks none. Cheap conditions come first: the rest is then not computed."""
     bare = F.length(_without(line, BLANKS))
     symbols = _count_of(line, SYMBOLS + "{}") + (F.length(line) - F.length(F.replace(line, F.lit("!"), F.lit("")))) / 2
-    noisy = F.col("_sym") & (symbols * 10 > bare)
+    noisy = F.col("__sym") & (symbols * 10 > bare)
     unmarked = ~line.rlike(r"[^\w\s]") & (F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= 12)
     bars = F.regexp_count(line, F.lit(r"(?:^|[ \t])(?:\||»|>|›|•|·)(?=$|[ \t])"))
-    menu = F.col("_bar") & (bars >= 2) & (bars * 40 > bare)
+    menu = F.col("__bar") & (bars >= 2) & (bars * 40 > bare)
     only_menu = (F.octet_length(line) < 30) & F.trim(F.regexp_replace(F.lower(line), "[^a-z ]+", " ")).isin(*MENU_WORDS)
-    stock = F.col("_stock") & _any_of(F.lower(line), BOILERPLATE)
+    stock = F.col("__stock") & _any_of(F.lower(line), BOILERPLATE)
     return _has_words(line) & (unmarked | only_menu | noisy | menu | stock)
 
 
@@ -91,17 +91,17 @@ def with_repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
     past the repeated window before it, three at most. Time n log n, memory one row.
     """
     n = F.size(words)
-    df = df.withColumn("_p", F.zip_with(F.col(words), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
-    df = df.withColumn("_p", F.zip_with(F.col("_p"), F.slice(words, F.lit(3), n), lambda a, b: F.xxhash64(a, b)))
-    df = df.withColumn("_p", F.slice("_p", F.lit(1), F.greatest(n - 2, F.lit(0))))
+    df = df.withColumn("__p", F.zip_with(F.col(words), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
+    df = df.withColumn("__p", F.zip_with(F.col("__p"), F.slice(words, F.lit(3), n), lambda a, b: F.xxhash64(a, b)))
+    df = df.withColumn("__p", F.slice("__p", F.lit(1), F.greatest(n - 2, F.lit(0))))
     # most texts repeat no window: nothing to sort
-    df = df.withColumn("_p", F.when(F.size(F.array_distinct("_p")) < F.size("_p"), F.col("_p")).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_p", F.sort_array(F.transform("_p", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    df = df.withColumn("_e", F.zip_with("_p", F.slice("_p", F.lit(2), F.size("_p")), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))))
-    df = df.withColumn("_d", F.zip_with("_e", F.concat(F.array(F.lit(False)), F.col("_e")), lambda a, b: F.coalesce(a, F.lit(False)) | b))
-    df = df.withColumn("_p", F.sort_array(F.array_compact(F.zip_with("_p", F.slice("_d", F.lit(1), F.size("_p")), lambda p, d: F.when(d, p["i"])))))
-    gaps = F.zip_with("_p", F.slice("_p", F.lit(2), F.size("_p")), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
-    return df.withColumn(out, F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)).drop("_p", "_e", "_d")
+    df = df.withColumn("__p", F.when(F.size(F.array_distinct("__p")) < F.size("__p"), F.col("__p")).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn("__p", F.sort_array(F.transform("__p", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    df = df.withColumn("__e", F.zip_with("__p", F.slice("__p", F.lit(2), F.size("__p")), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))))
+    df = df.withColumn("__d", F.zip_with("__e", F.concat(F.array(F.lit(False)), F.col("__e")), lambda a, b: F.coalesce(a, F.lit(False)) | b))
+    df = df.withColumn("__p", F.sort_array(F.array_compact(F.zip_with("__p", F.slice("__d", F.lit(1), F.size("__p")), lambda p, d: F.when(d, p["i"])))))
+    gaps = F.zip_with("__p", F.slice("__p", F.lit(2), F.size("__p")), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
+    return df.withColumn(out, F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)).drop("__p", "__e", "__d")
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
@@ -111,15 +111,15 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     names of the figures are replaced; other columns stay.
     """
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = df.withColumn("_t", value).withColumn("_w", space_words(value))
-    df = df.withColumn("n_words", F.size("_w").cast("long"))
-    df = df.withColumn("word_chars", F.length(_without(F.col("_t"), BLANKS)).cast("long"))
-    df = df.withColumn("n_symbols", F.when(F.col("_t").rlike(f"[{SYMBOLS}]"), _count_of(F.col("_t"), SYMBOLS)).otherwise(0).cast("long"))
-    df = df.withColumn("_l", F.filter(F.split("_t", "\n"), _has_words))
-    df = df.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-    df = with_repeated_words(df, "_w", "n_repeat_words")
+    df = df.withColumn("__t", value).withColumn("__w", space_words(value))
+    df = df.withColumn("n_words", F.size("__w").cast("long"))
+    df = df.withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long"))
+    df = df.withColumn("n_symbols", F.when(F.col("__t").rlike(f"[{SYMBOLS}]"), _count_of(F.col("__t"), SYMBOLS)).otherwise(0).cast("long"))
+    df = df.withColumn("__l", F.filter(F.split("__t", "\n"), _has_words))
+    df = df.withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
+    df = with_repeated_words(df, "__w", "n_repeat_words")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return df.withColumn("base_failed", failed).drop("_t", "_w", "_l")
+    return df.withColumn("base_failed", failed).drop("__t", "__w", "__l")
 
 
 def clean_lines(df: DataFrame, text: str = "text", most_lost: float = 0.5) -> DataFrame:
@@ -127,14 +127,14 @@ def clean_lines(df: DataFrame, text: str = "text", most_lost: float = 0.5) -> Da
 
     Null texts become empty texts that lose nothing. A text without line ends is one line.
     """
-    df = with_text_flags(df.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit(""))), "_t")
-    df = df.withColumn("_l", F.split("_t", "\n"))
-    df = df.withColumn("_g", F.filter("_l", lambda x: ~line_fails(x)))
-    df = df.withColumn("n_bad_lines", (F.size("_l") - F.size("_g")).cast("long"))
-    df = df.withColumn("clean_text", F.when(F.col("n_bad_lines") > 0, F.array_join("_g", "\n")).otherwise(F.col("_t")))
-    left, had = (F.length(_without(F.col(c), BLANKS)) for c in ("clean_text", "_t"))
+    df = with_text_flags(df.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit(""))), "__t")
+    df = df.withColumn("__l", F.split("__t", "\n"))
+    df = df.withColumn("__g", F.filter("__l", lambda x: ~line_fails(x)))
+    df = df.withColumn("n_bad_lines", (F.size("__l") - F.size("__g")).cast("long"))
+    df = df.withColumn("clean_text", F.when(F.col("n_bad_lines") > 0, F.array_join("__g", "\n")).otherwise(F.col("__t")))
+    left, had = (F.length(_without(F.col(c), BLANKS)) for c in ("clean_text", "__t"))
     lost = (F.col("n_bad_lines") > 0) & ((had - left) > had * F.lit(most_lost))
-    return df.withColumn("lost_too_much", lost).drop("_t", "_l", "_g", "_sym", "_bar", "_stock")
+    return df.withColumn("lost_too_much", lost).drop("__t", "__l", "__g", "__sym", "__bar", "__stock")
 
 
 def clean_documents(df: DataFrame, text: str = "text", most_lost: float = 0.5) -> DataFrame:

@@ -156,16 +156,16 @@ def remove_repeats(df: DataFrame, length: int = 35, text: str = "text", key: str
     df = df.drop("n_words", "spans", "kept")
     spans = repeated_spans(keyed_texts(df, key, text), _symbols, _codes, np.uint64, index, length, reach, gram)
     k1, k2 = row_keys(F.col(key), F.col(text))
-    out = df.withColumn("_k1", k1).withColumn("_k2", k2).join(spans.withColumnRenamed("k1", "_k1").withColumnRenamed("k2", "_k2"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    out = out.withColumn("_w", space_words(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    out = out.withColumn("n_words", F.size("_w"))
-    left = F.flatten(F.transform(gaps(F.col("spans"), F.col("n_words")), lambda g: F.slice(F.col("_w"), g["begin"] + 1, g["end"] - g["begin"])))
-    kept = F.array_join(F.when(F.col("spans").isNull(), F.col("_w")).otherwise(left), " ")
+    out = df.withColumn("__k1", k1).withColumn("__k2", k2).join(spans.withColumnRenamed("k1", "__k1").withColumnRenamed("k2", "__k2"), ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    out = out.withColumn("__w", space_words(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    out = out.withColumn("n_words", F.size("__w"))
+    left = F.flatten(F.transform(gaps(F.col("spans"), F.col("n_words")), lambda g: F.slice(F.col("__w"), g["begin"] + 1, g["end"] - g["begin"])))
+    kept = F.array_join(F.when(F.col("spans").isNull(), F.col("__w")).otherwise(left), " ")
     return (
         out.withColumn("kept", kept)
         .withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int>>")))
         .withColumn("n_words", F.col("n_words").cast("long"))
-        .drop("_w")
+        .drop("__w")
     )
 
 

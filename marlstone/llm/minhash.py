@@ -34,6 +34,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-7
+#: The pipeline stage links texts from this similarity on; op10 has its own, 85.
+STAGE_PERCENT = 80
 #: Most nodes, and most shingles, of a block that a task holds (it holds two).
 BLOCK_NODES, BLOCK_SHINGLES = 2048, 2_000_000
 
@@ -336,8 +338,9 @@ def op10_bayesian_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, the one with the least doc_id."""
-    gone = written(near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id").distinct(), "near-copies", small=True)
+    """Pipeline stage: one document of each group stays, the one with the least doc_id. Texts are
+    linked at ``STAGE_PERCENT`` of their five-word shingles."""
+    gone = written(near_duplicates(docs.select("doc_id", "text"), STAGE_PERCENT).filter(~F.col("kept")).select("doc_id").distinct(), "near-copies", small=True)
     return docs.join(gone, "doc_id", "left_anti")
 
 

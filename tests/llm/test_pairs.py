@@ -166,6 +166,20 @@ def test_pruning_keeps_similar_pairs():
     assert sum(far) == 0
 
 
+def test_stage_links_at_its_own_threshold(spark):
+    words = [f"w{i}" for i in range(204)]
+    near, apart = list(words), list(words)
+    near[20::50] = ["x"] * len(near[20::50])
+    apart[20::40] = ["y"] * len(apart[20::40])
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(apart))]
+    sets = [shingles(t) for _, t in rows]
+    likeness = [len(sets[0] & s) / len(sets[0] | s) for s in sets]
+    assert 0.80 <= likeness[1] < 0.85 and likeness[2] < 0.80
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in minhash.dedup_stage(spark, docs, "").collect()} == {1, 3}
+    assert all(r["kept"] for r in minhash.near_duplicates(docs).collect())
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 102), (101, 103), (7, 7), (200, 201), (201, 200)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())

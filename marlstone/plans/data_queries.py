@@ -274,10 +274,12 @@ def h02_intent(spark, sf_dir):
 
 
 def _replies(spark, sf_dir):
-    c = catalog(spark, sf_dir).filter("ord <= 200")
-    groups = c.withColumn("msg_id", (F.col("ord") % 20).cast("string")).groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "name", "sku"))).alias("p"))
+    """Every product in a reply of at most ten, neighbours in the catalogue together."""
+    c = catalog(spark, sf_dir)
+    groups = c.withColumn("msg_id", F.floor(F.col("ord") / 10).cast("string")).groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "name", "sku"))).alias("p"))
     line = F.array_join(F.transform("p", lambda x: F.concat(F.lit("Option "), x["name"], F.lit(":\n[id:"), x["id"], F.lit("]"))), "\n")
-    compare = F.concat(F.lit(" [compare:"), F.col("p")[0]["id"], F.lit("|one] [compare:"), F.col("p")[1]["id"], F.lit("|two] [compare_result: same]"))
+    pair = F.concat(F.lit(" [compare:"), F.col("p")[0]["id"], F.lit("|one] [compare:"), F.get("p", F.lit(1))["id"], F.lit("|two] [compare_result: same]"))
+    compare = F.coalesce(pair, F.lit(""))  # the last reply may hold one product
     return groups.select("msg_id", F.concat(line, compare).alias("text"), F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"), x["sku"].alias("sku"))).alias("products"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import canonical, chat, graph, ingest, legacy, resolve, respond, search
 from marlstone.operators.aliases import ALIAS_SCHEMA, alias_dictionary
 from marlstone.operators.parse import parse_queries
+from marlstone.plans import data_queries
 from marlstone.plans.engine import Engine
 from marlstone.sources import tables
 
@@ -259,3 +260,16 @@ def test_engine_resolves_typos(spark, dictionary, catalog):
     shadow = engine.parse(query, "shadow").first()
     assert shadow["brand_id"] is None and shadow["resolver_status"] != "not_needed"
     assert engine.parse(query, "off").first()["resolver_status"] == "not_needed"
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_replies_hold_every_product(spark, tmp_path):
+    spark.read.parquet(f"{SF}/part.parquet").filter("p_partkey <= 210").write.parquet(f"file://{tmp_path}/part.parquet")
+    blocks = data_queries.h05_content_blocks(spark, f"file://{tmp_path}").collect()
+    shown = [r["product_id"] for r in blocks if r["type"] == "product"]
+    assert sorted(shown, key=int) == [str(i) for i in range(211)]
+    assert {r["msg_id"] for r in blocks} == {str(i) for i in range(22)}
+    grouped = data_queries.h06_grouped_blocks(spark, f"file://{tmp_path}").filter("type = 'product_group'").collect()
+    assert sum(len(r["products"].split(",")) for r in grouped) == 211

@@ -20,7 +20,7 @@ def _spans(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").filter("vec_id % 20 <> 0")
+    v = table(spark, sf_dir, "embeddings")
     label = F.concat(F.lit("brand:"), F.col("label").cast("string"))
     return v.select(
         F.lit("brand").alias("entity_type"), label.alias("entity_id"), label.alias("display"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("normalized_phrase"),
@@ -28,6 +28,11 @@ def _index(spark, sf_dir):
     )
 
 
+def _rest(spark, sf_dir):
+    """The index without the spans' own vectors, as ``x`` in the SQL has it."""
+    return _index(spark, sf_dir).filter("vec_id % 20 <> 0")
+
+
 _PAIRS = """s AS (SELECT vec_id AS span_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
 x AS (SELECT vec_id, 'brand:' || label AS entity_id, embedding FROM embeddings WHERE vec_id % 20 <> 0),
 pairs AS (SELECT span_id, x.vec_id, entity_id, greatest(0.0, least(1.0, list_dot_product(CAST(s.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])))) AS e FROM s, x)"""
@@ -36,14 +41,14 @@ pairs AS (SELECT span_id, x.vec_id, entity_id, greatest(0.0, least(1.0, list_dot
 @query(f"WITH {_PAIRS} SELECT span_id, vec_id, round(e, 4) AS e FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY round(e, 9) DESC, vec_id) AS r FROM pairs) WHERE r <= 5")
 def r03_cosine_topk(spark, sf_dir):
 
-    met = _spans(spark, sf_dir).alias("s").join(_index(spark, sf_dir).alias("x"), "entity_type")
+    met = _spans(spark, sf_dir).alias("s").join(_rest(spark, sf_dir).alias("x"), "entity_type")
     scored = met.select("span_id", "vec_id", resolve.vector_score(F.col("s.vector"), F.col("x.vector")).alias("e"))
     rank = F.row_number().over(Window.partitionBy("span_id").orderBy(F.desc(F.round("e", 9)), "vec_id"))
     return scored.withColumn("r", rank).filter("r <= 5").select("span_id", "vec_id", F.round("e", 4).alias("e"))
 
 
 def _scored(spark, sf_dir):
-    met = _spans(spark, sf_dir).alias("s").join(_index(spark, sf_dir).alias("x"), "entity_type")
+    met = _spans(spark, sf_dir).alias("s").join(_rest(spark, sf_dir).alias("x"), "entity_type")
     e = F.round(resolve.vector_score(F.col("s.vector"), F.col("x.vector")), 6)
     zero = F.lit(0.0)
     return met.select(
@@ -78,6 +83,7 @@ def r11_decision(spark, sf_dir):
 
 @query()
 def r07_resolve(spark, sf_dir):
+    """Every span against every vector, its own included."""
     out = resolve.resolve_spans(_spans(spark, sf_dir), _index(spark, sf_dir))
     return out.select("span_id", "status", "entity_id", "score", "margin", "reason", F.size("candidates").alias("n_candidates"))
 

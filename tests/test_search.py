@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import canonical, chat, graph, ingest, legacy, resolve, respond, search
 from marlstone.operators.aliases import ALIAS_SCHEMA, alias_dictionary
 from marlstone.operators.parse import parse_queries
-from marlstone.plans import data_queries
+from marlstone.plans import data_queries, search_queries
 from marlstone.plans.engine import Engine
 from marlstone.sources import tables
 
@@ -273,3 +273,8 @@ def test_replies_hold_every_product(spark, tmp_path):
     assert {r["msg_id"] for r in blocks} == {str(i) for i in range(22)}
     grouped = data_queries.h06_grouped_blocks(spark, f"file://{tmp_path}").filter("type = 'product_group'").collect()
     assert sum(len(r["products"].split(",")) for r in grouped) == 211
+
+
+def test_spans_are_searched_in_every_vector(spark):
+    rows = search_queries.r07_resolve(spark, SF).collect()
+    assert len(rows) == 25 and all(r["score"] >= resolve.WEIGHTS["embedding"] for r in rows)  # each finds at least itself

@@ -132,7 +132,7 @@ def r17_route(spark, sf_dir):
 
     from marlstone.plans.text_queries import _phrases
 
-    index = _phrases(spark, sf_dir).filter("entity_type <> 'product_name'").withColumn("vector", vector(F.col("normalized_phrase")))
+    index = _phrases(spark, sf_dir).withColumn("vector", vector(F.col("normalized_phrase")))
 
     index = index.withColumn("vector", unit_vector(F.col("vector")))
     spans = resolve.route_spans(slots).withColumn("span_id", F.xxhash64("query_id", "text", "entity_type")).withColumn("vector", unit_vector(vector(F.col("text"))))

@@ -278,3 +278,11 @@ def test_replies_hold_every_product(spark, tmp_path):
 def test_spans_are_searched_in_every_vector(spark):
     rows = search_queries.r07_resolve(spark, SF).collect()
     assert len(rows) == 25 and all(r["score"] >= resolve.WEIGHTS["embedding"] for r in rows)  # each finds at least itself
+
+
+def test_route_finds_product_names(spark, monkeypatch):
+    monkeypatch.setattr(search_queries, "_TYPED", ((1, "hott widgget thing"), (2, "gear")))
+    rows = {r["query_id"]: r for r in search_queries.r17_route(spark, "/root/testdata/sf0.001").collect()}
+    names = {str(r["p_partkey"]): r["p_name"] for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    assert names[rows["1"]["product_id"]].split()[1] == "widget" and rows["1"]["product_type_id"] == "type:widget"
+    assert rows["1"]["residual"] == "" and rows["2"]["product_id"] is None

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.buffers import BYTE_CODES, Polynomial, mix, pieces, words
 from marlstone.llm.components import components
-from marlstone.llm.shared import discard, few_files, table, written
+from marlstone.llm.shared import discard, few_files, row_hash, table, written
+from marlstone.llm.windows import row_keys
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -338,10 +339,28 @@ def op10_bayesian_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, the one with the least doc_id. Texts are
-    linked at ``STAGE_PERCENT`` of their five-word shingles."""
-    gone = written(near_duplicates(docs.select("doc_id", "text"), STAGE_PERCENT).filter(~F.col("kept")).select("doc_id").distinct(), "near-copies", small=True)
-    return docs.join(gone, "doc_id", "left_anti")
+    """Pipeline stage: one row of each group stays. Texts are linked at ``STAGE_PERCENT`` of their
+    five-word shingles.
+
+    Rows are told apart by doc_id and text, so rows that share an id, or have none, are judged by
+    their own texts. The row with the least doc_id stays, null ids last; of rows of one id the one
+    with the least hash; of rows that are equal in doc_id and text the one with the least hash of
+    all columns. Rows without words are in no group and all stay.
+    """
+    keys = ["__k1", "__k2"]
+    keyed = docs.withColumns(dict(zip(keys, row_keys(F.col("doc_id"), F.col("text")), strict=True)))
+    # a struct compares field by field
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"))
+    found = near_duplicates(keyed.select(name.alias("row"), "text"), STAGE_PERCENT, key="row").filter("n_shingles > 0")
+    marked = found.groupBy("row.k1", "row.k2").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    marked = written(marked.filter("NOT kept OR n > 1").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "kept"), "near-copies", small=True)
+    out = keyed.join(marked.select(*keys), keys, "left_anti").drop(*keys)
+    equal = marked.filter("kept").select(*keys)
+    if equal.isEmpty():
+        return out
+    # aggregated before it is shuffled, so that no task gets all rows of a group
+    rows = keyed.join(equal, keys).select(*keys, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), row_hash(docs).alias("__h"))
+    return out.union(rows.groupBy(*keys).agg(F.min_by("__row", "__h").alias("__row")).select("__row.*"))
 
 
 SQL = r"""

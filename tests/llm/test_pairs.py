@@ -180,6 +180,18 @@ def test_stage_links_at_its_own_threshold(spark):
     assert all(r["kept"] for r in minhash.near_duplicates(docs).collect())
 
 
+def test_stage_keeps_one_row_of_each_group(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(3, x, "a"), (5, x, "a"), (5, y, "a"), (7, z, "a"), (7, z, "b"), (7, z, "b"), (None, y + " more", "a"), (None, "n " + z, "a")]
+    rows += [(None, "p q r s t u", "a"), (None, "p q r s t u", "a"), (None, "P q r s t u", "a"), (8, "", "a"), (8, "", "a"), (None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [tuple(r) for r in minhash.dedup_stage(spark, docs, "").collect()]
+    assert len(got) == 7
+    assert sorted(r[:2] for r in got if r[0] is not None) == [(3, x), (5, y), (7, z), (8, ""), (8, "")]
+    lone = [r[1] for r in got if r[0] is None]
+    assert None in lone and len(lone) == 2 and {"p q r s t u"} == {t.lower() for t in lone if t}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 102), (101, 103), (7, 7), (200, 201), (201, 200)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())

@@ -219,7 +219,8 @@ def op4_byte_network(spark, sf_dir: str) -> DataFrame:
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without any recognisable language go: null texts and texts without a
-    letter. If nothing is labelled, so that no network can be trained, only those go."""
+    letter. The predicted language and its score decide nothing here. If nothing is labelled, so that
+    no network can be trained, the same documents go."""
     net = learn(docs.filter(~held_out()))
     if net is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))

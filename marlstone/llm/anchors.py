@@ -7,35 +7,61 @@ windows tied to one anchor start within ``reach`` symbols before it, and all of
 anchor's core: the ``length - reach + 1`` symbols from the anchor on. So a window can only be
 repeated if the core's hash is found twice, which most cores' hashes are not: the sieve drops those
 and loses nothing. An anchor's fragment is the union of its windows; each window of a text lies in
-exactly one fragment. If a whole fragment repeats (same core, same extent, same hash), all its
-windows repeat. What is left - cores found twice with fragments that differ - goes on to an
-operator's own index, which compares symbols.
-
-Classes (equal cores) can hold any share of the rows, but equal fragments are first counted with
-map-side aggregation, and only one of them goes on.
+exactly one fragment. If a whole fragment repeats (same core, same extent, same digest of its
+bytes), all its windows repeat. What is left - cores found twice with fragments that differ - goes
+on to an operator's own index, which compares symbols.
+
+Classes (equal cores) can hold any share of the rows. Equal fragments are counted with map-side
+aggregation, and only one of them goes on. A class that still has too many distinct fragments for
+one shard is halved: windows that start near the anchor share a core that goes further right,
+windows that start far from it one that goes further left, so each half falls into classes of its
+own, with shorter fragments that are counted again. After log2(reach) halvings a fragment is a
+single window; long before that most classes fit the index.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.buffers import BYTE_CODES, Polynomial, pieces
+from marlstone.llm.buffers import Polynomial, digests, inner_places, mix, pieces
 from marlstone.llm.shared import discard, written
 from marlstone.llm.windows import row_keys
 
+#: Distinct fragments that a class may bring to a shard; larger ones are halved.
+CLASS_ROWS = 1024
+#: Fragments that an operator's index holds at once.
+SHARD_ROWS = 12_000
+
+
+class Symbols(NamedTuple):
+    """The symbols of several texts end to end."""
+
+    hashes: Polynomial
+    #: Number of the first symbol of every text, and the number of all symbols.
+    firsts: np.ndarray
+    #: Bytes that spell the symbols, and where each symbol begins and ends in them.
+    data: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
 
-def tie_windows(polynomial: Polynomial, firsts: np.ndarray, length: int, reach: int, gram: int) -> tuple[np.ndarray, ...]:
+#: From a buffer of texts and their offsets to their symbols.
+Reader = Callable[[np.ndarray, np.ndarray], Symbols]
+
+
+def tie_windows(symbols: Symbols, length: int, reach: int, gram: int) -> tuple[np.ndarray, ...]:
     """Anchors of a sequence of symbols that holds several texts.
 
-    ``firsts``: number of the first symbol of every text, and the number of all symbols. Returns,
-    by anchor: the text, the anchor's symbol, least and most distance from a window's start to the
-    anchor, the core's hash and the fragment's hash.
+    Returns, by anchor: the text, the anchor's symbol, least and most distance from a window's start
+    to the anchor, the core's hash and the digest of the fragment's bytes.
     """
+    polynomial, firsts = symbols.hashes, symbols.firsts
     n = int(firsts[-1])
     if n < length:
         none = np.zeros(0, np.int64)
@@ -46,7 +72,7 @@ def tie_windows(polynomial: Polynomial, firsts: np.ndarray, length: int, reach:
     fit = np.flatnonzero(spans >= length)
     counts = spans[fit] - length + 1
     text = np.repeat(fit, counts)
-    starts = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + firsts[text]
+    starts = inner_places(counts) + firsts[text]
     lasts = lasts[starts].astype(np.int64)
     change = np.ones(len(starts), bool)
     change[1:] = (lasts[1:] != lasts[:-1]) | (text[1:] != text[:-1])
@@ -55,7 +81,7 @@ def tie_windows(polynomial: Polynomial, firsts: np.ndarray, length: int, reach:
     anchor, owner = lasts[head], text[head]
     most, least_x = anchor - starts[head], anchor - starts[tail]
     core = polynomial.of(anchor, anchor + (length - reach + 1))
-    whole = polynomial.of(anchor - most, anchor - least_x + length)
+    whole = digests(symbols.data, symbols.begin[anchor - most], symbols.end[anchor - least_x + length - 1])
     return owner, anchor, least_x, most, core, whole
 
 
@@ -72,24 +98,20 @@ def last_least(hashes: np.ndarray, reach: int) -> np.ndarray:
     return place
 
 
-#: From a buffer of texts and their offsets: the hash of its symbols, the number of the first symbol
-#: of each text.
-Symbols = Callable[[np.ndarray, np.ndarray], tuple[Polynomial, np.ndarray]]
-
 _ANCHORS = "k1 long, k2 long, at int, least int, most int, core long, whole long"
 
 
-def anchors(docs: DataFrame, symbols: Symbols, length: int, reach: int, gram: int) -> DataFrame:
+def anchors(docs: DataFrame, read: Reader, length: int, reach: int, gram: int) -> DataFrame:
     """All anchors of the texts of ``docs`` (k1, k2, text)."""
 
     def run(batches):
         for batch in batches:
             for part, buffer, offsets in pieces(batch):
-                polynomial, firsts = symbols(buffer, offsets)
-                owner, at, least, most, core, whole = tie_windows(polynomial, firsts, length, reach, gram)
+                symbols = read(buffer, offsets)
+                owner, at, least, most, core, whole = tie_windows(symbols, length, reach, gram)
                 k1, k2 = (np.asarray(part.column(c)) for c in ("k1", "k2"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[owner]), pa.array(k2[owner]), pa.array((at - firsts[owner]).astype(np.int32)), pa.array(least.astype(np.int32)), pa.array(most.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))],
+                    [pa.array(k1[owner]), pa.array(k2[owner]), pa.array((at - symbols.firsts[owner]).astype(np.int32)), pa.array(least.astype(np.int32)), pa.array(most.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))],
                     names=["k1", "k2", "at", "least", "most", "core", "whole"],
                 )
 
@@ -102,62 +124,66 @@ def keyed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def sift(docs: DataFrame, symbols: Symbols, length: int, reach: int, gram: int) -> tuple[DataFrame, DataFrame]:
+_FRAGMENT = ["core", "least", "most", "whole"]
+
+
+def sift(docs: DataFrame, read: Reader, length: int, reach: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """Split what may repeat: (settled, open).
 
     ``settled``: (k1, k2, at, least, most) of anchors whose whole fragment is found elsewhere.
-    ``open``: (core, k1, k2, at, least, most, times) one place of each distinct fragment of the
-    cores with fragments that differ, and whether the core has too many for one shard (``hot``).
+    ``open``: (core, k1, k2, at, least, most, times, hot) one place of each distinct fragment of the
+    cores with fragments that differ, and whether the core has too many for one shard.
     """
-    every = written(anchors(docs, symbols, length, reach, gram), "anchors")
+    every = written(anchors(docs, read, length, reach, gram), "anchors")
     # Counts are written before they are joined: a join of plain exchanges can split a hot core.
     twice = written(every.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "twice", small=True)
     held = written(every.join(twice, "core"), "held")
     discard(every)
-    fragment = ["core", "least", "most", "whole"]
-    counted = written(held.groupBy(*fragment).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "at")).alias("place")), "fragments")
-    settled = held.join(counted.filter("times > 1").select(*fragment), fragment, "left_semi").select("k1", "k2", "at", "least", "most")
-    varied = written(counted.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "varied", small=True)
-    open_ = counted.join(varied, "core").select("core", "place.*", "least", "most", "times", (F.col("n") > CLASS_ROWS).alias("hot"))
+    counted = written(held.groupBy(*_FRAGMENT).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "at")).alias("place")), "fragments")
+    settled = held.join(counted.filter("times > 1").select(*_FRAGMENT), _FRAGMENT, "left_semi").select("k1", "k2", "at", "least", "most")
+    open_ = counted.join(_varied(counted), "core").select("core", "place.*", "least", "most", "times", "hot")
     return settled, open_
 
-#: Classes with more distinct fragments than this go by single windows (see :func:`by_windows`).
-CLASS_ROWS = 1024
-#: Fragments that an operator's index holds at once.
-SHARD_ROWS = 12_000
 
+def _varied(counted: DataFrame) -> DataFrame:
+    """(core, hot): cores with more than one distinct fragment, and whether they have too many."""
+    sizes = counted.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return written(sizes.select("core", (F.col("n") > CLASS_ROWS).alias("hot")), "varied", small=True)
 
-def fragments(docs: DataFrame, open_: DataFrame, codes: Callable, length: int) -> DataFrame:
-    """Fetch the symbols of the open fragments: ``open_`` with ``piece`` (binary).
 
-    ``codes(buffer, offsets)``: the symbols of all texts as one array of a fixed-size type, and the
-    number of the first symbol of each text.
-    """
+_PIECES = "core long, k1 long, k2 long, at int, least int, most int, times long, hot boolean, piece binary"
+
+
+def _binary(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Slices of ``data`` as a binary array."""
+    cut = np.ascontiguousarray(data[inner_places(size) + np.repeat(begin, size)])
+    where = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(where), pa.py_buffer(cut)]).cast(pa.binary())
+
+
+def fragments(docs: DataFrame, open_: DataFrame, read: Reader, length: int) -> DataFrame:
+    """Fetch the bytes of the open fragments: ``open_`` with ``piece`` (binary)."""
     wanted = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "at", "least", "most", "times", "hot")).alias("wanted"))
+    # rows that are equal in key and text are one here: any of them has the symbols
     rows = docs.join(wanted, ["k1", "k2"])
 
     def run(batches):
         for batch in batches:
             for part, buffer, offsets in pieces(batch):
-                symbols, firsts = codes(buffer, offsets)
+                symbols = read(buffer, offsets)
                 lists = part.column("wanted")
                 owner = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
                 flat = lists.flatten()
-                core, at, least, most, times, hot = (np.asarray(flat.field(i)) if i < 5 else np.asarray(flat.field(i).cast(pa.int8())) for i in range(6))
-                begin = firsts[owner] + at - most
-                size = (most - least + length).astype(np.int64)
-                ends = np.cumsum(size)
-                index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)
-                data = np.ascontiguousarray(symbols[index])
-                where = np.concatenate([[0], ends]).astype(np.int64) * symbols.itemsize
-                piece = pa.Array.from_buffers(pa.large_binary(), len(owner), [None, pa.py_buffer(where), pa.py_buffer(data)]).cast(pa.binary())
+                core, at, least, most, times = (np.asarray(flat.field(i)) for i in range(5))
+                first = symbols.firsts[owner] + at - most
+                begin, end = symbols.begin[first], symbols.end[first + (most - least + length - 1)]
                 k1, k2 = (np.asarray(part.column(c)) for c in ("k1", "k2"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core), pa.array(k1[owner]), pa.array(k2[owner]), pa.array(at), pa.array(least), pa.array(most), pa.array(times), pa.array(hot.astype(bool)), piece],
+                    [pa.array(core), pa.array(k1[owner]), pa.array(k2[owner]), pa.array(at), pa.array(least), pa.array(most), pa.array(times), flat.field(5), _binary(symbols.data, begin, end - begin)],
                     names=["core", "k1", "k2", "at", "least", "most", "times", "hot", "piece"],
                 )
 
-    return rows.mapInArrow(run, "core long, k1 long, k2 long, at int, least int, most int, times long, hot boolean, piece binary")
+    return rows.mapInArrow(run, _PIECES)
 
 
 def by_shards(fetched: DataFrame, index: Callable, length: int) -> DataFrame:
@@ -200,50 +226,68 @@ def by_shards(fetched: DataFrame, index: Callable, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "k1 long, k2 long, begin int, end int")
 
 
-def by_windows(fetched: DataFrame, dtype, length: int) -> DataFrame:
-    """The exact way for classes beyond ``CLASS_ROWS``: every window of their fragments by the hashes
-    of its two halves (128 bits), counted with map-side aggregation, so no task gets the class."""
+def halved(hot: DataFrame, read: Reader, length: int) -> DataFrame:
+    """Both halves of every fragment of the hot classes (``low`` to ``high``: the class's distances).
+
+    The windows at distances a to b share the symbols from a before the anchor to ``length - b``
+    behind it: their new core.
+    """
 
     def run(batches):
-        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
-            flat = [np.frombuffer(p, dtype) for p in batch.column("piece").to_pylist()]
-            sizes = np.array([len(p) for p in flat])
-            codes = np.concatenate(flat).astype(np.uint64)
-            polynomial = Polynomial(BYTE_CODES[codes.astype(np.int64)] if dtype == np.uint8 else codes)
-            counts = sizes - length + 1
-            owner = np.repeat(np.arange(len(flat)), counts)
-            inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-            begin = inner + np.repeat(np.cumsum(sizes) - sizes, counts)
-            middle = begin + length // 2
-            k1, k2, at, most, times = (np.asarray(batch.column(c)) for c in ("k1", "k2", "at", "most", "times"))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(polynomial.of(begin, middle).view(np.int64)), pa.array(polynomial.of(middle, begin + length).view(np.int64)),
-                    pa.array(k1[owner]), pa.array(k2[owner]), pa.array((at[owner] - most[owner] + inner).astype(np.int32)), pa.array(times[owner]),
-                ],
-                names=["a", "b", "k1", "k2", "begin", "times"],
-            )
-
-    windows = written(fetched.filter("hot").mapInArrow(run, "a long, b long, k1 long, k2 long, begin int, times long"), "hot-windows")
-    twice = written(windows.groupBy("a", "b").agg(F.sum("times").alias("n")).filter("n > 1").select("a", "b"), "hot-twice", small=True)
-    return windows.join(twice, ["a", "b"], "left_semi").select("k1", "k2", "begin", (F.col("begin") + length).alias("end"))
-
-
-def repeated_spans(docs: DataFrame, symbols: Symbols, codes: Callable, dtype, index: Callable, length: int, reach: int, gram: int) -> DataFrame:
+        for batch in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
+            raw = batch.column("piece").to_pylist()
+            symbols = read(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *(len(x) for x in raw)]))
+            low, high, least, most, k1, k2, at, times = (np.asarray(batch.column(c)) for c in ("low", "high", "least", "most", "k1", "k2", "at", "times"))
+            anchor = symbols.firsts[:-1] + most
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle + 1, high)):
+                near, far = np.maximum(least, a), np.minimum(most, b)
+                row = np.flatnonzero(near <= far)
+                a, b, near, far, here = a[row], b[row], near[row], far[row], anchor[row]
+                core = digests(symbols.data, symbols.begin[here - a], symbols.end[here - b + length - 1])
+                core = mix(core ^ mix((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)))
+                begin, end = symbols.begin[here - far], symbols.end[here - near + length - 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(core.view(np.int64)), pa.array(digests(symbols.data, begin, end).view(np.int64)), pa.array(k1[row]), pa.array(k2[row]), pa.array(at[row])]
+                    + [pa.array(x.astype(np.int32)) for x in (near, far, a, b)] + [pa.array(times[row]), _binary(symbols.data, begin, end - begin)],
+                    names=["core", "whole", "k1", "k2", "at", "least", "most", "low", "high", "times", "piece"],
+                )
+
+    return hot.mapInArrow(run, "core long, whole long, k1 long, k2 long, at int, least int, most int, low int, high int, times long, piece binary")
+
+
+def by_halves(fetched: DataFrame, read: Reader, index: Callable, length: int, reach: int) -> list[DataFrame]:
+    """(k1, k2, begin, end) tables of the repeated stretches of the hot classes, one or two a round."""
+    out = []
+    hot = fetched.filter("hot").withColumn("low", F.lit(0)).withColumn("high", F.lit(reach - 1))
+    while not hot.isEmpty():
+        halves = written(halved(hot, read, length), "halves")
+        counted = written(halves.groupBy(*_FRAGMENT).agg(F.sum("times").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("place")), "half-fragments")
+        again = halves.join(counted.filter("n > 1").select(*_FRAGMENT), _FRAGMENT, "left_semi")
+        out.append(again.select("k1", "k2", (F.col("at") - F.col("most")).alias("begin"), (F.col("at") - F.col("least") + length).alias("end")))
+        one = counted.join(_varied(counted), "core").select(*_FRAGMENT, "place.*", F.col("n").alias("times"), "hot")
+        level = written(halves.drop("times").join(one, [*_FRAGMENT, "k1", "k2", "at"]), "half-pieces")
+        out.append(by_shards(level, index, length))
+        hot = level.filter("hot")
+    return out
+
+
+def repeated_spans(docs: DataFrame, read: Reader, index: Callable, length: int, reach: int, gram: int) -> DataFrame:
     """(k1, k2, spans): by row, the maximal runs of symbols covered by repeated windows, in order."""
-    settled, open_ = sift(docs, symbols, length, reach, gram)
-    fetched = written(fragments(docs, open_, codes, length), "pieces")
-    parts = [
-        settled.select("k1", "k2", (F.col("at") - F.col("most")).alias("begin"), (F.col("at") - F.col("least") + length).alias("end")),
-        by_shards(fetched, index, length),
-        by_windows(fetched, dtype, length),
-    ]
-    every = written(parts[0].unionByName(parts[1]).unionByName(parts[2]), "stretches")
+    settled, open_ = sift(docs, read, length, reach, gram)
+    fetched = written(fragments(docs, open_, read, length), "pieces")
+    every = settled.select("k1", "k2", (F.col("at") - F.col("most")).alias("begin"), (F.col("at") - F.col("least") + length).alias("end"))
+    for part in [by_shards(fetched, index, length), *by_halves(fetched, read, index, length, reach)]:
+        every = every.unionByName(part)
+    every = written(every, "stretches")
     discard(fetched)
+    # sets first: rows that repeat without end, in key and text, bring each stretch once from a task
+    sets = every.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("s"))
     along = Window.partitionBy("k1", "k2").orderBy("begin", "end")
     reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     runs = (
-        every.withColumn("_new", F.coalesce(F.col("begin") > reached, F.lit(True)).cast("int"))
+        sets.select("k1", "k2", F.inline_outer("s"))
+        .withColumn("_new", F.coalesce(F.col("begin") > reached, F.lit(True)).cast("int"))
         .withColumn("_run", F.sum("_new").over(along))
         .groupBy("k1", "k2", "_run")
         .agg(F.min("begin").alias("begin"), F.max("end").alias("end"))

@@ -7,6 +7,7 @@ bound is a piece of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,41 @@ class Polynomial:
         return mix((self.sums[end] - self.sums[start]) * down[start] + np.uint64(0x51) * (end - start).astype(np.uint64))
 
 
+def _weights(n: int) -> np.ndarray:
+    """A random number for every position, of any count."""
+    have = _powers.get("weights")
+    if have is None or len(have) < n:
+        have = _powers["weights"] = mix(np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return have[:n]
+
+
+def inner_places(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... inside each of the runs of these sizes, one run behind the other."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def word_codes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit code of every word: its bytes' codes times random numbers by position, summed up.
+
+    Unlike powers of one base, independent numbers leave no pair of unequal words of any length
+    that the sum cannot tell apart, other than by chance.
+    """
+    size = ends - starts
+    inner = inner_places(size)
+    sums = np.zeros(len(inner) + 1, np.uint64)
+    weights = _weights(int(size.max()) if len(size) else 0)
+    np.cumsum(BYTE_CODES[buffer[inner + np.repeat(starts, size)]] * weights[inner], out=sums[1:], dtype=np.uint64)
+    last = np.cumsum(size)
+    return mix(sums[last] - sums[last - size] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of a cryptographic hash of each slice of ``data``: equal only if the bytes are."""
+    view = memoryview(np.ascontiguousarray(data))
+    made = b"".join([hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(made, np.uint64)
+
+
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than texts) of a string column; null texts are empty."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

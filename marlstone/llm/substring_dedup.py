@@ -15,8 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.anchors import gaps, keyed_texts, repeated_spans
-from marlstone.llm.buffers import BYTE_CODES, Polynomial, words
+from marlstone.llm.anchors import Symbols, gaps, keyed_texts, repeated_spans
+from marlstone.llm.buffers import Polynomial, inner_places, word_codes, words
 from marlstone.llm.shared import few_files, space_words, table
 from marlstone.llm.windows import row_keys
 
@@ -95,17 +95,37 @@ class FMIndex:
         return self.first[symbol] + a, self.first[symbol] + b
 
 
+def word_numbers(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers from 1 on, equal if and only if the words' bytes are, and one more than the greatest.
+
+    Words are grouped by their codes and then compared byte for byte with the first of their group;
+    should a code stand for two words, a dictionary of the words themselves numbers them.
+    """
+    known, first, ids = np.unique(word_codes(buffer, starts, ends), return_index=True, return_inverse=True)
+    size, model = ends - starts, first[ids]
+    same = (size == size[model]).all()
+    if same:
+        inner = inner_places(size)
+        same = (buffer[inner + np.repeat(starts, size)] == buffer[inner + np.repeat(starts[model], size)]).all()
+    if same:
+        return ids.astype(np.int64) + 1, len(known) + 1
+    raw, numbers = buffer.tobytes(), {}
+    out = np.array([numbers.setdefault(raw[a:b], len(numbers) + 1) for a, b in zip(starts, ends, strict=True)], np.int64)
+    return out, len(numbers) + 1
+
+
 def repeated_windows(pieces: list[bytes], core: np.ndarray, least: np.ndarray, most: np.ndarray, times: np.ndarray, length: int, reach: int) -> np.ndarray:
-    """Flags (fragment, distance to the anchor) of windows found twice or more in the shard."""
+    """Flags (fragment, distance to the anchor) of windows found twice or more in the shard.
+    ``pieces``: words joined by a blank."""
     n = len(pieces)
-    hashes = [np.frombuffer(p, np.uint64) for p in pieces]
-    sizes = np.array([len(h) for h in hashes])
-    known, ids = np.unique(np.concatenate(hashes), return_inverse=True)
-    ids = ids.astype(np.int64) + 1
+    buffer = np.frombuffer(b"".join(pieces), np.uint8)
+    starts, ends, firsts = words(buffer, np.cumsum([0, *(len(p) for p in pieces)]))
+    ids, sigma = word_numbers(buffer, starts, ends)
+    sizes = np.diff(firsts)
     begin = np.cumsum(sizes) - sizes
     texts = [ids[b : b + s] for b, s in zip(begin, sizes, strict=True)]
     # a fragment found twice or more counts as two
-    index = FMIndex([*texts, *(t for t, k in zip(texts, times, strict=True) if k > 1)], len(known) + 1)
+    index = FMIndex([*texts, *(t for t, k in zip(texts, times, strict=True) if k > 1)], sigma)
     flags = np.zeros((n, reach), bool)
     queries = np.flatnonzero(times < 2)
     start, at = np.zeros(len(queries), np.int64), np.full(len(queries), length, np.int64)
@@ -128,14 +148,15 @@ def repeated_windows(pieces: list[bytes], core: np.ndarray, least: np.ndarray, m
     return flags
 
 
-def _codes(buffer: np.ndarray, offsets: np.ndarray):
+def read_words(buffer: np.ndarray, offsets: np.ndarray) -> Symbols:
+    """The words of the texts, spelt with one blank behind each."""
     starts, ends, firsts = words(buffer, offsets)
-    return Polynomial(BYTE_CODES[buffer]).of(starts, ends), firsts
-
-
-def _symbols(buffer: np.ndarray, offsets: np.ndarray):
-    codes, firsts = _codes(buffer, offsets)
-    return Polynomial(codes | np.uint64(1)), firsts
+    size = ends - starts
+    last = np.cumsum(size + 1)
+    data = np.full(int(last[-1]) if len(last) else 0, 32, np.uint8)
+    inner = inner_places(size)
+    data[inner + np.repeat(last - size - 1, size)] = buffer[inner + np.repeat(starts, size)]
+    return Symbols(Polynomial(word_codes(buffer, starts, ends) | np.uint64(1)), firsts, data, last - size - 1, last - 1)
 
 
 def remove_repeats(df: DataFrame, length: int = 35, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -143,9 +164,10 @@ def remove_repeats(df: DataFrame, length: int = 35, text: str = "text", key: str
     joined by one blank).
 
     A word goes if a sequence of ``length`` words that covers it starts anywhere else too, in the
-    same or another text. Words are runs of anything but ASCII white space, compared unchanged by a
-    64-bit hash. Null texts have no words; texts of fewer words stay whole. Of equal rows each is
-    another's repeat. Columns with the names of the results are replaced.
+    same or another text. Words are runs of anything but ASCII white space, compared unchanged: the
+    index compares their bytes, and fragments that repeat as a whole a cryptographic hash of them.
+    Null texts have no words; texts of fewer words stay whole. Of equal rows each is another's
+    repeat. Columns with the names of the results are replaced.
     """
     reach = max(2, length * 2 // 3)
     gram = min(2, length - reach + 1)
@@ -154,7 +176,7 @@ def remove_repeats(df: DataFrame, length: int = 35, text: str = "text", key: str
         return repeated_windows(pieces, core, least, most, times, length, reach)
 
     df = df.drop("n_words", "spans", "kept")
-    spans = repeated_spans(keyed_texts(df, key, text), _symbols, _codes, np.uint64, index, length, reach, gram)
+    spans = repeated_spans(keyed_texts(df, key, text), read_words, index, length, reach, gram)
     k1, k2 = row_keys(F.col(key), F.col(text))
     out = df.withColumn("__k1", k1).withColumn("__k2", k2).join(spans.withColumnRenamed("k1", "__k1").withColumnRenamed("k2", "__k2"), ["__k1", "__k2"], "left").drop("__k1", "__k2")
     out = out.withColumn("__w", space_words(F.coalesce(F.col(text).cast("string"), F.lit(""))))

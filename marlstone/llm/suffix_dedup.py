@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.anchors import gaps, keyed_texts, repeated_spans
+from marlstone.llm.anchors import Symbols, gaps, keyed_texts, repeated_spans
 from marlstone.llm.buffers import BYTE_CODES, Polynomial
 from marlstone.llm.shared import few_files, table
 from marlstone.llm.windows import row_keys
@@ -64,7 +64,7 @@ class ColumnTransform:
         self.group = group.astype(np.int64)
         self.order, self.prefix = ColumnFile(), ColumnFile()
         self.order.write(np.arange(len(group), dtype=np.int32))
-        self.prefix.write(np.zeros(len(group), np.int16))
+        self.prefix.write(np.zeros(len(group), np.int32))
 
     def insert(self, column: np.ndarray) -> np.ndarray:
         """Put ``column[row]`` in front of every suffix; returns the transform's part."""
@@ -75,32 +75,25 @@ class ColumnTransform:
         key = key[moved]
         before, here = moved[:-1], moved[1:]
         same = key[1:] == key[:-1]
-        common = np.zeros(len(order), np.int16)
+        common = np.zeros(len(order), np.int32)
         near = same & (here == before + 1)
         common[1:][near] = prefix[here[near]] + 1
         far = np.flatnonzero(same & ~near)
         if len(far):
             ranges = np.empty(2 * len(far), np.int64)
             ranges[::2], ranges[1::2] = before[far] + 1, here[far] + 1
-            common[1 + far] = np.minimum.reduceat(np.append(prefix, np.int16(0)), ranges)[::2] + 1
+            common[1 + far] = np.minimum.reduceat(np.append(prefix, np.int32(0)), ranges)[::2] + 1
         self.order.write(order[moved])
         self.prefix.write(common)
         return part
 
-    def insert_equal(self, columns: int) -> None:
-        """Insert columns whose symbols are equal within every group: no row moves."""
-        order, prefix = self.order.read(), self.prefix.read().copy()
-        inside = self.group[order][1:] == self.group[order][:-1]
-        prefix[1:][inside] += columns
-        self.prefix.write(prefix)
-
     def keep(self, rows: np.ndarray) -> None:
         """Drop the rows that are used up (``rows[row]`` false)."""
         order, prefix = self.order.read(), self.prefix.read()
         left = np.flatnonzero(rows[order])
         if len(left) == len(order):
             return
-        common = np.zeros(len(left), np.int16)
+        common = np.zeros(len(left), np.int32)
         if len(left) > 1:
             # the least common prefix on the way from one kept row to the next
             common[1:] = np.minimum.reduceat(prefix[: left[-1] + 1], left[:-1] + 1)
@@ -126,10 +119,9 @@ def repeated_windows(pieces: list[bytes], core: np.ndarray, least: np.ndarray, m
     weight = np.minimum(times, 2)
     flags = np.zeros((n, reach), bool)
     transform = ColumnTransform(group)
-    shared = length - reach + 1  # the core, from the anchor on
-    for column in range(reach - 2 + length, reach - 2 + shared, -1):
+    # from the last column down to the anchor's: the core's own symbols are compared like any others
+    for column in range(reach - 2 + length, reach - 2, -1):
         transform.insert(grid[column])
-    transform.insert_equal(shared)
     for x in range(reach):
         if x:
             transform.keep(most >= x)
@@ -146,12 +138,9 @@ def repeated_windows(pieces: list[bytes], core: np.ndarray, least: np.ndarray, m
     return flags
 
 
-def _bytes(buffer: np.ndarray, offsets: np.ndarray):
-    return buffer, offsets
-
-
-def _symbols(buffer: np.ndarray, offsets: np.ndarray):
-    return Polynomial(BYTE_CODES[buffer]), offsets
+def read_bytes(buffer: np.ndarray, offsets: np.ndarray) -> Symbols:
+    at = np.arange(len(buffer) + 1)
+    return Symbols(Polynomial(BYTE_CODES[buffer]), offsets, buffer, at[:-1], at[1:])
 
 
 def remove_repeats(df: DataFrame, length: int = 400, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -169,7 +158,7 @@ def remove_repeats(df: DataFrame, length: int = 400, text: str = "text", key: st
         return repeated_windows(pieces, core, least, most, times, length, reach)
 
     df = df.drop("spans", "kept")
-    spans = repeated_spans(keyed_texts(df, key, text), _symbols, _bytes, np.uint8, index, length, reach, gram)
+    spans = repeated_spans(keyed_texts(df, key, text), read_bytes, index, length, reach, gram)
     k1, k2 = row_keys(F.col(key), F.col(text))
     raw = F.coalesce(F.encode(F.col(text).cast("string"), "UTF-8"), F.lit(b""))
     out = df.withColumn("__k1", k1).withColumn("__k2", k2).join(spans.withColumnRenamed("k1", "__k1").withColumnRenamed("k2", "__k2"), ["__k1", "__k2"], "left").drop("__k1", "__k2")

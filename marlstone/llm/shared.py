@@ -29,11 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """Deal rows that are small beside the work that made them into an eighth of the shuffle
-    partitions. The stage that does the work then writes no files of its own: each file costs the
-    executor two process starts on a local file system, and small files cost any reader."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(1, parts // 8))
+    """Deal rows that are small beside the work that made them into files whose number follows from
+    the bytes: the planner merges the partitions of the exchange up to its advisory size. The stage
+    that does the work then writes no files of its own, of which there would be one for each task."""
+    return df.hint("rebalance")
 
 
 def written(df: DataFrame, label: str, small: bool = False) -> DataFrame:

@@ -71,6 +71,64 @@ def test_word_repeats(spark, monkeypatch, length, class_rows):
     assert sorted((r["doc_id"], r["n_words"], r["kept"]) for r in out.collect()) == want
 
 
+def morse(n, a, b):
+    """Two different words of n characters that agree in every power sum of an odd base."""
+    one = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(a if x else b for x in one), "".join(b if x else a for x in one)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_polynomials_confuse(spark, n):
+    a, b = morse(n, "a", "b")
+    rest = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}")], "doc_id long, text string")
+    assert [r["spans"] for r in substring_dedup.remove_repeats(docs).collect()] == [[], []]
+    docs = spark.createDataFrame([(1, " ".join([a, b, a, a, b])), (2, " ".join([b, a, b, b, a]))], "doc_id long, text string")
+    assert all(r["kept"] for r in minhash.near_duplicates(docs).collect())
+    docs = spark.createDataFrame([(1, a + rest), (2, b + rest)], "doc_id long, text string")
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffix_dedup.remove_repeats(docs, n).collect()}
+    assert got == {1: a + rest, 2: b + rest}
+
+
+def test_equal_codes_of_unequal_words(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "word_codes", lambda buffer, starts, ends: (ends - starts).astype(np.uint64))
+    buffer = np.frombuffer(b"ab cd ab x", np.uint8)
+    ids, sigma = substring_dedup.word_numbers(buffer, np.array([0, 3, 6, 9]), np.array([2, 5, 8, 10]))
+    assert ids.tolist() == [1, 2, 1, 3] and sigma == 4
+
+
+@pytest.mark.parametrize("class_rows", [1024, 2])
+def test_production_lengths(spark, monkeypatch, class_rows):
+    """400 bytes and 35 words over whole documents, with and without halved classes."""
+    monkeypatch.setattr(anchors, "CLASS_ROWS", class_rows)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    raw = [(r["text"] or "").encode() for r in rows]
+    want = {r["doc_id"]: bytes(x for x, f in zip(b, flags, strict=True) if not f) for r, b, flags in zip(rows, raw, covered_long(raw, 400), strict=True)}
+    assert {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(docs).collect()} == want
+    words = [(r["text"] or "").split() for r in rows]
+    want = {r["doc_id"]: " ".join(x for x, f in zip(w, flags, strict=True) if not f) for r, w, flags in zip(rows, words, covered(words, 35), strict=True)}
+    assert {r["doc_id"]: r["kept"] for r in substring_dedup.remove_repeats(docs).collect()} == want
+
+
+def covered_long(sequences, length):
+    """As ``covered``, for bytes, by the windows themselves."""
+    seen = defaultdict(int)
+    for s in sequences:
+        for i in range(len(s) - length + 1):
+            seen[hash(s[i : i + length])] += 1
+    out = []
+    for s in sequences:
+        flags, until = [False] * len(s), 0
+        for i in range(len(s) - length + 1):
+            if seen[hash(s[i : i + length])] > 1:
+                for k in range(max(i, until), i + length):
+                    flags[k] = True
+                until = i + length
+        out.append(flags)
+    return out
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.remove_repeats(none).count() == 0
@@ -120,9 +178,15 @@ def shingles(text):
     return frozenset([tuple(words)]) if len(words) < 5 else frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
 
 
-@pytest.mark.parametrize("block", [2048, 5])
-def test_near_duplicates(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "names"), [(2048, False), (5, False), (2048, True)])
+def test_near_duplicates(spark, monkeypatch, block, names):
     monkeypatch.setattr(minhash, "BLOCK_NODES", block)
+    if names:  # first names that many sets share; the second ones still differ
+
+        def by_size(hashes, firsts, full):
+            return np.diff(firsts)[full].astype(np.int64) % 7, np.add.reduceat(hashes, firsts[:-1][full]).view(np.int64)
+
+        monkeypatch.setattr(minhash, "node_names", by_size)
     rng = random.Random(5)
     base = [[rng.choice("aé b Cc dd e f g h".split()) + str(rng.randint(0, 40)) for _ in range(rng.randint(3, 120))] for _ in range(12)]
     rows = []

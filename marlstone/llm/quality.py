@@ -1,7 +1,7 @@
 """Line-first cleaning with built-in functions only.
 
 Each line of a text is judged alone: punctuation (too many symbols for its words, or a long run of
-words without any mark), navigation (menus: parts set apart by bars or arrows, or nothing but menu
+words without any mark, whatever their script), navigation (menus: parts set apart by bars or arrows, or nothing but menu
 words) and boilerplate (stock phrases of web pages). Failing lines go; a document that loses more
 than ``most_lost`` of its word characters goes as a whole. No step leaves the row it works on, so
 there is no shuffle.
@@ -39,6 +39,10 @@ BARS = ("|", "»", ">", "›", "•", "·")
 MENU_WORDS = ("home", "menu", "login", "logout", "sign in", "sign up", "register", "search", "next", "previous", "back", "share", "print", "contact", "about us", "sitemap", "skip to content", "read more")
 
 
+#: A mark: anything but letters, digits and blanks of any script.
+MARK = r"[^\p{L}\p{M}\p{N}\p{Z}_\x09-\x0D]"
+
+
 def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
@@ -75,7 +79,8 @@ def line_fails(line: Column) -> Column:
     bare = F.length(_without(line, BLANKS))
     symbols = _count_of(line, SYMBOLS + "{}") + (F.length(line) - F.length(F.replace(line, F.lit("!"), F.lit("")))) / 2
     noisy = F.col("__sym") & (symbols * 10 > bare)
-    unmarked = ~line.rlike(r"[^\w\s]") & (F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= 12)
+    unmarked = ~line.rlike(MARK) & (F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= 12)
+    # a bar between blanks
     bars = F.regexp_count(line, F.lit(r"(?:^|[ \t])(?:\||»|>|›|•|·)(?=$|[ \t])"))
     menu = F.col("__bar") & (bars >= 2) & (bars * 40 > bare)
     only_menu = (F.octet_length(line) < 30) & F.trim(F.regexp_replace(F.lower(line), "[^a-z ]+", " ")).isin(*MENU_WORDS)
@@ -166,12 +171,12 @@ lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM t),
 judged AS (
   SELECT doc_id, l, length(regexp_replace(l, '{white}+', '', 'g')) AS bare,
     (length(l) - length(regexp_replace(l, '[#*$%&|<>{{}}]', '', 'g'))) + (length(l) - length(replace(l, '!', ''))) / 2.0 AS sym,
-    len(regexp_extract_all(l, '(?:^|[ \\t])(?:\\||»|>|›|•|·)')) AS bars
+    len(regexp_extract_all(' ' || replace(replace(l, chr(9), ' '), ' ', '  ') || ' ', ' (?:\\||»|>|›|•|·) ')) AS bars
   FROM lines),
 marked AS (
   SELECT doc_id, l, bare, bare > 0 AND (sym * 10 > bare OR (bars >= 2 AND bars * 40 > bare) OR {stock}
     OR (octet_length(encode(l)) < 30 AND trim(regexp_replace(lower(l), '[^a-z ]+', ' ', 'g')) IN ({menu}))
-    OR (NOT regexp_matches(l, '[^\\w\\s]') AND len(regexp_extract_all(l, '{word}')) >= 12)) AS bad
+    OR (NOT regexp_matches(l, '{MARK}') AND len(regexp_extract_all(l, '{word}')) >= 12)) AS bad
   FROM judged),
 sums AS (
   SELECT doc_id, count(*) FILTER (bare > 0) - count(DISTINCT l) FILTER (bare > 0) AS n_dup_lines,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.buffers import pieces
-from marlstone.llm.shared import few_files, filtered_apart, table
+from marlstone.llm.shared import few_files, filtered_apart, table, written
 
 WINDOW = 192
 DIM = 8
@@ -28,9 +28,10 @@ _WIDE = max(WIDTHS)
 _BATCH = 192
 UNKNOWN = "und"
 
-#: Bounds of what is learned from: texts in all, and languages.
+#: Bound of what is learned from: labelled texts in all.
 TRAIN_TEXTS = 4000
-MAX_LANGUAGES = 200
+#: The pipeline stage rejects texts whose best language is no likelier than this many times chance.
+OVER_CHANCE = 1.05
 
 
 @dataclass
@@ -143,21 +144,21 @@ def fill(buffer: np.ndarray, start: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts: int = TRAIN_TEXTS, seed: int = 7) -> ByteNet | None:
-    """Fit on at most ``texts`` labelled rows, as many of each language as there are, chosen by a
-    hash of their key; three windows of each, at seeded places. None if nothing is labelled."""
+    """Fit on at most ``texts`` labelled rows, about as many of each language, chosen by a hash of
+    their key; three windows of each, at seeded places. Any number of languages may be labelled:
+    those that are met among the chosen rows are learned. None if nothing is labelled."""
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
+    shown = written(rows.groupBy(F.col(lang).alias("__lang")).agg(F.count(F.lit(1)).alias("__n")), "languages", small=True)
+    kinds = shown.count()
+    if not kinds:
         return None
-    languages = sorted(r[lang] for r in counts)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[lang]), F.lit(1.2 * texts / len(counts) / r["n"]))])
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 30))
     n = F.length(text)
     places = [F.substring(text, F.pmod(F.xxhash64(F.lit(i), F.col(key).cast("string")), F.greatest(n - WINDOW, F.lit(1))).cast("int") + 1, F.lit(WINDOW)) for i in range(3)]
-    chosen = rows.select(F.col(lang).alias("lang"), draw.alias("draw"), F.array(*places).alias("parts")).filter(F.col("draw") < share[F.col("lang")] * (1 << 30))
+    parts = rows.select(F.col(lang).alias("lang"), draw.alias("draw"), F.array(*places).alias("parts")).join(shown, F.col("lang") == F.col("__lang"))
+    chosen = parts.filter(F.col("draw") < F.lit(1.2 * texts / kinds * (1 << 30)) / F.col("__n")).select("lang", "draw", "parts")
     got = chosen.orderBy("draw", "lang", "parts").limit(texts).collect()
+    languages = sorted({r["lang"] for r in got})
     rng = np.random.default_rng(seed)
     windows, labels = [], []
     for r in got:
@@ -218,10 +219,13 @@ def op4_byte_network(spark, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without any recognisable language go: null texts and texts without a
-    letter. The predicted language and its score decide nothing here. If nothing is labelled, so that
-    no network can be trained, the same documents go."""
+    """Pipeline stage: documents without any recognisable language go: null texts, texts without a
+    letter, and texts that the network cannot place: to which it gives all languages about the same
+    probability, none more than ``OVER_CHANCE`` times chance. A network that knows one language
+    places everything. If nothing is labelled, so that none can be trained, the first two kinds go."""
     net = learn(docs.filter(~held_out()))
     if net is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return filtered_apart(docs, ("lang_pred", "score"), lambda d: identify(d, net).filter(F.col("lang_pred") != UNKNOWN))
+    kinds = len(net.languages)
+    placed = (F.col("lang_pred") != UNKNOWN) & (F.col("score") > (OVER_CHANCE / kinds if kinds > 1 else 0))
+    return filtered_apart(docs, ("lang_pred", "score"), lambda d: identify(d, net).filter(placed))

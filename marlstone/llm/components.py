@@ -13,15 +13,19 @@ from pyspark.sql import functions as F
 from marlstone.llm.shared import discard, written
 
 
-def _stars(pairs: DataFrame, large: bool) -> DataFrame:
-    """One star step over directed pairs (u, v): every u with the least of itself and its v."""
-    least = written(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", small=True)
-    joined = pairs.join(least, "u")
-    if large:
-        out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-    return out.filter("a <> b").distinct()
+def _large_star(links: DataFrame) -> DataFrame:
+    """Every node's greater neighbours, linked with the least of the node and its neighbours."""
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    star = both.join(least, "u").filter("v > u AND v <> m")
+    return star.select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Every node (a) and its smaller neighbours (b), linked with the least of these."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    star = links.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return star.union(least.select("a", "m")).distinct()
 
 
 def components(links: DataFrame, label: str = "links") -> DataFrame:
@@ -33,14 +37,11 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     now = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label, small=True)
     before = None
     while True:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        large = written(_stars(both, True).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label, small=True)
-        now_next = written(_stars(large, False), label, small=True)
-        state = now_next.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        discard(large)
+        after = written(_small_star(_large_star(now)), label, small=True)
+        state = tuple(after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         discard(now)
-        now = now_next
-        if tuple(state) == before:
+        now = after
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

@@ -1,8 +1,9 @@
 """Benchmark decontamination with built-in functions only.
 
 The normalised word windows of the benchmark make a hash set, which is broadcast to the scan if its
-counted size is under a bound (beyond it Spark joins by shuffling). Every window of every document
-is looked up; hits are then verified word for word, and the covered words give spans to cut out or
+counted size is under a bound (beyond it Spark joins by shuffling). One scan looks up every window
+of every document, windows of all lengths that the benchmark has (items may be shorter than a
+window); hits are then verified word for word, and the covered words give spans to cut out or
 documents to drop.
 """
 
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.shared import count_alnum_words, few_files, filtered_apart, table, text_or_empty, written
 from marlstone.llm.windows import row_keys, with_window_hashes, words_of
 
-#: Most distinct window hashes that are broadcast (8 bytes each, 64 MB in all).
-BROADCAST_HASHES = 8_000_000
+#: Most distinct window hashes that are broadcast: about 60 bytes each once hashed, 60 MB in all.
+BROADCAST_HASHES = 1_000_000
 
 #: Columns that :func:`contamination` adds.
 FIGURES = ("n_words", "n_hit", "item_ids", "hit_words")
@@ -38,37 +39,36 @@ def benchmark_windows(items: DataFrame, item: str, text: str, length: int) -> Da
 
 def _hashed(windows: DataFrame, lengths: list[int]) -> DataFrame:
     """Windows with the hash that :func:`with_window_hashes` gives them."""
-    parts = [with_window_hashes(windows.filter(F.col("length") == n), "words", n, "__x").withColumn("hash", F.col("__x")[0]).drop("__x") for n in lengths]
+    parts = [with_window_hashes(windows.filter(F.col("length") == n), "words", {n: "__x"}).withColumn("hash", F.col("__x")[0]).drop("__x") for n in lengths]
     return reduce(DataFrame.unionByName, parts).withColumn("window", F.array_join("words", " ")).drop("words")
 
 
-def _places(keyed: DataFrame, length: int, *more: str) -> DataFrame:
-    """Every window of the texts: k1, k2, start, hash (and the columns ``more``)."""
-    rows = with_window_hashes(keyed.withColumn("__w", words_of(F.col("__text"))), "__w", length, "__x")
-    return rows.select("k1", "k2", *more, F.posexplode_outer("__x").alias("start", "hash"))
-
-
 def _window_at(words: str, start: Column, length: Column) -> Column:
     return F.array_join(F.slice(words, start + 1, length), " ")
 
 
+def _places(keyed: DataFrame, lengths: list[int], *more: str) -> DataFrame:
+    """Every window of the texts: k1, k2, length, start, hash (and the columns ``more``)."""
+    names = {n: f"__x{n}" for n in lengths}
+    rows = with_window_hashes(keyed.withColumn("__w", words_of(F.col("__text"))), "__w", names)
+    by_length = F.array(*[F.struct(F.lit(n).alias("length"), F.col(x).alias("hashes")) for n, x in names.items()])
+    sets = rows.select("k1", "k2", *more, F.explode_outer(by_length).alias("s"))
+    return sets.select("k1", "k2", *more, "s.length", F.posexplode_outer("s.hashes").alias("start", "hash"))
+
+
 def _scan(keyed: DataFrame, hashes: DataFrame, lengths: list[int]) -> DataFrame:
     """Hits by a broadcast hash set. The words of a row go along by reference as its windows pass
     the set, and only those of a hit are written."""
-    found = []
-    for n in lengths:
-        hits = _places(keyed, n, "__w").join(F.broadcast(hashes.filter(F.col("length") == n)), "hash", "left_semi")
-        found.append(hits.select("k1", "k2", "start", F.lit(n).alias("length"), "hash", _window_at("__w", F.col("start"), F.lit(n)).alias("window")))
-    return reduce(DataFrame.unionByName, found)
+    hits = _places(keyed, lengths, "__w").join(F.broadcast(hashes), "hash", "left_semi")
+    return hits.select("k1", "k2", "start", "length", "hash", _window_at("__w", F.col("start"), F.col("length")).alias("window"))
 
 
 def _scan_by_shuffle(keyed: DataFrame, hashes: DataFrame, lengths: list[int]) -> DataFrame:
     """The same for a benchmark too large to broadcast: hashes are joined by shuffle, and the texts
     of rows with hits are fetched once more for their words."""
-    found = [_places(keyed, n).join(hashes.filter(F.col("length") == n), "hash", "left_semi").withColumn("length", F.lit(n)) for n in lengths]
-    hits = written(reduce(DataFrame.unionByName, found).distinct(), "hash-hits")
+    hits = written(_places(keyed, lengths).join(hashes, "hash", "left_semi").distinct(), "hash-hits")
     by_row = written(hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "length", "hash")).alias("places")), "hash-hit-rows", small=True)
-    worded = keyed.join(by_row, ["k1", "k2"]).withColumn("__w", words_of(F.col("__text"))).withColumn("__n", F.size("__w"))
+    worded = keyed.join(by_row, ["k1", "k2"]).withColumn("__w", words_of(F.col("__text")))
     named = F.transform(
         "places", lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), p["hash"].alias("hash"), _window_at("__w", p["start"], p["length"]).alias("window"))
     )
@@ -77,7 +77,7 @@ def _scan_by_shuffle(keyed: DataFrame, hashes: DataFrame, lengths: list[int]) ->
 
 def find_hits(docs: DataFrame, windows: DataFrame, lengths: list[int], text: str, keys: tuple[Column, Column]) -> DataFrame:
     """(k1, k2, start, length, items): verified places of benchmark windows in the documents."""
-    hashes = windows.select("length", "hash").distinct()
+    hashes = windows.select("hash").distinct()
     scan = _scan if hashes.count() <= BROADCAST_HASHES else _scan_by_shuffle
     keyed = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), F.col(text).alias("__text"))
     hits = written(scan(keyed, hashes, lengths), "hits", small=True)

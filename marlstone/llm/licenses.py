@@ -41,7 +41,7 @@ TEMPLATES = (
 def template_grams(spark: SparkSession, templates, k: int = K) -> DataFrame:
     """(template, at, hash, gram, grams): all k-grams of the templates; a bounded, fixed table."""
     rows = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(templates)], "template int, text string")
-    hashed = with_window_hashes(rows.withColumn("__w", words_of(F.col("text"))), "__w", k, "__x")
+    hashed = with_window_hashes(rows.withColumn("__w", words_of(F.col("text"))), "__w", {k: "__x"})
     placed = hashed.select("template", "__w", F.size("__x").alias("grams"), F.posexplode_outer("__x").alias("at", "hash"))
     return placed.select("template", "at", "hash", "grams", F.array_join(F.slice("__w", F.col("at") + 1, F.lit(k)), " ").alias("gram"))
 
@@ -56,7 +56,7 @@ def find_spans(docs: DataFrame, templates, exact: int, text: str, keys: tuple[Co
     """
     grams = F.broadcast(template_grams(docs.sparkSession, templates, k))  # fixed size
     keyed = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), words_of(F.col(text)).alias("__w"))
-    hashed = with_window_hashes(keyed, "__w", k, "__x")
+    hashed = with_window_hashes(keyed, "__w", {k: "__x"})
     votes = hashed.select("k1", "k2", "__w", F.posexplode_outer("__x").alias("start", "hash")).join(grams, "hash")
     same = F.array_join(F.slice("__w", F.col("start") + 1, F.lit(k)), " ") == F.col("gram")
     hits = written(votes.select("k1", "k2", "template", "grams", "at", (F.col("start") - F.col("at")).alias("diagonal"), same.alias("same")), "votes", small=True)

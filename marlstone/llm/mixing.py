@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.shared import count_space_words, few_files, table, text_or_empty, written
-from marlstone.llm.windows import row_keys
+from marlstone.llm.windows import one_of_each, repeated, row_names
 
 
 def water_fill(sizes: Mapping[str | None, int], weights: Mapping[str | None, float], total: float, most: float) -> dict:
@@ -99,6 +99,17 @@ def cheapest_routes(
             x = heads[via[x] ^ 1]
 
 
+def plan_flow(capacity: Mapping[tuple, int], quota: Mapping, repeats: int, max_overlaps: int = 20_000) -> dict[tuple[tuple, object], int]:
+    """Cheapest tokens from patterns to sources. A source whose documents all belong to it alone
+    gets what its own pattern can give; the others, which share documents, go through the flow."""
+    shared = {s for p in capacity if len(p) > 1 for s in p}
+    flow = {(p, p[0]): min(quota[p[0]], v * repeats) for p, v in capacity.items() if len(p) == 1 and p[0] not in shared}
+    rest = {p: v for p, v in capacity.items() if shared.intersection(p)}
+    if len(rest) > max_overlaps:
+        raise ValueError(f"more than {max_overlaps} patterns of overlapping sources")
+    return {k: v for k, v in flow.items() if v} | cheapest_routes(rest, {s: quota[s] for s in quota if s in shared}, repeats)
+
+
 def mix_sources(
     df: DataFrame,
     size: Column,
@@ -108,7 +119,7 @@ def mix_sources(
     total: float | None = None,
     most: int = 3,
     seed: str = "mix",
-    max_patterns: int = 20_000,
+    max_patterns: int = 1_000_000,
     rows_per_bin: int = 20_000,
 ) -> DataFrame:
     """Add ``size``, ``taken`` (tokens taken, repeats counted), and of the row's sources ``pattern``
@@ -117,21 +128,26 @@ def mix_sources(
     ``members``: array of the sources that a row belongs to, none null (a null source is given a
     name by the caller). ``weights_of``: function from the list of sources in code point order to
     their weights. Only sums by pattern reach the driver; more than ``max_patterns`` patterns raise
-    an error. A pattern's rest goes to documents in the order of a seeded hash of the key: sums by
+    an error. A pattern's rest goes to documents in the order of a seeded hash of the row: sums by
     hash bin find the bin in which the rest ends, and rows are summed up only inside that bin, so
-    no task gets a whole source. Rows without tokens take none; equal rows are taken one by one; an
+    no task gets a whole source. Equal rows are counted and decided together, however many there
+    are; some of them may be taken once more than the others. Rows without tokens take none; an
     empty table gives an empty result.
     """
-    rows = df.drop("source_sizes", "source_targets").withColumn("size", size.cast("long")).withColumn("pattern", F.array_sort(F.array_distinct(members)))
+    rows = df.drop("taken", "source_sizes", "source_targets").withColumn("size", size.cast("long")).withColumn("pattern", F.array_sort(F.array_distinct(members)))
     sums = rows.groupBy("pattern").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("n"))
     got = sums.limit(max_patterns + 1).collect()
     if len(got) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
     capacity = {tuple(r["pattern"]): r["tokens"] for r in sorted(got, key=lambda r: list(r["pattern"]))}
-    names = sorted({s for p in capacity for s in p})
-    sizes = {s: sum(v for p, v in capacity.items() if s in p) for s in names}
+    sizes: dict = {}
+    for p, tokens in capacity.items():
+        for s in p:
+            sizes[s] = sizes.get(s, 0) + tokens
+    names = sorted(sizes)
+    sizes = {s: sizes[s] for s in names}
     target = water_fill(sizes, dict(zip(names, weights_of(names), strict=True)), sum(capacity.values()) if total is None else total, most)
-    flow = cheapest_routes(capacity, {s: round(target[s]) for s in names}, most)
+    flow = plan_flow(capacity, {s: round(target[s]) for s in names}, most)
     spark, plan = df.sparkSession, []
     bins = max(64, -(-sum(r["n"] for r in got) // rows_per_bin))
     for p, tokens in capacity.items():
@@ -140,33 +156,36 @@ def mix_sources(
         plan.append((list(p), int(full), int(goal - full * tokens) if full < most else 0, [float(sizes[s]) for s in p], [float(target[s]) for s in p]))
     plan_df = spark.createDataFrame(plan, "pattern array<string>, __full long, __rest long, source_sizes array<double>, source_targets array<double>")
 
-    order = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
-    binned = rows.withColumn("__h", order).withColumn(
-        "__bin", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(bins)).cast("int")
-    )
-    per_bin = binned.groupBy("pattern", "__bin").agg(F.sum("size").alias("__sum"))
+    r1, r2 = row_names(rows)
+    named = rows.withColumn("__r1", r1).withColumn("__r2", r2)
+    h = F.xxhash64(F.lit(seed), F.col(key).cast("string"), "__r1")
+    counted = named.withColumn("__h", h).groupBy("pattern", "size", "__h", "__r1", "__r2").agg(F.count(F.lit(1)).alias("__n"))
+    binned = written(counted.withColumn("__bin", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(bins)).cast("int")), "row-sizes")
+    per_bin = binned.groupBy("pattern", "__bin").agg(F.sum(F.col("size") * F.col("__n")).alias("__sum"))
     upto = Window.partitionBy("pattern").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
         per_bin.withColumn("__before", F.coalesce(F.sum("__sum").over(upto), F.lit(0)))
-        .join(F.broadcast(plan_df.select("pattern", "__full", "__rest", "source_sizes", "source_targets")), "pattern")
+        .join(plan_df, "pattern")
         .withColumn("__left", F.col("__rest") - F.col("__before"))
         .withColumn("__whole", F.col("__left") >= F.col("__sum"))
         .drop("__sum", "__before", "__rest")
     )
     joined = binned.join(cuts, ["pattern", "__bin"])
-    inside = Window.partitionBy("pattern", "__bin").orderBy("__h", F.col(key), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("pattern", "__bin").orderBy("__h", "__r1", "__r2", "size").rowsBetween(Window.unboundedPreceding, -1)
     middle = joined.filter(~F.col("__whole") & (F.col("__left") > 0))
-    picked = middle.withColumn("__prior", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn(
-        "__extra",
-        # the document in which the rest ends is taken if most of it is wanted
-        (F.col("__left") - F.col("__prior") >= F.col("size") / 2) & (F.col("size") > 0),
-    )
-    rest = joined.filter(F.col("__whole") | (F.col("__left") <= 0)).withColumn("__prior", F.lit(0).cast("long")).withColumn("__extra", F.col("__whole"))
-    return (
-        picked.unionByName(rest)
-        .withColumn("taken", F.least(F.col("size") * most, F.col("size") * (F.col("__full") + F.col("__extra").cast("long"))))
-        .drop("__h", "__bin", "__full", "__left", "__whole", "__prior", "__extra")
-    )
+    prior = F.coalesce(F.sum(F.col("size") * F.col("__n")).over(inside), F.lit(0))
+    # the document in which the rest ends is taken if most of it is wanted
+    wanted = F.floor((F.col("__left") - prior) / F.nullif("size", F.lit(0)) + 0.5)
+    picked = middle.withColumn("__more", F.coalesce(F.greatest(F.lit(0), F.least("__n", wanted)), F.lit(0)).cast("long"))
+    rest = joined.filter(F.col("__whole") | (F.col("__left") <= 0)).withColumn("__more", F.when(F.col("__whole"), F.col("__n")).otherwise(0).cast("long"))
+    decided = written(picked.unionByName(rest).select("__r1", "__r2", "__n", "__full", "__more", "source_sizes", "source_targets"), "decisions")
+    extra = lambda copy: F.least(F.col("size") * most, F.col("size") * (F.col("__full") + (copy < F.col("__more")).cast("long"))).alias("taken")
+    columns = [*rows.columns, "source_sizes", "source_targets"]
+    out = named.join(decided.filter("__n = 1"), ["__r1", "__r2"]).select(*columns, extra(F.lit(0)))
+    if decided.filter("__n > 1").isEmpty():
+        return out
+    again = repeated(one_of_each(named, decided.filter("__n > 1"), rows.columns), "__n", "__copy")
+    return out.unionByName(again.select(*columns, extra(F.col("__copy"))))
 
 
 #: A null source is a source of its own; this name sorts after every other.
@@ -182,7 +201,8 @@ def count_words() -> Column:
 
 
 def mix_documents(docs: DataFrame, size: Column) -> DataFrame:
-    """``mix_sources`` with one source a document, weights 5, 2, 1 and all sizes shared."""
+    """``mix_sources`` with one source a document, weights 5, 2, 1 and all sizes shared. A document
+    counts for its own source only, so no patterns overlap here and each route has one price list."""
     members = F.array(F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
     return mix_sources(docs, size, members, cycled((5, 2, 1)))
 
@@ -205,13 +225,21 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: a document is written as often as the mix takes it, at most three times.
 
     The mix is worked out on sizes alone; texts are read once to count their words and once to be
-    written. Rows that are equal in doc_id and text are written alike, as often as any of them is
-    taken.
+    written. Rows that are equal altogether are written as often as all of them are taken.
     """
-    k1, k2 = row_keys(F.col("doc_id"), F.col("text"))
-    sized = written(docs.select(k1.alias("__k1"), k2.alias("__k2"), "doc_id", "source", count_words().alias("size")), "sized", small=True)
+    r1, r2 = row_names(docs)
+    sized = written(docs.select(r1.alias("__k1"), r2.alias("__k2"), "doc_id", "source", count_words().alias("size")), "sized", small=True)
     mixed = mix_documents(sized, F.col("size")).filter("taken > 0")
-    times = mixed.groupBy("__k1", "__k2").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__times"))
+    once = F.col("taken") / F.col("size")
+    times = mixed.groupBy(F.col("__k1").alias("__r1"), F.col("__k2").alias("__r2")).agg(F.sum(once.cast("long")).alias("__times"))
     times = written(times, "times", small=True)
-    joined = docs.withColumn("__k1", k1).withColumn("__k2", k2).join(times.hint("merge"), ["__k1", "__k2"])
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    named = docs.withColumn("__r1", r1).withColumn("__r2", r2)
+    same = written(sized.groupBy(F.col("__k1").alias("__r1"), F.col("__k2").alias("__r2")).agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1"), "same", small=True)
+    several = not same.isEmpty()
+    single = times.join(same.select("__r1", "__r2"), ["__r1", "__r2"], "left_anti") if several else times
+    joined = named.join(single.hint("merge"), ["__r1", "__r2"])
+    out = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+    if not several:
+        return out
+    equal = times.join(same.select("__r1", "__r2"), ["__r1", "__r2"])
+    return out.unionByName(repeated(one_of_each(named, equal, docs.columns), "__times", "__copy").select(*docs.columns))

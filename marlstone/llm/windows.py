@@ -22,34 +22,67 @@ def _shifted(a: Column, b: Column, by: int) -> Column:
     return F.zip_with(a, F.slice(b, F.lit(by + 1), F.size(b)), lambda x, y: F.xxhash64(x, y))
 
 
-def with_window_hashes(df: DataFrame, words: str, length: int, out: str) -> DataFrame:
-    """Add an array with the hash of each window of ``length`` words, by start; empty if none fits.
+def with_window_hashes(df: DataFrame, words: str, outs: dict[int, str]) -> DataFrame:
+    """Add, for each length in ``outs``, an array of that name with the hash of each window of so
+    many words, by start; empty if none fits. All lengths share the steps of the doubling.
 
-    Explode the array with an ``_outer`` form: the plain ones make Spark infer a filter on the
+    Explode the arrays with an ``_outer`` form: the plain ones make Spark infer a filter on an
     array's size, which it pushes below the steps here and so computes them over again, many times.
     """
     df = df.withColumn("__h1", F.transform(words, lambda w: F.xxhash64(w)))
-    made, level, power = ["__h1"], "__h1", 1
-    acc, have = None, 0
-    while True:
-        if length & power:
-            if acc is None:
-                acc, have = level, power
-            else:
-                df = df.withColumn(f"__a{have}", _shifted(F.col(acc), F.col(level), have))
-                acc, have = f"__a{have}", have + power
-                made.append(acc)
+    have, power = {1: "__h1"}, 1
+    while power * 2 <= max(outs):
+        df = df.withColumn(f"__h{power * 2}", _shifted(F.col(have[power]), F.col(have[power]), power))
         power *= 2
-        if power > length:
-            break
-        df = df.withColumn(f"__h{power}", _shifted(F.col(level), F.col(level), power // 2))
-        level = f"__h{power}"
-        made.append(level)
-    whole = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - (length - 1), F.lit(0)))
-    return df.withColumn(out, whole).drop(*[c for c in made if c != out])
+        have[power] = f"__h{power}"
+    for length in sorted(outs):
+        made = 0
+        for bit in range(length.bit_length()):
+            part = 1 << bit
+            if length & part and made + part not in have:
+                df = df.withColumn(f"__h{made + part}", _shifted(F.col(have[made]), F.col(have[part]), made))
+                have[made + part] = f"__h{made + part}"
+            made += length & part
+    for length, out in outs.items():
+        whole = F.col(have[length])
+        df = df.withColumn(out, F.slice(whole, F.lit(1), F.greatest(F.size(whole) - (length - 1), F.lit(0))))
+    return df.drop(*have.values())
 
 
 def row_keys(*columns: Column) -> tuple[Column, Column]:
-    """Two independent 64-bit hashes that name a row by its content."""
-    parts = [F.coalesce(c.cast("string"), F.lit("\x00null")) for c in columns]
-    return F.xxhash64(*parts), F.xxhash64(F.lit("second"), *reversed(parts))
+    """Two independent 64-bit hashes that name a row by its content. Hashes pass over nulls, so what
+    is null is hashed beside the values."""
+    parts = [c.cast("string") for c in columns]
+    null = [c.isNull() for c in columns]
+    return F.xxhash64(*parts, *null), F.xxhash64(F.lit("second"), *reversed(parts), *null)
+
+
+def row_names(df: DataFrame) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of whole rows; columns that hold maps are hashed as JSON."""
+    columns = [F.col(f"`{f.name}`") for f in df.schema.fields]
+    mapped = ["map<" in f.dataType.simpleString() for f in df.schema.fields]
+    values = [F.to_json(F.struct(c.alias("c"))) if m else c for c, m in zip(columns, mapped, strict=True)]
+    null = [c.isNull() for c in columns]
+    return F.xxhash64(*values, *null), F.xxhash64(F.lit("second"), *reversed(values), *null)
+
+
+def one_of_each(named: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """One row (``columns``) for each pair (__r1, __r2) of ``wanted``, with the columns of ``wanted``.
+
+    Rows of one name are equal. They are aggregated before they are shuffled for it, so that a row
+    which repeats without end never meets itself in one task.
+    """
+    keys = ["__r1", "__r2"]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    met = named.join(wanted.select(*keys), keys).select(*keys, row.alias("__row"))
+    return met.groupBy(*keys).agg(F.any_value("__row").alias("__row")).join(wanted, keys).select(*[c for c in wanted.columns if c not in keys], "__row.*")
+
+
+def repeated(rows: DataFrame, times: str, copy: str, chunk: int = 10_000) -> DataFrame:
+    """Every row ``times`` times, numbered from 0 in ``copy``; long runs are dealt to many tasks."""
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col(times) - 1) / chunk).cast("long")))
+    # a fixed count: by their bytes the chunks, still short rows here, would be merged into one task
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.filter(F.col(times) > 0).withColumn("__chunk", chunks).filter(F.col("__chunk") * chunk < F.col(times)).repartition(parts)
+    first = F.col("__chunk") * chunk
+    return dealt.withColumn(copy, F.explode(F.sequence(first, F.least(first + chunk, F.col(times)) - 1))).drop("__chunk")

@@ -86,6 +86,11 @@ def test_quality_edges(spark):
     assert out[1]["kept"] and out[1]["n_bad_lines"] == 0 and out[1]["clean_text"] == good
     for k in (2, 3):
         assert (out[k]["n_words"], out[k]["word_chars"], out[k]["n_dup_lines"], out[k]["base_failed"], out[k]["kept"]) == (0, 0, 0, True, False)
+    marks = ["слово " * 16, "café word " + "word " * 14, "plain word " * 8]  # no mark in any script
+    bars = "\n".join([f"abcdefghi{i} abcdefghij |abcdefghij, |abcdefghij x" for i in range(15)] + [good])
+    more = [(i, good + "\n" + m) for i, m in enumerate([*marks, marks[0].strip() + "."])] + [(9, bars)]
+    got = {r["doc_id"]: r["n_bad_lines"] for r in quality.clean_documents(spark.createDataFrame(more, "doc_id long, text string")).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 0, 9: 0}
     assert out[4]["n_repeat_words"] == 300 and out[4]["base_failed"]
     assert not out[5]["kept"] and out[5]["lost_too_much"]
     assert out[6]["kept"] and out[6]["n_bad_lines"] == 1 and out[6]["clean_text"] == good
@@ -94,6 +99,20 @@ def test_quality_edges(spark):
     assert quality.clean_documents(spark.createDataFrame([], "text string")).count() == 0
 
 
+def test_quality_of_odd_scripts_equals_sql(spark):
+    rng = random.Random(11)
+    parts = ["слово", "été", "word", "|", "»", " | ", "\t|", "-", ".", "!", "{", "\u00a0", "\u0085", "é", "١٢", "\n", "\n", "_", "x", "Home", "menu", "·"]
+    rows = [(i, "".join(rng.choice(parts) + rng.choice([" ", " ", "", "\t"]) for _ in range(rng.randint(0, 160)))) for i in range(150)]
+    rows += [(900 + i, " ".join(rng.choice(["слово", "café", "word"]) for _ in range(60)) + rng.choice(["", ".", "»"])) for i in range(20)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = con.execute(quality.SQL)
+    columns = [d[0] for d in found.description]
+    got = quality.clean_documents(spark.createDataFrame(rows, "doc_id long, text string")).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(found.fetchall())
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("a b c dd".split()), max_size=40), min_size=1, max_size=8))
 def test_repeated_words(spark, docs):
@@ -126,7 +145,57 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
 
 
-def test_gradients():
+def test_languages_beyond_the_sample(spark):
+    """More labels than rows are learned from: no error, and only learned ones are predicted."""
+    rows = [(i, f"l{i}", "some words " * 9) for i in range(60)] + [(99, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    net = language.learn(docs, texts=20)
+    assert 1 <= len(net.languages) <= 20
+    assert {r["lang_pred"] for r in language.identify(docs, net).collect()} <= set(net.languages)
+
+
+def test_stage_rejects_what_no_language_claims(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert language.language_stage(spark, docs, SMALL).count() == docs.filter(F.col("text").rlike(r"\p{L}")).count()
+    monkeypatch.setattr(language, "OVER_CHANCE", 5)
+    assert language.language_stage(spark, docs, SMALL).count() == 0
+
+
+def test_step_follows_the_gradient():
+    """One step of the training moves every weight against the slope that finite differences give."""
+    rng = np.random.default_rng(3)
+    windows, labels = rng.integers(97, 110, (6, language.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 0])
+    languages = ["a", "b", "c"]
+    start = language.ByteNet.start(languages, 5)
+    weight = len(labels) / np.bincount(labels) / 3
+
+    def loss(net):
+        return -(np.log(net.probabilities(windows)[np.arange(6), labels]) * weight[labels]).mean()
+
+    moved = language.train(windows, labels, languages, seed=5, epochs=1, batch=6, rate=1e-3)
+    for name in ("embed", "filters", "shift", "out", "bias"):
+        a, b = getattr(start, name), getattr(moved, name)
+        step = (b - a).reshape(-1)
+        places = np.argsort(-np.abs(step), kind="stable")[:200]
+        checked = 0
+        for i in rng.permutation(places)[:25]:
+            slopes = []
+            for h in (1e-3, 4e-3):
+                ends = []
+                for sign in (h, -h):
+                    net = language.ByteNet.start(languages, 5)
+                    for k in ("embed", "filters", "shift", "out", "bias"):
+                        setattr(net, k, getattr(net, k).astype(np.float64))
+                    getattr(net, name).reshape(-1)[i] += sign
+                    ends.append(loss(net))
+                slopes.append((ends[0] - ends[1]) / (2 * h))
+            if min(abs(x) for x in slopes) > 1e-4 and slopes[0] * slopes[1] > 0:  # no kink of the maximum between
+                assert np.sign(step[i]) == -np.sign(slopes[0]), (name, i)
+                checked += 1
+        assert checked >= min(3, len(step)), name
+
+
+def test_training_separates():
     rng = np.random.default_rng(0)
     windows = rng.integers(97, 101, (60, language.WINDOW)).astype(np.uint8)
     labels = rng.integers(0, 2, 60)
@@ -192,6 +261,24 @@ def test_span_removal(spark):
 # sharding
 
 
+def test_repeated_rows_get_slots(spark, monkeypatch):
+    """A row that makes up most of the table: every copy has a slot, shards have no gaps."""
+    df = spark.range(400).select(F.when(F.col("id") < 300, 7).otherwise(F.col("id")).alias("doc_id"), F.create_map(F.lit("k"), F.lit(1)).alias("m"))
+    out = sharding.shard_records(df, weights=(1.0,) * 3, rows_per_bin=20, grown=True).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted([7] * 300 + list(range(300, 400)))
+    for s in range(3):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    assert all(r["grown_shard"] in (r["shard"], 3) for r in out)
+
+
+def test_rows_are_named_apart(spark):
+    from marlstone.llm.windows import row_keys, row_names
+
+    rows = spark.createDataFrame([("a", None), (None, "a"), (None, None), ("", ""), ("\x00null", ""), (None, "")], "x string, y string")
+    for f in (lambda: row_names(rows), lambda: row_keys(F.col("x"), F.col("y"))):
+        assert rows.select(*f()).distinct().count() == 6
+
+
 def test_sharding(spark):
     out = sharding.op7_rendezvous_sharding(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").count()
@@ -267,6 +354,57 @@ def test_flow_is_cheapest():
     assert all(sum(v for (p, _), v in flow.items() if p == q) <= 10 for q in (("a",), ("a", "b"), ("b",)))  # nothing is repeated where all can be met once
 
 
+def test_flow_against_every_choice():
+    """Small overlapping sources: as much as any choice of routes can bring, and no choice is cheaper."""
+    rng = random.Random(9)
+    sources = ["a", "b", "c"]
+    every = [(s,) for s in sources] + [("a", "b"), ("b", "c"), ("a", "b", "c")]
+    for _ in range(25):
+        capacity = {p: rng.randint(1, 3) for p in rng.sample(every, 3)}
+        quota = {s: rng.randint(0, 4) for s in sources}
+        routes = [(p, s) for p in capacity for s in p]
+        best = None
+
+        def cost(used, capacity=capacity):
+            return sum(sum(i // capacity[p] for i in range(n)) for p, n in used.items())
+
+        def walk(i, left, used):
+            nonlocal best
+            if i == len(routes):
+                got = (-sum(used.values()), cost(used))
+                best = got if best is None else min(best, got)
+                return
+            p, s = routes[i]
+            for n in range(min(left[s], 2 * capacity[p] - used[p]) + 1):
+                walk(i + 1, left | {s: left[s] - n}, used | {p: used[p] + n})
+
+        walk(0, dict(quota), dict.fromkeys(capacity, 0))
+        for flow in (mixing.cheapest_routes(capacity, quota, 2), mixing.plan_flow(capacity, quota, 2)):
+            used = {p: sum(v for (q, _), v in flow.items() if q == p) for p in capacity}
+            assert all(sum(v for (_, t), v in flow.items() if t == s) <= quota[s] for s in sources)
+            assert (-sum(used.values()), cost(used)) == best
+
+
+def test_overlapping_sources_are_mixed(spark):
+    """Documents that several sources share are met once for each token before any is met again."""
+    rows = [(i, ["a"] if i < 40 else ["a", "b"] if i < 80 else ["b"], 10) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, sources array<string>, size long")
+    out = mixing.mix_sources(df, F.col("size"), F.col("sources"), lambda names: [1.0] * len(names)).collect()
+    assert sum(r["taken"] for r in out) == 1000 and {r["taken"] for r in out} == {10}
+    assert {tuple(r["source_sizes"]) for r in out} == {(800.0,), (800.0, 600.0), (600.0,)}
+
+
+def test_equal_rows_are_mixed_together(spark):
+    df = spark.range(200).select(F.when(F.col("id") < 150, None).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 150, "b").otherwise("a").alias("source"), F.lit(3).alias("n"))
+    out = mixing.mix_documents(df, F.col("n")).collect()
+    assert len(out) == 200 and sum(r["doc_id"] is None for r in out) == 150
+    for s in "ab":
+        mine = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["source_targets"][0]) <= 3
+    stage = mixing.mix_stage(spark, df.withColumn("text", F.lit("x y z")).drop("n"), "")
+    assert abs(stage.filter("source = 'b'").count() * 3 - next(r for r in out if r["source"] == "b")["source_targets"][0]) <= 3
+
+
 def test_mix_comes_near_its_targets(spark):
     got = mixing.op9_source_mixing(spark, SF).collect()
     again = mixing.op9_source_mixing(spark, SF).collect()

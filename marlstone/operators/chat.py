@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.text import tidy_reply
+
 MAX_USER_CHARS = 400
 
 # Fixed value: questions that ask for a comparison.
@@ -17,9 +15,9 @@ COMPARISON = (
     r"како[йюаяе]\s+(?:из\s+них\s+)?выбрать|выбрать\s+между|плюсы\s+и\s+минусы)\b"
 )
 
-# Fixed value: markers in a reply.
-MARKER = re.compile(r"\[id\s*:\s*(\d+)\]|\[compare\s*:\s*(\d+)\s*\|\s*([^\]\r\n]{1,240})\]|\[compare_result\s*:\s*([^\]\r\n]{1,500})\]", re.IGNORECASE)
-ID_MARKER = re.compile(r"\[id\s*:\s*(\d+)\]", re.IGNORECASE)
+# The markers of a reply and the longest texts in them.
+MARKER = r"(?i)\[id\s*:\s*\d+\]|\[compare\s*:\s*\d+\s*\|\s*[^\]\r\n]{1,240}\]|\[compare_result\s*:\s*[^\]\r\n]{1,500}\]"
+NOTE_CHARS, ANALYSIS_CHARS = 240, 500
 NO_CATEGORY = "Другие товары"
 
 
@@ -66,92 +64,79 @@ def scrub(text: Column, secrets: list[str]) -> Column:
     return text
 
 
-def tidy(text: str) -> str:
-    text = re.sub(r"[ \t]+\n", "\n", text)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r" {2,}", " ", text)).strip()
-
-
-def add_markers(text: str, products: list[dict], limit: int) -> str:
-    """Markers behind the names, or else article numbers, of retrieved products that have none."""
-    marked, low, places = set(ID_MARKER.findall(text)), text.casefold(), {}
-    for p in products:
-        if len(places) >= limit:
-            break
-        if p["id"] in marked or p["id"] in places:
-            continue
-        for key, least in ((p.get("name"), 1), (p.get("sku"), 3)):
-            key = (key or "").strip()
-            at = low.find(key.casefold()) if len(key) >= least else -1
-            if at >= 0:
-                places[p["id"]] = at + len(key)
-                break
-    for pid, at in sorted(places.items(), key=lambda x: x[1], reverse=True):
-        text = f"{text[:at]} [id:{pid}]{text[at:]}"
-    return text
-
-
-def _before_product(text: str, name: str) -> str:
-    name = (name or "").strip()
-    at = text.casefold().rfind(name.casefold()) if name else -1
-    return text if at < 0 or text[at + len(name) :].strip(" \t:;,.—–-()") else text[:at].rstrip()
-
-
-def _without_header(text: str) -> str:
-    lines = text.split("\n")
-    while lines and (not lines[-1].strip() or lines[-1].strip().endswith((":", "："))):
-        lines.pop()
-    return "\n".join(lines)
-
-
-def reply_blocks(text: str, retrieved: list[dict], catalog: dict[str, dict], limit: int = 10) -> list[dict]:
-    """Blocks of a reply, in order: text, product, comparison_item, comparison_analysis."""
-    text = add_markers(text, retrieved, limit)
-    blocks: list[dict] = []
-    shown, compared, at = set(), set(), 0
-
-    def say(kind: str, body: str | None, pid: str | None = None) -> None:
-        if body or pid:
-            blocks.append({"type": kind, "text": body or None, "product_id": pid})
-
-    for m in MARKER.finditer(text):
-        before, (pid, cid, summary, analysis) = text[at : m.start()], m.groups()
-        at, known = m.end(), catalog.get(pid or cid)
-        if pid and known and pid not in shown and len(shown) < limit:
-            say("text", tidy(_before_product(before, known.get("name"))))
-            say("product", None, pid)
-            shown.add(pid)
-        elif cid and known and cid not in compared:
-            say("text", tidy(before))
-            if note := tidy(summary)[:240]:
-                say("comparison_item", note, cid)
-                compared.add(cid)
-        elif analysis and len(compared) >= 2:
-            say("text", tidy(before))
-            say("comparison_analysis", tidy(analysis)[:500])
-        else:
-            say("text", tidy(_without_header(before)))
-    say("text", tidy(text[at:]))
-    return blocks
-
-
-BLOCKS = "msg_id string, block_no int, type string, text string, product_id string"
+def with_markers(replies: DataFrame, limit: int = 10) -> DataFrame:
+    """``text`` with a marker behind the first mention of each product that has none: of its name or
+    else of its article number (three signs at least). The first ``limit`` products that are mentioned
+    get one; of markers that fall on one place the later product's stands first."""
+    low = F.col("__low")
+    mention = lambda key, least: F.when(F.length(key) >= least, F.nullif(F.position(F.lower(key), low), F.lit(0)) - 1 + F.length(key))
+    place = lambda p, i: F.struct(F.coalesce(mention(F.trim(p["name"]), 1), mention(F.trim(p["sku"]), 3)).alias("at"), (-i).alias("back"), p["id"].alias("id"))
+    out = replies.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("__low", F.lower("text"))
+    out = out.withColumn("__has", F.regexp_extract_all("text", F.lit(r"(?i)\[id\s*:\s*(\d+)\]"), F.lit(1)))
+    out = out.withColumn("__all", F.coalesce(F.transform("products", place), F.array().cast("array<struct<at:int,back:int,id:string>>")))
+    out = out.withColumn("__put", F.filter("__all", lambda p: p["at"].isNotNull() & ~F.array_contains(F.col("__has"), p["id"])))
+    out = out.withColumn("__put", F.array_sort(F.slice("__put", 1, limit)))
+    from_ = F.concat(F.array(F.lit(0)), F.col("__put.at"))
+    piece = lambda p, start: F.when(p.isNull(), F.substring("text", start + 1, F.length("text"))).otherwise(F.concat(F.substring("text", start + 1, p["at"] - start), F.lit(" [id:"), p["id"], F.lit("]")))
+    return out.withColumn("text", F.array_join(F.zip_with("__put", from_, piece), "")).drop("__low", "__has", "__all", "__put")
+
+
+def marker_places(replies: DataFrame) -> DataFrame:
+    """Every marker of a reply, by ``place``, with the text ``before`` it: ``kind``, ``product_id`` and
+    ``note``; the last place of each reply has no marker, only the rest of the text."""
+    places = F.zip_with(F.split("text", MARKER, -1), F.regexp_extract_all("text", F.lit(MARKER), F.lit(0)), lambda b, m: F.struct(b.alias("before"), m.alias("m")))
+    keep = [c for c in replies.columns if c != "text"]
+    rows = replies.select(*keep, F.posexplode(places).alias("place", "p")).select(*keep, "place", "p.*")
+    note = F.regexp_extract("m", r"(?is)^\[(?:compare\s*:\s*\d+\s*\||compare_result\s*:)(.*)\]$", 1)
+    return rows.select(
+        *keep, "place", "before", F.lower(F.regexp_extract("m", r"^\[(\w+)", 1)).alias("kind"),
+        F.nullif(F.regexp_extract("m", r"(?i)^\[(?:id|compare)\s*:\s*(\d+)", 1), F.lit("")).alias("product_id"), tidy_reply(note).alias("note"),
+    )
 
 
 def content_blocks(replies: DataFrame, limit: int = 10) -> DataFrame:
-    """Blocks of many replies. ``replies``: msg_id, text and ``products`` (array of id, name, sku: what
-    was retrieved, and what the reply may name). A reply's markers depend on those before them, so
-    each reply is walked in order, replies in parallel."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                given = [dict(p) for p in (row["products"] if row["products"] is not None else [])]
-                for i, b in enumerate(reply_blocks(row["text"] or "", given, {p["id"]: p for p in given}, limit)):
-                    out.append({"msg_id": row["msg_id"], "block_no": i, **b})
-            yield pd.DataFrame(out, columns=["msg_id", "block_no", "type", "text", "product_id"])
-
-    return replies.select(F.col("msg_id").cast("string").alias("msg_id"), "text", "products").mapInPandas(run, BLOCKS)
+    """Blocks of many replies: msg_id, block_no, type (text, product, comparison_item,
+    comparison_analysis), text, product_id.
+
+    ``replies``: msg_id, text and ``products`` (array of id, name, sku with distinct ids: what was
+    retrieved, and what the reply may name). A product is shown at its first marker, for the first
+    ``limit`` of them; a compared item at its first marker with a note; an analysis where two items
+    stand before it. Of the text before a product its bare name at the end goes, before other markers
+    that bring nothing the headings at the end. Windows over one reply say what came before; nothing
+    runs row by row.
+    """
+    rows = marker_places(with_markers(replies.select(F.col("msg_id").cast("string").alias("msg_id"), "text", "products"), limit))
+    named = F.get(F.filter("products", lambda p: p["id"] == F.col("product_id")), F.lit(0))
+    rows = rows.withColumn("name", F.trim(named["name"])).withColumn("known", named.isNotNull()).drop("products")
+    reply = Window.partitionBy("msg_id").orderBy("place")
+    so_far = reply.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    noted = (F.col("kind") == "compare") & F.col("known") & (F.col("note") != "")
+    first = F.row_number().over(Window.partitionBy("msg_id", "product_id", "kind").orderBy("place")) == 1
+    rows = rows.withColumn("opens", F.col("known") & (F.col("kind") == "id") & first)
+    rows = rows.withColumn("first_note", F.min(F.when(noted, F.col("place"))).over(Window.partitionBy("msg_id", "product_id")))
+    rows = rows.withColumn("shows", F.col("opens") & (F.count_if(F.col("opens")).over(so_far) <= limit)).withColumn("item", noted & (F.col("first_note") == F.col("place")))
+    rows = rows.withColumn("items", F.count_if(F.col("item")).over(so_far))
+    analyses = (F.col("kind") == "compare_result") & (F.col("items") >= 2)
+    # a marker without a note, of a product not compared yet, leaves the text as it is
+    plain = F.col("item") | analyses | (F.col("kind") == "") | ((F.col("kind") == "compare") & F.col("known") & (F.coalesce("first_note", "place") >= F.col("place")))
+    bare_name = F.concat(F.lit(r"(?isU)\s*\Q"), F.col("name"), F.lit(r"\E[ \t:;,.—–()-]*\z"))
+    headings = r"(?U)(?:(?:^|\n)(?:[^\n]*[:：])?[^\S\n]*)+\z"
+    said = (
+        F.when(F.col("shows") & (F.coalesce("name", F.lit("")) != ""), F.regexp_replace("before", bare_name, F.lit("")))
+        .when(F.col("shows") | plain, F.col("before"))
+        .otherwise(F.regexp_replace("before", headings, ""))
+    )
+    none = F.lit(None).cast("string")
+    block = lambda type_, text, product: F.struct(F.lit(type_).alias("type"), text.alias("text"), product.alias("product_id"))
+    text = F.nullif(tidy_reply(said), F.lit(""))
+    shown = (
+        F.when(F.col("shows"), block("product", none, F.col("product_id")))
+        .when(F.col("item"), block("comparison_item", F.substring("note", 1, NOTE_CHARS), F.col("product_id")))
+        .when(analyses & (F.col("note") != ""), block("comparison_analysis", F.substring("note", 1, ANALYSIS_CHARS), none))
+    )
+    blocks = rows.select("msg_id", "place", F.posexplode(F.array_compact(F.array(F.when(text.isNotNull(), block("text", text, none)), shown))).alias("part", "b"))
+    number = F.row_number().over(Window.partitionBy("msg_id").orderBy("place", "part")) - 1
+    return blocks.select("msg_id", number.alias("block_no"), "b.type", "b.text", "b.product_id")
 
 
 def group_blocks(blocks: DataFrame, products: DataFrame, most: int = 3) -> DataFrame:
@@ -174,9 +159,6 @@ def group_blocks(blocks: DataFrame, products: DataFrame, most: int = 3) -> DataF
 
 
 def markers(replies: DataFrame) -> DataFrame:
-    """(msg_id, place, kind, product_id, text) of every marker, by built-in functions."""
-    pattern = r"(?i)(\[id\s*:\s*\d+\]|\[compare\s*:\s*\d+\s*\|\s*[^\]\r\n]{1,240}\]|\[compare_result\s*:\s*[^\]\r\n]{1,500}\])"
-    found = replies.select("msg_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("place", "m"))
-    kind = F.lower(F.regexp_extract("m", r"^\[(\w+)", 1))
-    note = F.trim(F.regexp_extract("m", r"(?is)^\[(?:compare\s*:\s*\d+\s*\||compare_result\s*:)\s*(.*)\]$", 1))
-    return found.select("msg_id", "place", kind.alias("kind"), F.nullif(F.regexp_extract("m", r"(?i)^\[(?:id|compare)\s*:\s*(\d+)", 1), F.lit("")).alias("product_id"), F.nullif(note, F.lit("")).alias("text"))
+    """(msg_id, place, kind, product_id, text) of every marker."""
+    found = marker_places(replies.select("msg_id", "text")).filter("kind <> ''")
+    return found.select("msg_id", "place", "kind", "product_id", F.nullif("note", F.lit("")).alias("text"))

@@ -274,21 +274,57 @@ def h02_intent(spark, sf_dir):
 
 
 def _replies(spark, sf_dir):
-    """Every product in a reply of at most ten, neighbours in the catalogue together."""
+    """Every product in a reply of at most ten, neighbours in the catalogue together: some marked,
+    some by name or article number alone, some marked twice."""
     c = catalog(spark, sf_dir)
     groups = c.withColumn("msg_id", F.floor(F.col("ord") / 10).cast("string")).groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "name", "sku"))).alias("p"))
-    line = F.array_join(F.transform("p", lambda x: F.concat(F.lit("Option "), x["name"], F.lit(":\n[id:"), x["id"], F.lit("]"))), "\n")
-    pair = F.concat(F.lit(" [compare:"), F.col("p")[0]["id"], F.lit("|one] [compare:"), F.get("p", F.lit(1))["id"], F.lit("|two] [compare_result: same]"))
+    marker = lambda x: F.concat(F.lit("[id:"), x["id"], F.lit("]"))
+    line = lambda x: (
+        F.when(x["ord"] % 5 == 0, F.concat(F.lit("Take "), x["sku"], F.lit("; it is fine.")))
+        .when(x["ord"] % 5 == 1, F.concat(F.lit("Options:\n"), marker(x), F.lit(" once more:\n"), marker(x)))
+        .otherwise(F.concat(F.lit("Option "), x["name"], F.lit(":  "), marker(x)))
+    )
+    lines = F.array_join(F.transform("p", line), "\n")
+    pair = F.concat(F.lit(" [compare:"), F.col("p")[0]["id"], F.lit("| one ] [compare:"), F.get("p", F.lit(1))["id"], F.lit("|two] [compare_result: same]"))
     compare = F.coalesce(pair, F.lit(""))  # the last reply may hold one product
-    return groups.select("msg_id", F.concat(line, compare).alias("text"), F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"), x["sku"].alias("sku"))).alias("products"))
-
-
-@query()
+    return groups.select("msg_id", F.concat(lines, compare).alias("text"), F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"), x["sku"].alias("sku"))).alias("products"))
+
+
+_MARKER = chat.MARKER.replace("(?i)", "")
+_TIDY = lambda t: f"trim(regexp_replace(regexp_replace(regexp_replace({t}, '[ \\t]+\\n', chr(10), 'g'), ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10))"
+_BLOCKS = f"""WITH {CATALOG}, said AS (SELECT CAST(ord // 10 AS VARCHAR) AS msg_id, ord, id, name, sku, row_number() OVER (PARTITION BY ord // 10 ORDER BY ord) AS i,
+  CASE WHEN ord % 5 = 0 THEN 'Take ' || sku || '; it is fine.' WHEN ord % 5 = 1 THEN 'Options:' || chr(10) || '[id:' || id || '] once more:' || chr(10) || '[id:' || id || ']'
+    ELSE 'Option ' || name || ':  [id:' || id || ']' END AS line FROM catalog),
+raw AS (SELECT msg_id, string_agg(line, chr(10) ORDER BY i) || coalesce(' [compare:' || max(CASE WHEN i = 1 THEN id END) || '| one ] [compare:' || max(CASE WHEN i = 2 THEN id END) || '|two] [compare_result: same]', '') AS t FROM said GROUP BY msg_id),
+put AS (SELECT said.msg_id, i, id, CASE WHEN strpos(t, name) > 0 THEN strpos(t, name) - 1 + length(name) WHEN strpos(t, sku) > 0 THEN strpos(t, sku) - 1 + length(sku) END AS pos
+  FROM said JOIN raw USING (msg_id) WHERE NOT contains(t, '[id:' || id || ']')),
+cut AS (SELECT msg_id, pos, string_agg(' [id:' || id || ']', '' ORDER BY i DESC) AS m, coalesce(lag(pos) OVER (PARTITION BY msg_id ORDER BY pos), 0) AS prev, lead(pos) OVER (PARTITION BY msg_id ORDER BY pos) AS nxt FROM put WHERE pos IS NOT NULL GROUP BY msg_id, pos),
+marked AS (SELECT raw.msg_id, coalesce(string_agg(substr(t, prev + 1, pos - prev) || m || CASE WHEN nxt IS NULL THEN substr(t, pos + 1) ELSE '' END, '' ORDER BY pos), max(t)) AS t FROM raw LEFT JOIN cut USING (msg_id) GROUP BY raw.msg_id),
+places AS (SELECT msg_id, unnest(string_split_regex(t, '{_MARKER}')) AS before, unnest(list_append(regexp_extract_all(t, '{_MARKER}'), '')) AS m, generate_subscripts(string_split_regex(t, '{_MARKER}'), 1) AS place FROM marked),
+parts AS (SELECT places.msg_id, place, before, regexp_extract(m, '^\\[(\\w+)', 1) AS kind, nullif(regexp_extract(m, '^\\[(?:id|compare):(\\d+)', 1), '') AS pid,
+  {_TIDY("regexp_extract(m, '[|:]([^|:]*)[]]$', 1)")} AS note FROM places),
+flags AS (SELECT p.*, s.name, kind = 'id' AND s.id IS NOT NULL AND row_number() OVER (PARTITION BY p.msg_id, kind, pid ORDER BY place) = 1 AS opens,
+  kind = 'compare' AND s.id IS NOT NULL AND row_number() OVER (PARTITION BY p.msg_id, kind, pid ORDER BY place) = 1 AS item FROM parts p LEFT JOIN said s ON s.msg_id = p.msg_id AND s.id = p.pid),
+shown AS (SELECT *, opens AND sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER w <= 10 AS shows, kind = 'compare_result' AND sum(CASE WHEN item THEN 1 ELSE 0 END) OVER w >= 2 AS analyses FROM flags WINDOW w AS (PARTITION BY msg_id ORDER BY place)),
+words AS (SELECT *, {_TIDY("CASE WHEN shows THEN regexp_replace(before, '\\s*' || name || '[ \\t:;,.—–()-]*$', '') WHEN item OR analyses OR kind = '' THEN before ELSE regexp_replace(before, '(?:(?:^|\\n)(?:[^\\n]*:)?[ \\t]*)+$', '') END")} AS said FROM shown),
+blocks AS (SELECT msg_id, place, 0 AS part, 'text' AS type, said AS "text", NULL AS product_id FROM words WHERE said <> ''
+  UNION ALL SELECT msg_id, place, 1, CASE WHEN shows THEN 'product' WHEN item THEN 'comparison_item' ELSE 'comparison_analysis' END, CASE WHEN shows THEN NULL ELSE note END, CASE WHEN analyses THEN NULL ELSE pid END FROM words WHERE shows OR item OR analyses),
+numbered AS (SELECT msg_id, CAST(row_number() OVER (PARTITION BY msg_id ORDER BY place, part) - 1 AS INTEGER) AS block_no, type, "text", product_id FROM blocks)"""
+
+
+@query(_BLOCKS + ' SELECT msg_id, block_no, type, "text", product_id FROM numbered')
 def h05_content_blocks(spark, sf_dir):
     return chat.content_blocks(_replies(spark, sf_dir))
 
 
-@query()
+@query(
+    _BLOCKS
+    + """, named AS (SELECT n.*, category FROM numbered n LEFT JOIN catalog ON id = product_id),
+heads AS (SELECT *, CASE WHEN type IN ('product', 'comparison_item') AND type = lag(type) OVER w AND category = lag(category) OVER w THEN 0 ELSE 1 END AS head FROM named WINDOW w AS (PARTITION BY msg_id ORDER BY block_no)),
+islands AS (SELECT *, sum(head) OVER (PARTITION BY msg_id ORDER BY block_no) AS island FROM heads)
+SELECT msg_id, min(block_no) AS block_no, CASE type WHEN 'product' THEN 'product_group' WHEN 'comparison_item' THEN 'comparison' ELSE type END AS type, min(category) AS category,
+  coalesce(string_agg(product_id, ',' ORDER BY block_no), '') AS products FROM islands GROUP BY msg_id, island, islands.type HAVING islands.type <> 'comparison_item' OR count(*) >= 2"""
+)
 def h06_grouped_blocks(spark, sf_dir):
     blocks = chat.content_blocks(_replies(spark, sf_dir))
     out = chat.group_blocks(blocks, catalog(spark, sf_dir).select("id", "category"))
@@ -307,9 +343,9 @@ def h06_islands(spark, sf_dir):
     return chat.group_blocks(blocks, roles).select("msg_id", "block_no", "category", F.size("items").cast("long").alias("n"))
 
 
-@query(f"WITH {CATALOG} SELECT subcategory AS query_id, string_agg(id || '|' || name || '|' || brand || '|' || CAST(price AS VARCHAR) || '|' || subcategory, chr(10) ORDER BY ord) AS lines FROM catalog WHERE ord <= 50 GROUP BY subcategory")
+@query(f"WITH {CATALOG} SELECT subcategory || ' ' || ord // 50 AS query_id, string_agg(id || '|' || name || '|' || brand || '|' || CAST(price AS VARCHAR) || '|' || subcategory, chr(10) ORDER BY ord) AS lines  FROM catalog GROUP BY subcategory, ord // 50")
 def h08_catalog_lines(spark, sf_dir):
-    return chat.catalog_lines(catalog(spark, sf_dir).filter("ord <= 50").withColumn("query_id", F.col("subcategory")).withColumn("rank", F.col("ord")))
+    return chat.catalog_lines(catalog(spark, sf_dir).withColumn("query_id", F.concat_ws(" ", "subcategory", F.floor(F.col("ord") / 50).cast("string"))).withColumn("rank", F.col("ord")))
 
 
 @query("SELECT doc_id, md5(replace(text, 'example', '***')) AS digest FROM documents")

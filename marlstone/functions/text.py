@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions.udfs import html_unescape
+
 # Cyrillic letters and their Latin spelling.
 LATIN = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k",
@@ -76,20 +78,24 @@ def slug(text: Column) -> Column:
     return F.btrim(F.regexp_replace(bare, r"(?U)[\s-]+", "_"), F.lit("_"))
 
 
-#: Named references that turn up in catalogue pages; the full set needs :func:`udfs.html_unescape`.
+#: Character references that most pages have; texts with any other go through the full table.
 _ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+_OTHERS = r"&(?!(?:nbsp|quot|#39|lt|gt|amp);)[#A-Za-z]"
 
 
-def unescape_common(text: Column) -> Column:
+def unescape(text: Column) -> Column:
+    """All named and numbered character references, resolved once."""
+    plain = text
     for name, sign in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
+        plain = F.replace(plain, F.lit(name), F.lit(sign))
+    other = text.rlike(_OTHERS)
+    return F.when(other, html_unescape(F.when(other, text))).otherwise(plain)
 
 
 def strip_markup(text: Column) -> Column:
-    """Text of an HTML fragment: no tags, common references resolved, white space squeezed; empty is
-    null."""
-    return F.nullif(squeeze(unescape_common(F.regexp_replace(text, "<[^>]+>", " "))), F.lit(""))
+    """Text of an HTML fragment: no tags, character references resolved, white space squeezed; empty
+    is null."""
+    return F.nullif(squeeze(unescape(F.regexp_replace(text, "<[^>]+>", " "))), F.lit(""))
 
 
 def tidy_reply(text: Column) -> Column:

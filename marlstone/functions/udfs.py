@@ -23,10 +23,17 @@ def nfkc(text: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def html_unescape(text: pd.Series) -> pd.Series:
+def _unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 
 
+def html_unescape(text: Column) -> Column:
+    """All named and numbered character references. Texts without an ampersand, nearly all, get an
+    empty text to work on in Python and stay as they are."""
+    marked = text.contains("&")
+    return F.when(marked, _unescape(F.when(marked, text))).otherwise(text)
+
+
 @F.pandas_udf(T.StringType())
 def title_case(text: pd.Series) -> pd.Series:
     """Capital after every sign that is not a letter."""

@@ -41,15 +41,17 @@ def alias_dictionary(aliases: DataFrame) -> DataFrame:
     return last.select("phrase", F.size(tokens(F.col("phrase"))).alias("n"), "e.*")
 
 
-def match_phrases(queries: DataFrame, dictionary: DataFrame, longest: int = 8) -> DataFrame:
+def match_phrases(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Longest dictionary phrase from every start: (query_id, start, end, kind, id, display).
 
-    ``queries``: query_id and tokens. Matches of different starts may overlap. All n-grams up to
-    ``longest`` tokens meet the dictionary in one equi-join; dictionaries small enough are broadcast
-    by the planner. A token run longer than ``longest`` cannot match: pass the dictionary's longest.
+    ``queries``: query_id and tokens. Matches of different starts may overlap. The n-grams of all
+    lengths that the dictionary has meet it in one equi-join; dictionaries small enough are broadcast
+    by the planner.
     """
-    spans = queries.select("query_id", F.col("tokens"), F.posexplode("tokens").alias("start", "_t"))
-    grams = spans.select("query_id", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("tokens") - F.col("start")))).alias("n"), "tokens").select(
+    lengths = F.broadcast(dictionary.agg(F.collect_set("n").alias("_lengths")))  # one row
+    spans = queries.select("query_id", F.col("tokens"), F.posexplode("tokens").alias("start", "_t")).join(lengths)
+    fitting = F.filter("_lengths", lambda n: n <= F.size("tokens") - F.col("start"))
+    grams = spans.select("query_id", "start", F.explode(fitting).alias("n"), "tokens").select(
         "query_id", "start", "n", F.array_join(F.slice("tokens", F.col("start") + 1, F.col("n")), " ").alias("phrase")
     )
     met = grams.join(dictionary, ["phrase", "n"])

@@ -178,28 +178,27 @@ def not_known(staged: DataFrame, snapshot: DataFrame) -> DataFrame:
     return rows.join(skus, "_sku", "left_anti").join(urls, "_url", "left_anti").drop("_sku", "_url")
 
 
-def first_of_each(staged: DataFrame, order: str = "ord", rounds: int = 50) -> DataFrame:
+def first_of_each(staged: DataFrame, order: str = "ord") -> DataFrame:
     """Greedy de-duplication in row order: a row goes if a row that was kept before it has its sku or
     its url. Decided in rounds over all rows at once: a row is kept if it is the first undecided one
-    of both its keys, and rows that share a key with a kept one go."""
+    of both its keys, and rows that share a key with a kept one go. Every round settles at least the
+    first open row of each group that hangs together, so as many rounds as it takes end the work."""
     rows = staged.withColumn("_sku", sku_key(F.col("sku"))).withColumn("_url", url_key(F.col("url")))
     open_ = rows.select(order, "_sku", "_url")
     kept = open_.filter("_sku IS NULL AND _url IS NULL").select(order)
     open_ = open_.filter("_sku IS NOT NULL OR _url IS NOT NULL")
-    for _ in range(rounds):
+    while True:
         open_ = staged_table(open_, "undecided")
         if open_.isEmpty():
             break
         for k in ("_sku", "_url"):
             least = open_.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_m{k}"))
             open_ = open_.join(least, k, "left")
-        chosen = open_.filter(f"coalesce(_m_sku, {order}) = {order} AND coalesce(_m_url, {order}) = {order}")
+        chosen = staged_table(open_.filter(f"coalesce(_m_sku, {order}) = {order} AND coalesce(_m_url, {order}) = {order}").select(order, "_sku", "_url"), "chosen")
         kept = kept.union(chosen.select(order))
         left = open_.join(chosen.select(order), order, "left_anti")
         left = left.join(chosen.select("_sku").filter("_sku IS NOT NULL"), "_sku", "left_anti").join(chosen.select("_url").filter("_url IS NOT NULL"), "_url", "left_anti")
         open_ = left.select(order, "_sku", "_url")
-    else:
-        raise RuntimeError(f"not settled after {rounds} rounds")
     return rows.join(kept, order, "left_semi").drop("_sku", "_url")
 
 

@@ -92,12 +92,15 @@ def join_url(base: Column, target: Column) -> Column:
 def parse_products(pages: DataFrame, path_metadata: DataFrame | None = None) -> DataFrame:
     """Products of microdata pages (url, html): name, brand, category, subcategory, sku, price, url,
     image, source_category. Pages without name, category or article number are no products.
-    ``path_metadata``: prefix, ord, category, subcategory; the first matching prefix counts."""
+    ``path_metadata``: prefix, ord, category, subcategory; the first matching prefix counts. Other
+    columns of a page stay with its product."""
     page = F.col("html")
+    parsed = {"name", "brand", "source_category", "sku", "price", "image", "category", "subcategory"}
     sku = strip_markup(F.nullif(F.regexp_extract(page, r"(?is)<span\b[^>]*class\s*=\s*([\"'])[^\"']*\bvendorL\b[^\"']*\1[^>]*>(.*?)</span>", 2), F.lit("")))
     rows = pages.select(
         "url",
         "html",
+        *[c for c in pages.columns if c not in parsed | {"url", "html"}],
         meta_content(page, "name").alias("name"),
         F.lit(None).cast("string").alias("brand"),
         meta_content(page, "category").alias("source_category"),

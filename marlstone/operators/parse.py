@@ -11,7 +11,7 @@ from marlstone.operators.aliases import match_phrases
 CHARACTERISTICS = ("surface", "moisture", "finish", "properties", "color")
 
 
-def parse_queries(queries: DataFrame, dictionary: DataFrame, longest: int = 8) -> DataFrame:
+def parse_queries(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Slots of every query (query_id, raw).
 
     Returns query_id, raw, normalized, tokens, product_type_id/display, brand_id/display,
@@ -22,7 +22,7 @@ def parse_queries(queries: DataFrame, dictionary: DataFrame, longest: int = 8) -
     base = queries.select("query_id", "raw", normalize_text(F.col("raw")).alias("normalized"))
     base = base.withColumn("tokens", tokens(F.col("normalized")))
     slot = F.when(F.col("kind") == "attribute", F.concat(F.lit("attribute:"), F.col("id"))).otherwise(F.col("kind"))
-    matches = match_phrases(base, dictionary, longest).withColumn("slot", slot)
+    matches = match_phrases(base, dictionary).withColumn("slot", slot)
     won = matches.groupBy("query_id", "slot").agg(F.min_by(F.struct("start", "end", "id", "display"), "start").alias("m"))
     pick = lambda name: F.max(F.when(F.col("slot") == name, F.col("m")))
     slots = won.groupBy("query_id").agg(

@@ -29,13 +29,12 @@ class Engine:
     nodes: DataFrame
     index: DataFrame | None = None
     embed: Callable[[DataFrame], DataFrame] | None = None
-    longest: int = 8
     site: str = respond.SITE
 
     def parse(self, queries: DataFrame, mode: str = "apply") -> DataFrame:
         """Slots of the queries, with what the resolver adds; an unknown mode counts as apply."""
         mode = mode if mode in MODES else "apply"
-        parsed = parse_queries(queries, self.dictionary, self.longest)
+        parsed = parse_queries(queries, self.dictionary)
         if mode == "off" or self.index is None or self.embed is None:
             return parsed.withColumn("product_id", F.lit(None).cast("string")).withColumn("resolver_status", F.lit("not_needed"))
         spans = resolve.route_spans(parsed).withColumn("span_id", F.xxhash64("text", "entity_type"))

@@ -97,7 +97,7 @@ def asked(spark: SparkSession) -> DataFrame:
 
 
 def parsed(spark: SparkSession) -> DataFrame:
-    return parse_queries(asked(spark), dictionary(spark), 2)
+    return parse_queries(asked(spark), dictionary(spark))
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:

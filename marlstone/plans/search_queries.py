@@ -125,7 +125,7 @@ def r17_route(spark, sf_dir):
     """Misspelt tokens routed to types; vectors of letter pairs stand in for an embedding model."""
 
     asked_ = spark.createDataFrame([(str(i), t) for i, t in _TYPED], "query_id string, raw string")
-    slots = parse_queries(asked_, dictionary(spark), 2)
+    slots = parse_queries(asked_, dictionary(spark))
 
     def vector(word):
         return F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.length(word).cast("double") - F.length(F.replace(word, F.char(i + 97), F.lit(""))))
@@ -388,4 +388,4 @@ def v05_selector_counts(spark, sf_dir):
 def p10_engine(spark, sf_dir):
     """The whole engine over a batch of queries, repeated ones answered once."""
     again = asked(spark).unionByName(asked(spark).select((F.col("query_id") + 100).alias("query_id"), F.upper("raw").alias("raw")))
-    return Engine(catalog(spark, sf_dir), dictionary(spark), _edges(spark), _nodes(spark), longest=2).answer(again, 5)
+    return Engine(catalog(spark, sf_dir), dictionary(spark), _edges(spark), _nodes(spark)).answer(again, 5)

@@ -51,8 +51,8 @@ def n05_slug(spark, sf_dir):
 
 
 @query(
-    "SELECT page_id, md5(coalesce(t, '')) AS digest, length(t) AS n FROM (SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace("
-    "regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS t FROM pages)"
+    "SELECT page_id, md5(coalesce(t, '')) AS digest, length(t) AS n FROM (SELECT page_id, nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace("
+    "regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')), '') AS t FROM pages)"
 )
 def n06_strip_markup(spark, sf_dir):
     t = tx.strip_markup(F.col("html"))
@@ -78,12 +78,12 @@ def q02_alias_dictionary(spark, sf_dir):
 @query(parse_sql(OFFERS) + " SELECT query_id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, kind, id FROM matched")
 def q03_alias_match(spark, sf_dir):
     n = offers(spark, sf_dir).select("query_id", tx.tokens(tx.normalize_text(F.col("raw"))).alias("tokens"))
-    return aliases.match_phrases(n, dictionary(spark), 2).select("query_id", "start", F.col("end").alias("stop"), "kind", "id")
+    return aliases.match_phrases(n, dictionary(spark)).select("query_id", "start", F.col("end").alias("stop"), "kind", "id")
 
 
 @query(parse_sql(OFFERS) + " SELECT query_id, product_type_id, brand_id, finish FROM parsed")
 def q04_first_slots(spark, sf_dir):
-    return parse_queries(offers(spark, sf_dir), dictionary(spark), 2).select("query_id", "product_type_id", "brand_id", F.col("attributes.finish").alias("finish"))
+    return parse_queries(offers(spark, sf_dir), dictionary(spark)).select("query_id", "product_type_id", "brand_id", F.col("attributes.finish").alias("finish"))
 
 
 @query(parse_sql(ASKED_SQL) + " SELECT query_id, weight_kg, volume_l FROM parsed")
@@ -93,7 +93,7 @@ def q07_amounts(spark, sf_dir):
 
 @query(parse_sql(OFFERS) + " SELECT query_id, residual FROM parsed")
 def q09_residual(spark, sf_dir):
-    return parse_queries(offers(spark, sf_dir), dictionary(spark), 2).select("query_id", F.array_join("unparsed_tokens", " ").alias("residual"))
+    return parse_queries(offers(spark, sf_dir), dictionary(spark)).select("query_id", F.array_join("unparsed_tokens", " ").alias("residual"))
 
 
 @query(parse_sql(ASKED_SQL) + " SELECT query_id, normalized, product_type_id, product_type_display, brand_id, brand_display, finish, residual FROM parsed")
@@ -185,7 +185,7 @@ def c10_rule_classify(spark, sf_dir):
 def c13_enrich(spark, sf_dir):
     products = catalog(spark, sf_dir)
     raw = F.when(F.col("ord") % 2 == 0, F.lit("99 kg")).otherwise("")
-    new = parse_queries(products.select(F.col("id").alias("query_id"), raw.alias("raw")), dictionary(spark), 2)
+    new = parse_queries(products.select(F.col("id").alias("query_id"), raw.alias("raw")), dictionary(spark))
     return canonical.enrich_attributes(products, new).select("id", "attributes.weight_kg", "attributes.finish")
 
 

@@ -18,8 +18,9 @@ STAGED = ("source_product_key", "name", "category", "subcategory", "sku", "price
 
 
 def staged_products(pages: DataFrame, source_id: str) -> DataFrame:
-    """Products of a batch of pages, the last of every key."""
-    rows = stage(parse_products(pages).join(pages.select("url", "retrieved_at", "seq"), "url"), source_id, F.col("retrieved_at")).select(*STAGED)
+    """Products of a batch of pages, the last of every key. A page may come in several versions: each
+    product keeps the time and number of the version it was read from."""
+    rows = stage(parse_products(pages), source_id, F.col("retrieved_at")).select(*STAGED)
     return merge_staged(rows.limit(0), rows)
 
 

@@ -4,11 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import canonical, chat, graph, ingest, legacy, resolve, respond, search
+from marlstone.operators import aliases
 from marlstone.operators.aliases import ALIAS_SCHEMA, alias_dictionary
 from marlstone.operators.parse import parse_queries
 from marlstone.plans import data_queries, search_queries
 from marlstone.plans.engine import Engine
 from marlstone.sources import tables
+from marlstone.streaming import ingest as streaming
 
 ALIASES = [
     ("product_type", "type:paint", "краска", "краска", 1), ("product_type", "type:primer", "грунтовка", "грунтовка", 2), ("product_type", "type:varnish", "лак", "лак", 3),
@@ -122,33 +124,47 @@ def test_decisions(spark, score, margin, trusted, kind, status):
     assert row.select(resolve.decide(*[F.col(c) for c in ("score", "margin", "trusted", "least_score", "least_margin", "alone")])[0]).first()[0] == status
 
 
-def _resolution(kind, status, entity=None, score=None, candidates=()):
-    return {"text": "t", "entity_type": kind, "status": status, "entity_id": entity, "display": entity, "score": score, "reason": "", "candidates": [{"entity_id": e, "display": e, "score": s, "character_score": c} for e, s, c in candidates]}
+SLOTS = "query_id string, brand_id string, brand_display string, product_type_id string, product_type_display string, unparsed_tokens array<string>"
+RESOLVED = f"query_id string, text string, entity_type string, status string, entity_id string, display string, score double, reason string, candidates array<{resolve.CANDIDATE}>"
+GOODS = "id string, name string, brand string, brand_id string, subcategory string, product_type_id string"
 
 
-def test_routing_fold():
-    stock = resolve.Availability({("brand:tikkurila", "type:paint")}, {})
-    start = {"brand_id": None, "brand_display": None, "product_type_id": None, "product_type_display": None, "unparsed_tokens": ["краскк", "тикула"]}
-    by = {
-        ("краскк", "product_type"): _resolution("product_type", "resolved", "type:paint", 0.9),
-        ("тикула", "brand"): _resolution("brand", "suggestion", None, 0.85, [("brand:gone", 0.9, 0.9), ("brand:tikkurila", 0.85, 0.8)]),
-    }
-    end = resolve.route_query(start, by, stock)
-    assert (end["brand_id"], end["product_type_id"], end["unparsed_tokens"]) == ("brand:tikkurila", "type:paint", [])
-    assert [r["status"] for r in end["resolutions"]] == ["resolved", "best_effort"]
-    low = {("тикула", "brand"): _resolution("brand", "suggestion", None, 0.68, [("brand:tikkurila", 0.68, 0.9)])}
-    assert resolve.route_query(start, low, stock)["brand_id"] is None
-    shadow = resolve.route_query(start, by, stock, "shadow")
-    assert shadow["brand_id"] is None and len(shadow["resolutions"]) == 2
-    assert resolve.route_query(start, by, stock, "off")["resolutions"] == []
+def _resolution(query, text, kind, status, entity=None, score=None, candidates=()):
+    return (query, text, kind, status, entity, entity, score, "", [(e, e, s, None, c, None) for e, s, c in candidates])
+
+
+def _routed(spark, queries, resolutions, goods, mode="apply"):
+    parsed = spark.createDataFrame([(q, None, None, None, None, words) for q, words in queries], SLOTS)
+    out = resolve.route(parsed, spark.createDataFrame(resolutions, RESOLVED), spark.createDataFrame(goods, GOODS), mode)
+    return {r["query_id"]: r for r in out.collect()}
 
 
-def test_phrase_first():
-    item = {"id": "7", "name": "Масло Терас", "brand": "V", "brand_id": "brand:v", "subcategory": "масла", "product_type_id": "type:oil"}
-    start = {"brand_id": None, "brand_display": None, "product_type_id": None, "product_type_display": None, "unparsed_tokens": ["масло", "валти", "терас"]}
-    by = {("масло валти терас", "product_name"): _resolution("product_name", "suggestion", None, 0.8, [("7", 0.8, 0.6)])}
-    end = resolve.route_query(start, by, resolve.Availability({("brand:v", "type:oil")}, {"7": item}))
-    assert (end["product_id"], end["brand_id"], end["product_type_id"], end["unparsed_tokens"]) == ("7", "brand:v", "type:oil", [])
+def test_routing(spark):
+    goods = [("1", "x", "T", "brand:tikkurila", "краски", "type:paint")]
+    words = ["краскк", "тикула", "краскк"]
+    paint, near = _resolution("a", "краскк", "product_type", "resolved", "type:paint", 0.9), ("brand:gone", 0.9, 0.9)
+    rows = [paint, _resolution("a", "тикула", "brand", "suggestion", None, 0.85, [near, ("brand:tikkurila", 0.85, 0.8)])]
+    rows += [("b", *paint[1:]), _resolution("b", "тикула", "brand", "suggestion", None, 0.68, [("brand:tikkurila", 0.68, 0.9)])]
+    rows += [_resolution("c", "тикула", "brand", "suggestion", None, 0.68, [near]), _resolution("c", "краскк", "product_type", "ambiguous", None, 0.7, [("type:none", 0.9, 0.9)])]
+    queries = [(q, words) for q in "abcd"]
+    got = _routed(spark, queries, rows, goods)
+    assert (got["a"]["brand_id"], got["a"]["product_type_id"], got["a"]["unparsed_tokens"], got["a"]["resolver_status"]) == ("brand:tikkurila", "type:paint", [], "resolved+best_effort")
+    assert (got["b"]["brand_id"], got["b"]["unparsed_tokens"], got["b"]["resolver_status"]) == (None, ["тикула"], "resolved")
+    assert (got["c"]["product_type_id"], got["c"]["resolver_status"], got["d"]["resolver_status"]) == (None, "ambiguous", "not_needed")
+    shadow = _routed(spark, queries, rows, goods, "shadow")
+    assert shadow["a"]["brand_id"] is None and shadow["a"]["resolver_status"] == "resolved+best_effort+resolved"
+    assert {r["resolver_status"] for r in _routed(spark, queries, rows, goods, "off").values()} == {"not_needed"}
+
+
+def test_phrase_first(spark):
+    goods = [("7", "Масло Терас", "V", "brand:v", "масла", "type:oil"), ("8", "x", None, None, None, None)]
+    words = ["масло", "валти", "терас"]
+    rows = [_resolution("a", " ".join(words), "product_name", "suggestion", None, 0.8, [("7", 0.8, 0.6)]), _resolution("a", "масло", "product_type", "resolved", "type:oil", 1.0)]
+    rows += [_resolution("b", "масло", "product_name", "suggestion", None, 0.8, [("9", 0.9, 0.9), ("8", 0.8, 0.6)]), _resolution("b", "терас", "brand", "exact", "brand:v", 1.0)]
+    got = _routed(spark, [("a", words), ("b", words)], rows, goods)
+    assert tuple(got["a"][c] for c in ("product_id", "brand_id", "product_type_id", "product_type_display", "unparsed_tokens", "resolver_status")) == ("7", "brand:v", "type:oil", "масла", [], "best_effort")
+    # a product without a brand takes no other brand than its own
+    assert tuple(got["b"][c] for c in ("product_id", "brand_id", "unparsed_tokens")) == ("8", None, ["валти", "терас"])
 
 
 def test_index_reasons():
@@ -200,15 +216,47 @@ def test_chat_validation(spark):
     assert got == {1: None, 2: "bad_role", 3: "user_text_too_long", 4: "no_user_message", 5: "no_user_message", 6: "bad_text"}
 
 
-def test_reply_blocks():
-    items = [{"id": "1", "name": "Краска А", "sku": "s-100"}, {"id": "2", "name": "Лак Б", "sku": "s-200"}, {"id": "3", "name": "Грунт", "sku": "ab"}]
-    by = {p["id"]: p for p in items}
-    blocks = chat.reply_blocks("Возьмите Краска А: [id:1] и s-200. Потом [id:1] [id:9]", items, by)
-    assert [(b["type"], b["text"], b["product_id"]) for b in blocks][:2] == [("text", "Возьмите", None), ("product", None, "1")]
-    assert [b["product_id"] for b in blocks if b["type"] == "product"] == ["1", "2"]
-    compared = chat.reply_blocks("[compare:1|раз] [compare:2|два] [compare:1|три] [compare_result: итог]", [], by)
-    assert [(b["type"], b["text"]) for b in compared] == [("comparison_item", "раз"), ("comparison_item", "два"), ("comparison_analysis", "итог")]
-    assert chat.reply_blocks("[compare_result: x]", [], by) == []
+def test_reply_blocks(spark):
+    items = [("1", "Краска А", "s-100"), ("2", "Лак Б", "s-200"), ("3", "Грунт", "ab"), ("4", None, None)]
+    texts = {
+        "a": "Возьмите Краска А: [id:1] и s-200. Потом [id:1] [id:9]",
+        "b": "[compare:1|раз] [compare:2|  ] [compare:2|два] [compare:1|три] [compare_result: итог]",
+        "c": "[compare_result: x]",
+        "d": "Вот:\n\n[id:77] всё",
+        "e": None,
+        "f": "ГРУНТ и лак б",
+    }
+    replies = spark.createDataFrame([(m, t, items) for m, t in texts.items()], "msg_id string, text string, products array<struct<id:string,name:string,sku:string>>")
+    got = {}
+    for r in chat.content_blocks(replies).orderBy("msg_id", "block_no").collect():
+        got.setdefault(r["msg_id"], []).append((r["type"], r["text"], r["product_id"]))
+    assert got["a"] == [("text", "Возьмите", None), ("product", None, "1"), ("text", "и s-200", None), ("product", None, "2"), ("text", ". Потом", None)]
+    assert got["b"] == [("comparison_item", "раз", "1"), ("comparison_item", "два", "2"), ("comparison_analysis", "итог", None)]
+    assert got["d"] == [("text", "всё", None)] and "c" not in got and "e" not in got
+    assert got["f"] == [("product", None, "3"), ("text", "и", None), ("product", None, "2")]
+    few = chat.content_blocks(replies, 1).filter("msg_id = 'a' AND type = 'product'").collect()
+    assert [r["product_id"] for r in few] == ["1"]
+
+
+def test_page_versions_keep_their_stamps(spark):
+    page = lambda price: f'<meta itemprop="name" content="A"><meta itemprop="category" content="x/y"><span class="vendorL">1</span><meta itemprop="price" content="{price}">'
+    rows = [("https://s/1", page(10), "t1", 1), ("https://s/1", page(20), "t2", 2)]
+    for order in (rows, rows[::-1]):
+        staged = streaming.staged_products(spark.createDataFrame(order, streaming.PAGES), "s").collect()
+        assert [(r["price"], r["seq"], r["retrieved_at"]) for r in staged] == [(20.0, 2, "t2")]
+
+
+def test_long_phrases(spark):
+    words = [f"w{i}" for i in range(12)]
+    entries = aliases.alias_dictionary(spark.createDataFrame([("brand", "b", "B", " ".join(words), 1), ("brand", "c", "C", "w1 w2", 2)], aliases.ALIAS_SCHEMA))
+    got = parse_queries(spark.createDataFrame([(1, "x " + " ".join(words) + " y")], "query_id long, raw string"), entries).first()
+    assert (got["brand_id"], got["unparsed_tokens"]) == ("b", ["x", "y"])
+
+
+def test_greedy_dedup_takes_as_many_rounds_as_needed(spark):
+    rows = [(i, f"s{i // 2}", f"u{(i + 1) // 2}") for i in range(16)]
+    kept = sorted(r["ord"] for r in canonical.first_of_each(spark.createDataFrame(rows, "ord long, sku string, url string")).collect())
+    assert kept == list(range(0, 16, 2))
 
 
 def test_safe_addresses(spark):

@@ -50,6 +50,8 @@ def test_amounts(spark):
 def test_markup_and_reply(spark):
     assert one(spark, tx.strip_markup, "<b> a&nbsp;&amp; b</b>\n") == "a & b"
     assert one(spark, tx.strip_markup, "<b></b>") is None
+    assert one(spark, tx.strip_markup, "a &mdash; b &#1078; &laquo;c&raquo; &amp;lt; &copy 1") == "a — b ж «c» &lt; © 1"
+    assert one(spark, tx.strip_markup, "a&amp;lt;") == "a&lt;"
     assert one(spark, tx.tidy_reply, " a  b \n\n\n\nc ") == "a b\n\nc"
     assert one(spark, html_unescape, "&eacute;&#x41;") == "éA"
     assert one(spark, title_case, "ручной-инструмент, a1b") == "Ручной-Инструмент, A1B"

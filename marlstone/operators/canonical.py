@@ -92,11 +92,16 @@ def type_by_alias(text: Column, types: list[tuple[str, list[str]]]) -> Column:
     return chain
 
 
+def without_paint_talk(name: Column) -> Column:
+    """A name in lower case without the words that speak of paint though the product is none."""
+    return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), PAINT_TALK, "")
+
+
 def type_by_rule(name: Column, subcategory: Column, category: Column, rules=TYPE_RULES) -> Column:
     """First rule that the product's texts meet; paint rules do not count in other trades'
     categories."""
-    low = [F.lower(F.coalesce(c, F.lit(""))) for c in (subcategory, category, name)]
-    text = F.concat_ws(" ", low[0], low[1], F.regexp_replace(low[2], PAINT_TALK, ""))
+    low = [F.lower(F.coalesce(c, F.lit(""))) for c in (subcategory, category)]
+    text = F.concat_ws(" ", low[0], low[1], without_paint_talk(name))
     guarded = low[0].isin(*NO_PAINT_CATEGORIES) | low[1].isin(*NO_PAINT_CATEGORIES)
     chain = F.lit(None).cast("string")
     for pattern, type_id, _ in reversed(rules):
@@ -139,7 +144,7 @@ def type_aliases(existing: DataFrame, inflections: DataFrame, rules=TYPE_RULES)
     ruled = spark.createDataFrame([(t, d) for _, t, d in rules], "id string, display string").dropDuplicates(["id"])
     none = F.array().cast("array<string>")
     plain = F.array("display", F.concat("display", F.lit("ы")), F.concat("display", F.lit("и")))
-    joined = ruled.join(existing.select("id", F.col("aliases").alias("old")), "id", "left").join(F.broadcast(inflections), "display", "left")
+    joined = ruled.join(existing.select("id", F.col("aliases").alias("old")), "id", "left").join(inflections, "display", "left")
     every = F.array_union(F.coalesce("old", none), F.coalesce("forms", plain))
     return joined.select("id", "display", F.array_sort(F.filter(every, lambda a: (a != "") & ~a.contains("�"))).alias("aliases"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import chat, ingest, quality
+from marlstone.operators.aliases import alias_dictionary, config_rows
 from marlstone.operators.index import index_checks
 from marlstone.plans.registry import CATALOG, catalog, query, table, values
 from marlstone.sources import tables
@@ -208,6 +209,30 @@ def i10_parse_products(spark, sf_dir):
     return ingest.parse_products(_microdata(spark, sf_dir), known).select("sku", "name", "category", "subcategory", "price", "image")
 
 
+_PREFIXES = (("/catalog/ge", 3, "Machines", "Parts"), ("/catalog/gear/1", 1, "", "Ones"), ("/catalog/r", 2, "Bars", ""), ("/catalog/ring/", 4, "Rings", "Rings"), ("/other/", 0, "Other", "Other"))
+
+
+@query(
+    f"""WITH {CATALOG}, k AS (SELECT * FROM {values(_PREFIXES, "prefix, ord, c, s")}), paths AS (SELECT sku, '/catalog/' || subcategory || '/' || id || '/' AS path, category, subcategory FROM catalog WHERE ord % 9 <> 0),
+m AS (SELECT sku, arg_min(c, k.ord) AS c, arg_min(s, k.ord) AS s FROM paths JOIN k ON starts_with(path, prefix) GROUP BY sku)
+SELECT sku, coalesce(nullif(c, ''), upper(left(category, 1)) || lower(substr(category, 2))) AS category, coalesce(nullif(s, ''), upper(left(subcategory, 1)) || substr(subcategory, 2)) AS subcategory FROM paths LEFT JOIN m USING (sku)"""
+)
+def i12_path_metadata(spark, sf_dir):
+    """The first prefix in the table's order, not the longest; its empty fields fall back to the page's."""
+    known = spark.createDataFrame(list(_PREFIXES), "prefix string, ord int, category string, subcategory string")
+    return ingest.parse_products(_microdata(spark, sf_dir), known).select("sku", "category", "subcategory")
+
+
+@query(
+    """SELECT page_id FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE sha256(html) END AS raw_snapshot, CASE page_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE url END AS url FROM pages)
+WHERE raw_snapshot <> '' AND url <> ''"""
+)
+def i15_trusted(spark, sf_dir):
+    choose = lambda n, value: F.when(F.col("page_id") % n == 0, F.lit(None)).when(F.col("page_id") % n == 1, F.lit("")).otherwise(value)
+    rows = table(spark, sf_dir, "pages").select("page_id", choose(4, F.sha2("html", 256)).alias("raw_snapshot"), choose(3, F.col("url")).alias("url"))
+    return ingest.trusted(rows).select("page_id")
+
+
 @query(f"WITH {CATALOG} SELECT 'shop:' || sku AS source_product_key, 'brand_not_exposed' AS issues FROM catalog WHERE ord % 9 <> 0")
 def i13_stage(spark, sf_dir):
     staged = ingest.stage(ingest.parse_products(_microdata(spark, sf_dir)), "shop", F.lit("2024-01-01T00:00:00Z"))
@@ -365,20 +390,70 @@ def s09_upsert(spark, sf_dir):
 @query("SELECT count(*) AS n, CAST(sum(r_regionkey) AS BIGINT) AS s FROM region")
 def s08_publish(spark, sf_dir):
     rows = table(spark, sf_dir, "region")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marlstone-")
-    path = f"{folder.rstrip('/')}/published-{tables.uuid.uuid4().hex}"
+    path = f"{_shared(spark)}/published-{tables.uuid.uuid4().hex}"
     tables.publish(rows.limit(1), path)
     tables.publish(rows, path)
     return tables.read_published(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum("r_regionkey").alias("s"))
 
 
-@query("SELECT true AS order_free, true AS sees_repeats")
+def _as_json(spark, rows, name, mark=""):
+    """The few rows of a dimension as one JSON array in a file of the shared folder."""
+    one = rows.agg(F.concat(F.lit(mark), F.to_json(F.array_sort(F.collect_list(F.struct(*rows.columns))))).alias("value"))
+    path = f"{_shared(spark)}/{name}-{tables.uuid.uuid4().hex}"
+    one.coalesce(1).write.text(path)
+    return path
+
+
+def _shared(spark):
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marlstone-")).rstrip("/")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS ord FROM nation")
+def s01_json_catalog(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return tables.with_order(tables.read_json(spark, _as_json(spark, rows, "nation"), rows.schema))
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT -1, CAST(0 AS VARCHAR)")
+def s02_tolerant_json(spark, sf_dir):
+    """A file with a byte order mark, and the number of rows of a file that is not there."""
+    rows = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    found = tables.read_json(spark, _as_json(spark, rows, "region", "\ufeff"), rows.schema)
+    missing = tables.read_json(spark, f"{_shared(spark)}/no-such-{tables.uuid.uuid4().hex}", rows.schema)
+    counted = missing.agg(F.lit(-1).cast(rows.schema["r_regionkey"].dataType).alias("r_regionkey"), F.count(F.lit(1)).cast("string").alias("r_name"))
+    return found.unionByName(counted)
+
+
+@query(
+    """SELECT phrase, kind, id, display FROM (SELECT 'brand' AS kind, 'brand:' || n_nationkey AS id, n_name AS display, unnest([lower(n_name), 'the ' || lower(n_name), '']) AS phrase FROM nation
+UNION ALL SELECT 'product_type', 'type:' || r_regionkey, r_name, unnest([lower(r_name), 'the ' || lower(r_name), '']) FROM region) WHERE phrase <> ''"""
+)
+def s03_dictionary_files(spark, sf_dir):
+    """A file of brands and one of types as one alias dictionary."""
+    parts = []
+    for name, key, kind, prefix in (("nation", "n", "brand", "brand:"), ("region", "r", "product_type", "type:")):
+        shown = F.col(f"{key}_name")
+        number = F.col(f"{key}_{name}key")
+        entities = table(spark, sf_dir, name).select(
+            F.concat(F.lit(prefix), number.cast("string")).alias("id"), shown.alias("display"), F.array(F.upper(shown), F.concat(F.lit("The "), shown, F.lit("!")), F.lit("")).alias("aliases"), number.cast("long").alias("ord")
+        )
+        parts.append(config_rows(tables.read_json(spark, _as_json(spark, entities, name), entities.schema), kind))
+    return alias_dictionary(parts[0].unionByName(parts[1])).select("phrase", "kind", "id", "display")
+
+
+_DIGESTS = """d AS (SELECT CAST('0x' || substr(md5(concat_ws(chr(31), CAST(c_acctbal AS VARCHAR), CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR))), 1, 12) AS BIGINT) AS d
+  FROM (SELECT c_custkey, c_name, c_nationkey, CAST(floor(c_acctbal) AS BIGINT) AS c_acctbal FROM customer))"""
+
+
+@query(
+    f"""WITH {_DIGESTS}, f AS (SELECT count(*) AS n, CAST(sum(d) AS VARCHAR) AS s FROM d)
+SELECT 'rows' AS what, n, s, true AS same FROM f UNION ALL SELECT 'reordered', n, s, true FROM f UNION ALL SELECT 'repeated', 2 * n, CAST(2 * CAST(s AS HUGEINT) AS VARCHAR), false FROM f"""
+)
 def s13_fingerprint(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation")
-    a = tables.fingerprint(rows)
-    b = tables.fingerprint(rows.orderBy(F.desc("n_name")).repartition(3))
-    c = tables.fingerprint(rows.union(rows))
-    return spark.createDataFrame([(a == b, a != c)], "order_free boolean, sees_repeats boolean")
+    """Fingerprints of the customers, of the same in another order, and of each customer twice."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", F.floor("c_acctbal").alias("c_acctbal"))
+    prints = {"rows": tables.fingerprint(rows), "reordered": tables.fingerprint(rows.repartition(5, "c_name")), "repeated": tables.fingerprint(rows.union(rows))}
+    return spark.createDataFrame([(k, int(p.split("-")[0]), p.split("-")[1], p == prints["rows"]) for k, p in prints.items()], "what string, n long, s string, same boolean")
 
 
 @query("SELECT page_id, regexp_replace('page ' || page_id || '/x', '[^A-Za-z0-9_-]+', '_', 'g') || '_' || substr(sha256(html), 1, 12) || '.html.gz' AS name FROM pages")

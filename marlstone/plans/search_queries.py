@@ -28,30 +28,28 @@ def _index(spark, sf_dir):
     )
 
 
-def _rest(spark, sf_dir):
-    """The index without the spans' own vectors, as ``x`` in the SQL has it."""
-    return _index(spark, sf_dir).filter("vec_id % 20 <> 0")
+def _met(spark, sf_dir):
+    """Every span with every vector of the index but its own."""
+    s, x = _spans(spark, sf_dir).alias("s"), _index(spark, sf_dir).alias("x")
+    return s.join(x, (F.col("s.entity_type") == F.col("x.entity_type")) & (F.col("span_id") != F.col("vec_id")))
 
 
 _PAIRS = """s AS (SELECT vec_id AS span_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
-x AS (SELECT vec_id, 'brand:' || label AS entity_id, embedding FROM embeddings WHERE vec_id % 20 <> 0),
-pairs AS (SELECT span_id, x.vec_id, entity_id, greatest(0.0, least(1.0, list_dot_product(CAST(s.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])))) AS e FROM s, x)"""
+x AS (SELECT vec_id, 'brand:' || label AS entity_id, embedding FROM embeddings),
+pairs AS (SELECT span_id, x.vec_id, entity_id, greatest(0.0, least(1.0, list_dot_product(CAST(s.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])))) AS e FROM s JOIN x ON span_id <> vec_id)"""
 
 
 @query(f"WITH {_PAIRS} SELECT span_id, vec_id, round(e, 4) AS e FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY round(e, 9) DESC, vec_id) AS r FROM pairs) WHERE r <= 5")
 def r03_cosine_topk(spark, sf_dir):
-
-    met = _spans(spark, sf_dir).alias("s").join(_rest(spark, sf_dir).alias("x"), "entity_type")
-    scored = met.select("span_id", "vec_id", resolve.vector_score(F.col("s.vector"), F.col("x.vector")).alias("e"))
+    scored = _met(spark, sf_dir).select("span_id", "vec_id", resolve.vector_score(F.col("s.vector"), F.col("x.vector")).alias("e"))
     rank = F.row_number().over(Window.partitionBy("span_id").orderBy(F.desc(F.round("e", 9)), "vec_id"))
     return scored.withColumn("r", rank).filter("r <= 5").select("span_id", "vec_id", F.round("e", 4).alias("e"))
 
 
 def _scored(spark, sf_dir):
-    met = _spans(spark, sf_dir).alias("s").join(_rest(spark, sf_dir).alias("x"), "entity_type")
     e = F.round(resolve.vector_score(F.col("s.vector"), F.col("x.vector")), 6)
     zero = F.lit(0.0)
-    return met.select(
+    return _met(spark, sf_dir).select(
         "span_id", "entity_id", "display", "normalized_phrase", F.lit(True).alias("trusted"), e.alias("score"), e.alias("embedding_score"), zero.alias("character_score"), zero.alias("transliteration_score")
     )
 
@@ -142,15 +140,21 @@ def r17_route(spark, sf_dir):
     return routed.select("query_id", "brand_id", "product_type_id", "product_id", F.array_join("unparsed_tokens", " ").alias("residual"), "resolver_status")
 
 
-_CASES = (("a", "brand:1", "exact", "brand:1", 1), ("b", "brand:2", "suggestion", None, 0), ("c", None, "resolved", "brand:9", 0), ("d", "brand:4", "ambiguous", None, 0))
-
-
-@query("SELECT 4 AS cases, 2 AS passed, 1 AS false_filters")
+@query(
+    f"""WITH {CATALOG}, r AS (SELECT *, ord % 4 AS how, ord % 3 = 0 AS wrong FROM catalog),
+c AS (SELECT *, CASE WHEN how = 0 THEN NULL WHEN wrong THEN 'brand:0' ELSE brand_id END AS expected,
+  CASE how WHEN 0 THEN 'suggestion' WHEN 1 THEN 'exact' WHEN 2 THEN 'resolved' END AS status FROM r)
+SELECT count(*) AS cases, count(*) FILTER (status IN ('exact', 'suggestion') AND (expected IS NULL OR expected = brand_id)) AS passed,
+  count(*) FILTER (status IN ('exact', 'resolved') AND wrong) AS false_filters FROM c"""
+)
 def r20_evaluate(spark, sf_dir):
-    cases = spark.createDataFrame([(c, e, ["exact", "resolved"] if a else ["suggestion"], bool(a)) for c, e, _, _, a in _CASES], "case_id string, expected_entity_id string, allowed_statuses array<string>, hard_filter_allowed boolean")
-    cases = cases.withColumn("expected_entity_id", F.when(F.col("case_id") != "b", F.col("expected_entity_id"))).withColumn("allowed_statuses", F.when(F.col("case_id") == "d", F.array(F.lit("ambiguous"))).otherwise(F.col("allowed_statuses")))
-    cases = cases.withColumn("expected_entity_id", F.when(F.col("case_id") == "d", F.lit("brand:5")).otherwise(F.col("expected_entity_id")))
-    results = spark.createDataFrame([(c, s, e) for c, _, s, e, _ in _CASES], "case_id string, status string, entity_id string")
+    """Cases made of the catalogue: a quarter has no result, a third expects another brand."""
+    how, wrong = F.col("ord") % 4, F.col("ord") % 3 == 0
+    c = catalog(spark, sf_dir).withColumn("case_id", F.col("id"))
+    expected = F.when(how == 0, F.lit(None)).when(wrong, F.lit("brand:0")).otherwise(F.col("brand_id"))
+    cases = c.select("case_id", expected.alias("expected_entity_id"), F.array(F.lit("exact"), F.lit("suggestion")).alias("allowed_statuses"), (~wrong).alias("hard_filter_allowed"))
+    status = F.when(how == 0, "suggestion").when(how == 1, "exact").otherwise("resolved")
+    results = c.filter(how < 3).select("case_id", status.alias("status"), F.col("brand_id").alias("entity_id"))
     return resolve.evaluate(cases, results)
 
 
@@ -214,30 +218,30 @@ def p08_title(spark, sf_dir):
     return search.primary_title(parsed(spark).filter("product_type_id IS NOT NULL OR brand_id IS NOT NULL"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(url, '^https://[^/?#@:]*[.]example[.](com|org)([/?#]|$)') THEN url ELSE '' END AS url, CASE WHEN regexp_matches(url, '^https?://[^/?#]+/[A-Za-z0-9_.-]+/') THEN regexp_extract(url, '^https?://[^/?#]+/([A-Za-z0-9_.-]+)/', 1) ELSE '' END AS head FROM pages")
+# An address of the shop and five that are not, by the part's number.
+_HOSTS = ("https://shop.example/", "https://www.shop.example/", "http://shop.example/", "https://shop.example.evil.example/", "https://user@evil.example/", "https://SHOP.example/")
+_FOLDERS = ("catalog/", "news/", "catalog//", "", "Catalog/")
+_ADDRESS = f"""addresses AS (SELECT p_partkey, CASE p_partkey % {len(_HOSTS) + 1} {" ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HOSTS))} END AS host,
+  CASE p_partkey % {len(_FOLDERS)} {" ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_FOLDERS))} END AS folder,
+  CASE WHEN p_partkey % 4 = 0 THEN replace(p_name, ' ', '_') ELSE replace(p_name, ' ', '.') END AS last FROM part)"""
+
+
+def _addresses(spark, sf_dir):
+    n = F.col("p_partkey")
+    pick = lambda choices: F.get(F.array(*[F.lit(c) for c in choices]), (n % len(choices)).cast("int"))
+    host = F.get(F.array(*[F.lit(h) for h in _HOSTS]), (n % (len(_HOSTS) + 1)).cast("int"))
+    last = F.replace("p_name", F.lit(" "), F.when(n % 4 == 0, "_").otherwise("."))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(host, pick(_FOLDERS), last, F.lit("/x1/")).alias("url"))
+
+
+@query(f"WITH {_ADDRESS} SELECT p_partkey, CASE WHEN p_partkey % 7 IN (0, 1, 5) THEN host || folder || last || '/x1/' ELSE '' END AS url FROM addresses")
 def p11_safe_url(spark, sf_dir):
-    host = F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))
-    safe = (F.try_parse_url("url", F.lit("PROTOCOL")) == "https") & host.rlike(r"^[^@:]*\.example\.(com|org)$")
-    head = F.regexp_extract("url", "^https?://[^/?#]+/([A-Za-z0-9_.-]+)/", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.when(F.coalesce(safe, F.lit(False)), F.col("url")).otherwise("").alias("url"), head.alias("head"))
-
-
-_CATALOG_URLS = (
-    ("https://shop.example/catalog/kraski/x1/", "https://shop.example/catalog/kraski/"),
-    ("https://www.shop.example/catalog/lak_2/", "https://shop.example/catalog/lak_2/"),
-    ("http://shop.example/catalog/kraski/", ""),
-    ("https://evil.example/catalog/kraski/", ""),
-    ("https://shop.example/news/kraski/", ""),
-    ("https://shop.example/catalog/", ""),
-    (None, ""),
-)
+    return _addresses(spark, sf_dir).select("p_partkey", respond.safe_url(F.col("url")).alias("url"))
 
 
-@query(f"SELECT coalesce(url, 'null') AS url, category_url FROM {values(_CATALOG_URLS, 'url, category_url')}")
+@query(f"WITH {_ADDRESS} SELECT p_partkey, CASE WHEN p_partkey % 7 IN (0, 1, 5) AND starts_with(folder, 'catalog/') AND p_partkey % 4 = 0 THEN 'https://shop.example/catalog/' || last || '/' ELSE '' END AS category_url FROM addresses")
 def p12_category_url(spark, sf_dir):
-
-    rows = spark.createDataFrame([(u,) for u, _ in _CATALOG_URLS], "url string")
-    return rows.select(F.coalesce("url", F.lit("null")).alias("url"), respond.category_url(F.col("url")).alias("category_url"))
+    return _addresses(spark, sf_dir).select("p_partkey", respond.category_url(F.col("url")).alias("category_url"))
 
 
 @query()

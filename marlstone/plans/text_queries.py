@@ -29,10 +29,28 @@ def n02_normalize_entity(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(n).cast("long").alias("n"), F.md5(n).alias("digest"))
 
 
-@query("SELECT * FROM (VALUES ('тикурила', 'tikurila'), ('щётка', 'shchёtka'), ('объём', 'obёm'), ('жюльен', 'zhyulen'), ('plain', 'plain')) t(word, latin)")
+# Names in Cyrillic letters, made of those of ``part``: every letter of the alphabet comes up.
+_ROMAN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ"
+_ENDINGS = ("ъ", "ы", "ь", "э", "ю", "я", "Ё")
+_CYRILLIC_NAMES = f"""names AS (SELECT p_partkey, translate(p_name, '{_ROMAN}', '{_CYRILLIC}') ||
+  CASE p_partkey % {len(_ENDINGS)} {" ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_ENDINGS))} END || ' ' || translate(upper(p_type), '{_ROMAN.upper()}', '{_CYRILLIC.upper()}') AS word FROM part)"""
+
+
+def _cyrillic_names(spark, sf_dir):
+    ending = F.get(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("p_partkey") % len(_ENDINGS)).cast("int"))
+    word = F.concat(F.translate("p_name", _ROMAN, _CYRILLIC), ending, F.lit(" "), F.translate(F.upper("p_type"), _ROMAN.upper(), _CYRILLIC.upper()))
+    return table(spark, sf_dir, "part").select("p_partkey", word.alias("word"))
+
+
+def _spelled(text: str) -> str:
+    for letter, latin in tx.LATIN.items():
+        text = f"replace({text}, '{letter}', '{latin}')"
+    return text
+
+
+@query(f"WITH {_CYRILLIC_NAMES} SELECT p_partkey, word, {_spelled("replace(lower(word), 'ё', 'е')")} AS latin FROM names")
 def n03_transliterate(spark, sf_dir):
-    words = spark.createDataFrame([("тикурила",), ("щётка",), ("объём",), ("жюльен",), ("plain",)], "word string")
-    return words.select("word", tx.transliterate(F.col("word")).alias("latin"))
+    return _cyrillic_names(spark, sf_dir).select("p_partkey", "word", tx.transliterate(index.entity_text(F.col("word"))).alias("latin"))
 
 
 @query("SELECT p_partkey, t AS phrase, regexp_matches(p_name, '(^|[^a-z0-9_])' || t || '([^a-z0-9_]|$)') AS found FROM part, (VALUES ('red'), ('red widget'), ('ring'), ('old'), ('')) v(t) WHERE t <> '' UNION ALL SELECT p_partkey, '', false FROM part")
@@ -170,15 +188,49 @@ def c09_brand_dictionary(spark, sf_dir):
     return canonical.brand_dictionary(catalog(spark, sf_dir), seeds).select("id", "catalog_value", "display")
 
 
-_RULES = ((r"gear|gizmo", "type:machine", "machine"), (r"\b(red|blue)\b", "type:paint", "paint"), (r"ring|rod", "type:bar", "bar"))
+# Names that the rules for types must tell apart, and categories, guarded ones among them.
+_GOODS = (
+    "Опора под брус", "Саморез по дереву", "Сайдинг виниловый", "Лак паркетный", "Лакомый кусок", "Пропитка-лак", "Грунтовка глубокая", "Бетоноконтакт", "Шпатлёвка и шпатлевка",
+    "Паста финишная", "Штукатурка", "Эмаль ПФ-115", "Краска", "Некраска", "Колеровка", "Кисточка", "Макловица", "Валик", "Клей для плитки", "Плиточный крепкий клей", "Вагонка", "Рейка",
+    "Фанера", "OSB плита", "Гипсокартон", "Пол наливной", "Наливной пол", "Стяжка", "Пена монтажная", "Монтажная пена", "Герметик под покраску", "Силикон", "Затирка", "Муфта", "Кабель",
+    "Гидроизоляция", "Минвата", "Плинтус", "Порог с покрытием полимерным эмаль", "Ламинат", "Стеклообои", "УШМ", "Дрель", "Покрытие эмалью", "Ведро", "",
+)
+_TRADES = (*canonical.NO_PAINT_CATEGORIES, "отделка", "Крепеж и метизы", "краски и лаки", None, "")
+_GOODS_SQL = f"""goods AS (SELECT p_partkey, list_extract([{", ".join(f"'{g}'" for g in _GOODS)}], p_partkey % {len(_GOODS)} + 1) || ' ' || p_size AS name,
+  list_extract([{", ".join("NULL" if t is None else f"'{t}'" for t in _TRADES)}], (p_partkey // 3) % {len(_TRADES)} + 1) AS trade FROM part)"""
+
+
+def _goods(spark, sf_dir):
+    n = F.col("p_partkey")
+    name = F.concat(F.get(F.array(*[F.lit(g) for g in _GOODS]), (n % len(_GOODS)).cast("int")), F.lit(" "), F.col("p_size").cast("string"))
+    trade = F.get(F.array(*[F.lit(t) for t in _TRADES]), (F.floor(n / 3) % len(_TRADES)).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), trade.alias("trade"))
+
+
+def _unicode(pattern: str) -> str:
+    """A pattern whose word signs know letters of any script, for an engine where they do not."""
+    start, end = f"(^|[^{_UNICODE_WORD}])", f"([^{_UNICODE_WORD}]|$)"
+    head, tail = pattern.startswith("\\b"), pattern.endswith("\\b")
+    middle = pattern[2 * head : len(pattern) - 2 * tail].replace("\\w", f"[{_UNICODE_WORD}]")
+    return (start if head else "") + f"({middle})" + (end if tail else "")
+
+
+_BARE = f"regexp_replace(lower(name), '{canonical.PAINT_TALK.replace('(?U)', '').replace(chr(92) + 'w', f'[{_UNICODE_WORD}]')}', '', 'g')"
+_CHAIN = " ".join(f"WHEN regexp_matches(t, '{_unicode(p)}'){' AND NOT guarded' if i in canonical.PAINT_TYPES else ''} THEN '{i}'" for p, i, _ in canonical.TYPE_RULES)
 
 
 @query(
-    "SELECT p_partkey, CASE WHEN regexp_matches(t, 'gear|gizmo') THEN 'type:machine' WHEN regexp_matches(t, '\\b(red|blue)\\b') THEN 'type:paint' WHEN regexp_matches(t, 'ring|rod') THEN 'type:bar' END AS product_type_id"
-    " FROM (SELECT p_partkey, lower(p_type || ' ' || p_brand || ' ' || p_name) AS t FROM part)"
+    f"""WITH {_GOODS_SQL}, texts AS (SELECT p_partkey, coalesce(lower(trade), '') || ' отдел ' || {_BARE} AS t, coalesce(lower(trade), '') IN {canonical.NO_PAINT_CATEGORIES} AS guarded FROM goods)
+SELECT p_partkey, CASE {_CHAIN} END AS product_type_id FROM texts"""
 )
 def c10_rule_classify(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", canonical.type_by_rule(F.col("p_name"), F.col("p_type"), F.col("p_brand"), _RULES).alias("product_type_id"))
+    """All rules and the guard of the paint types."""
+    return _goods(spark, sf_dir).select("p_partkey", canonical.type_by_rule(F.col("name"), F.col("trade"), F.lit("Отдел")).alias("product_type_id"))
+
+
+@query(f"WITH {_GOODS_SQL} SELECT p_partkey, {_BARE} AS name FROM goods")
+def c12_clean_name(spark, sf_dir):
+    return _goods(spark, sf_dir).select("p_partkey", canonical.without_paint_talk(F.col("name")).alias("name"))
 
 
 @query(f"WITH {CATALOG} SELECT id, CASE WHEN ord % 2 = 0 THEN 99.0 ELSE weight_kg END AS weight_kg, finish FROM catalog")
@@ -189,14 +241,46 @@ def c13_enrich(spark, sf_dir):
     return canonical.enrich_attributes(products, new).select("id", "attributes.weight_kg", "attributes.finish")
 
 
-@query("SELECT * FROM (VALUES ('type:bar', 'bar,barи,barы,old bar'), ('type:machine', 'machinery,machines'), ('type:paint', 'paint,paintи,paintы')) t(id, aliases)")
+@query(
+    f"""WITH {CATALOG}, rules AS (SELECT DISTINCT product_type_id AS id, subcategory AS display FROM catalog),
+known AS (SELECT product_type_id AS id, lower(category) AS a FROM catalog WHERE ord % 5 = 0 UNION SELECT product_type_id, 'bro' || chr(65533) || 'ken' FROM catalog),
+forms AS (SELECT subcategory AS display, subcategory || 's' AS a FROM catalog WHERE length(subcategory) <= 4 UNION SELECT subcategory, lower(brand) FROM catalog WHERE length(subcategory) <= 4 AND ord % 50 = 0),
+every AS (SELECT id, a FROM known UNION SELECT id, a FROM rules JOIN forms USING (display)
+  UNION SELECT id, display || e FROM rules, (VALUES (''), ('ы'), ('и')) v(e) WHERE display NOT IN (SELECT display FROM forms))
+SELECT id, string_agg(a, ',' ORDER BY a) AS aliases FROM every JOIN rules USING (id) WHERE NOT contains(a, chr(65533)) GROUP BY id"""
+)
 def c14_type_aliases(spark, sf_dir):
-    known = spark.createDataFrame([("type:bar", ["old bar", "bro�ken"])], "id string, aliases array<string>")
-    forms = spark.createDataFrame([("machine", ["machines", "machinery"])], "display string, forms array<string>")
-    out = canonical.type_aliases(known, forms, _RULES)
+    """Known aliases from the catalogue's categories, forms of the short nouns only."""
+    c = catalog(spark, sf_dir)
+    known = c.groupBy(F.col("product_type_id").alias("id")).agg(F.array_append(F.collect_set(F.when(F.col("ord") % 5 == 0, F.lower("category"))), F.lit("bro\ufffdken")).alias("aliases"))
+    short = c.filter(F.length("subcategory") <= 4)
+    forms = short.groupBy(F.col("subcategory").alias("display")).agg(F.array_append(F.collect_set(F.when(F.col("ord") % 50 == 0, F.lower("brand"))), F.concat("subcategory", F.lit("s"))).alias("forms"))
+    out = canonical.type_aliases(known, forms, [("", f"type:{t}", t) for t in TYPES])
     return out.select("id", F.array_join("aliases", ",").alias("aliases"))
 
 
+@query(
+    """WITH p AS (SELECT *, CAST(replace(p_brand, 'Brand#', '') AS INTEGER) AS n, p_partkey % 3 = 0 AS old, lower(p_name || ' ' || p_type) AS t FROM part),
+c AS (SELECT *, CASE WHEN old THEN CAST(p_partkey AS VARCHAR) ELSE 'shop:' || substr(sha256('k' || p_partkey), 1, 20) END AS id FROM p
+  WHERE old OR NOT EXISTS (SELECT 1 FROM p o WHERE o.old AND o.p_partkey = p.p_partkey - 1 AND p.p_partkey % 2 = 0))
+SELECT id, p_name AS name, CASE WHEN old THEN 'snapshot' ELSE 'staging' END AS source, old AS immutable, CASE WHEN n <= 20 THEN 'brand:' || n END AS brand_id,
+  CASE WHEN regexp_matches(t, '\\b(ring|old gear)\\b') THEN 'type:ring' WHEN regexp_matches(t, '\\bgear\\b') THEN 'type:gear' WHEN regexp_matches(t, '\\bcold\\b') THEN 'type:cold' END AS product_type_id,
+  CASE WHEN NOT old THEN 'k' || p_partkey END AS source_product_key FROM c"""
+)
+def c04_canonical_union(spark, sf_dir):
+    """A third of the parts as the snapshot, the rest staged; some staged ones have the number of the part before."""
+    n = F.col("p_partkey")
+    sku = F.when((n % 3 != 0) & (n % 2 == 0), n - 1).otherwise(n)
+    nothing = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "part").select(
+        n.cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), nothing.alias("subcategory"),
+        F.when((n % 3 == 0) | (n % 3 == 1), F.concat(F.lit("Sku "), sku.cast("string"))).alias("sku"), F.col("p_retailprice").alias("price"), nothing.alias("url"), nothing.alias("image"), n.alias("ord"),
+    )
+    staged = rows.filter("ord % 3 <> 0").withColumn("source_product_key", F.concat(F.lit("k"), "id")).withColumn("retrieved_at", F.lit("2024-01-01")).withColumn("content_sha256", F.sha2("name", 256)).drop("id")
+    out = canonical.canonical_catalog(rows.filter("ord % 3 = 0"), staged, spark.createDataFrame(_BRANDS, _BRAND_SCHEMA), _TYPE_ALIASES)
+    return out.select("id", "name", "source", "immutable", "brand_id", "product_type_id", "source_product_key")
+
+
 @query(
     f"""WITH {CATALOG}, c AS (SELECT CASE WHEN ord % 4 <> 0 THEN brand_id END AS brand_id, CASE WHEN ord % 5 <> 0 THEN product_type_id END AS product_type_id FROM catalog)
 SELECT count(*) AS products, count(brand_id) AS with_brand, round(100.0 * count(brand_id) / count(*), 2) AS brand_percent,
@@ -250,6 +334,22 @@ def l01_keywords(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(tx.keywords(F.col("text")), " ").alias("words"))
 
 
-@query("SELECT p_partkey, p_name AS n FROM part")
+@query("SELECT p_partkey, 'No1 ' || p_name || ' kg' AS n FROM part")
 def n02_compatibility(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", nfkc(F.col("p_name")).alias("n"))
+    """Names in full-width letters, between a numero sign, a circled digit and a unit sign, come back plain."""
+    wide = F.translate("p_name", _ROMAN + " ", "".join(chr(ord(c) + 0xFEE0) for c in _ROMAN) + "\u3000")
+    return table(spark, sf_dir, "part").select("p_partkey", nfkc(F.concat(F.lit("\u2116\u2460 "), wide, F.lit(" \u338f"))).alias("n"))
+
+
+@query(
+    f"""WITH {_PHRASES}, t AS (SELECT entity_type, count(*) AS wanted, count(*) FILTER (entity_type = 'brand' OR length(entity_id) % 2 = 0) AS present FROM phrases GROUP BY 1)
+SELECT entity_type, CASE WHEN entity_type = 'product_type' THEN 'rebuild' WHEN present >= wanted THEN 'complete' ELSE 'building' END AS status FROM t"""
+)
+def c18_index_status(spark, sf_dir):
+    """A status for each entity type; the model of the product types has changed."""
+    wanted = _phrases(spark, sf_dir)
+    existing = wanted.filter("entity_type = 'brand' OR length(entity_id) % 2 = 0").withColumn("vector", F.array(F.lit(1.0))).withColumn("dimension", F.lit(1))
+    kept, pending = index.reuse_vectors(wanted, existing)
+    counts = kept.select("entity_type", F.lit(1).alias("present")).union(pending.select("entity_type", F.lit(0))).groupBy("entity_type").agg(F.count(F.lit(1)).alias("wanted"), F.sum("present").alias("present"))
+    status = [(r["entity_type"], index.index_status({"model": "a"}, {"model": "b" if r["entity_type"] == "product_type" else "a"}, r["wanted"], r["present"])) for r in counts.collect()]
+    return spark.createDataFrame(status, "entity_type string, status string")

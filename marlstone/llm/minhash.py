@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.buffers import Polynomial, mix, pieces, word_codes, words
 from marlstone.llm.components import components
-from marlstone.llm.shared import discard, few_files, row_hash, table, written
+from marlstone.llm.shared import discard, few_files, row_hash, sieved, table, written
 from marlstone.llm.windows import row_keys
 
 WORDS = 5
@@ -377,7 +377,9 @@ def near_duplicates(df: DataFrame, percent: int = 85, miss: float = MISS, text:
     placed = written(placed.select(F.col("root").alias("key"), "node", "other", "n", "size", "weight", F.col("first").alias("id")), "placed", small=True)
     # A first id of null is looked up as null. The plan is the same at every size: sorted and merged.
     carried = ("key", "node", "n", "size", "weight")
-    fetched = source.join(placed.hint("merge").withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).drop("_id", "id")
+    # Texts outside the clusters stay where they are.
+    wanted = sieved(source, ["id"], placed).filter("__maybe").drop("__maybe")
+    fetched = wanted.join(placed.hint("merge").withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).drop("_id", "id")
 
     def with_sets(batches):
         for batch in batches:
@@ -429,12 +431,15 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(keyed.select(name.alias("row"), "text"), STAGE_PERCENT, key="row").filter("n_shingles > 0")
     marked = found.groupBy("row.k1", "row.k2").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     marked = written(marked.filter("NOT kept OR n > 1").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "kept"), "near-copies", small=True)
-    out = keyed.join(marked.select(*keys), keys, "left_anti").drop(*keys)
+    # rows that no decision touches are not shuffled
+    sorted_out = sieved(keyed, keys, marked)
+    doubtful = sorted_out.filter("__maybe").drop("__maybe")
+    out = sorted_out.filter("NOT __maybe").select(*[f"`{c}`" for c in docs.columns]).union(doubtful.join(marked.select(*keys), keys, "left_anti").select(*[f"`{c}`" for c in docs.columns]))
     equal = marked.filter("kept").select(*keys)
     if equal.isEmpty():
         return out
     # aggregated before it is shuffled, so that no task gets all rows of a group
-    rows = keyed.join(equal, keys).select(*keys, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), row_hash(docs).alias("__h"))
+    rows = doubtful.join(equal, keys).select(*keys, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), row_hash(docs).alias("__h"))
     return out.union(rows.groupBy(*keys).agg(F.min_by("__row", "__h").alias("__row")).select("__row.*"))
 
 

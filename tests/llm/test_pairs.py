@@ -266,3 +266,15 @@ def test_components(spark):
 def test_digests(spark):
     out = suffix_dedup.op3_column_transform(spark, "/root/testdata/sf0.001").first()
     assert len(out["kept_sha256"]) == 64
+
+
+def test_sieve_loses_no_member(spark):
+    from marlstone.llm.shared import sieved
+
+    rows = spark.sql("SELECT IF(id = 0, NULL, id) AS k, id AS v FROM range(2000)")
+    members = rows.filter("v % 7 = 0").select("k")
+    out = sieved(rows, ["k"], members)
+    assert out.columns == ["k", "v", "__maybe"] and out.count() == 2000
+    assert out.filter("v % 7 = 0 AND NOT __maybe").count() == 0
+    assert out.filter("v % 7 <> 0 AND __maybe").count() < 20
+    assert sieved(rows, ["k"], members.limit(0)).filter("__maybe").count() == 0

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.buffers import Polynomial, digests, inner_places, mix, pieces
-from marlstone.llm.shared import discard, written
+from marlstone.llm.shared import discard, met_by_count, written
 from marlstone.llm.windows import row_keys
 
 #: Distinct fragments that a class may bring to a shard; larger ones are halved.
@@ -135,20 +135,19 @@ def sift(docs: DataFrame, read: Reader, length: int, reach: int, gram: int) -> t
     cores with fragments that differ, and whether the core has too many for one shard.
     """
     every = written(anchors(docs, read, length, reach, gram), "anchors")
-    # Counts are written before they are joined: a join of plain exchanges can split a hot core.
-    twice = written(every.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "twice", small=True)
-    held = written(every.join(twice, "core"), "held")
+    twice = written(every.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice", small=True)
+    held = written(met_by_count(every, twice, ["core"], "n").drop("n"), "held")
     discard(every)
     counted = written(held.groupBy(*_FRAGMENT).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "at")).alias("place")), "fragments")
-    settled = held.join(counted.filter("times > 1").select(*_FRAGMENT), _FRAGMENT, "left_semi").select("k1", "k2", "at", "least", "most")
-    open_ = counted.join(_varied(counted), "core").select("core", "place.*", "least", "most", "times", "hot")
+    settled = met_by_count(held, counted.filter("times > 1").select(*_FRAGMENT, "times"), _FRAGMENT, "times").select("k1", "k2", "at", "least", "most")
+    open_ = met_by_count(counted, _varied(counted), ["core"], "n").select("core", "place.*", "least", "most", "times", "hot")
     return settled, open_
 
 
 def _varied(counted: DataFrame) -> DataFrame:
-    """(core, hot): cores with more than one distinct fragment, and whether they have too many."""
+    """(core, n, hot): cores with more than one distinct fragment, and whether they have too many."""
     sizes = counted.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return written(sizes.select("core", (F.col("n") > CLASS_ROWS).alias("hot")), "varied", small=True)
+    return written(sizes.select("core", "n", (F.col("n") > CLASS_ROWS).alias("hot")), "varied", small=True)
 
 
 _PIECES = "core long, k1 long, k2 long, at int, least int, most int, times long, hot boolean, piece binary"
@@ -262,10 +261,10 @@ def by_halves(fetched: DataFrame, read: Reader, index: Callable, length: int, re
     hot = fetched.filter("hot").withColumn("low", F.lit(0)).withColumn("high", F.lit(reach - 1))
     while not hot.isEmpty():
         halves = written(halved(hot, read, length), "halves")
-        counted = written(halves.groupBy(*_FRAGMENT).agg(F.sum("times").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("place")), "half-fragments")
-        again = halves.join(counted.filter("n > 1").select(*_FRAGMENT), _FRAGMENT, "left_semi")
+        counted = written(halves.groupBy(*_FRAGMENT).agg(F.count(F.lit(1)).alias("rows"), F.sum("times").alias("total"), F.min(F.struct("k1", "k2", "at")).alias("place")), "half-fragments")
+        again = met_by_count(halves, counted.filter("total > 1").select(*_FRAGMENT, "rows"), _FRAGMENT, "rows")
         out.append(again.select("k1", "k2", (F.col("at") - F.col("most")).alias("begin"), (F.col("at") - F.col("least") + length).alias("end")))
-        one = counted.join(_varied(counted), "core").select(*_FRAGMENT, "place.*", F.col("n").alias("times"), "hot")
+        one = met_by_count(counted, _varied(counted), ["core"], "n").select(*_FRAGMENT, "place.*", F.col("total").alias("times"), "hot")
         level = written(halves.drop("times").join(one, [*_FRAGMENT, "k1", "k2", "at"]), "half-pieces")
         out.append(by_shards(level, index, length))
         hot = level.filter("hot")

@@ -80,6 +80,24 @@ def sieved(df: DataFrame, keys: list[str], members: DataFrame) -> DataFrame:
     return met.withColumn("__maybe", F.coalesce(F.getbit("__bits", "__bit") == 1, F.lit(False))).drop("__word", "__bit", "__bits")
 
 
+#: Keys that :func:`met_by_count` calls hot: those with more than one in so many of all rows.
+HOT_KEYS = 1 << 16
+
+
+def met_by_count(rows: DataFrame, counts: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` joined with ``counts``, which has each of its ``keys`` once and in ``size`` how many
+    rows bear them. ``rows`` is a written table: it is counted and read twice.
+
+    Keys with more than one in ``HOT_KEYS`` of the rows are fewer than ``HOT_KEYS``, however many
+    rows there are: they are broadcast, and their rows stay where they are. The others are joined by
+    shuffle, in which no key brings a task more than that share.
+    """
+    hot = F.col(size) * HOT_KEYS > rows.count()
+    often = rows.join(F.broadcast(counts.filter(hot)), keys)
+    seldom = rows.join(F.broadcast(counts.filter(hot).select(*keys)), keys, "left_anti").join(counts.filter(~hot), keys)
+    return often.unionByName(seldom)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of finished steps."""
     spark._jvm.System.gc()

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from marlstone.llm import anchors, minhash, substring_dedup, suffix_dedup
+from marlstone.llm import anchors, minhash, shared, substring_dedup, suffix_dedup
 from marlstone.llm.components import components
 
 SCHEMA = "doc_id long, text string, spans int, kept int"
@@ -51,6 +51,7 @@ def texts(seed, pieces, n=120):
 @pytest.mark.parametrize(("length", "class_rows"), [(40, 1024), (9, 1024), (24, 3)])
 def test_byte_repeats(spark, monkeypatch, length, class_rows):
     monkeypatch.setattr(anchors, "CLASS_ROWS", class_rows)
+    monkeypatch.setattr(shared, "HOT_KEYS", class_rows * 4)  # few hot keys, or none that is not
     rows = [(i, t, 0, 0) for i, t in enumerate(texts(1, ["a", "b", "é", "cd", " "]))]
     rows += [(3, rows[3][1], 0, 0), (None, rows[0][1], 0, 0)]
     raw = [(r[1] or "").encode() for r in rows]
@@ -278,3 +279,14 @@ def test_sieve_loses_no_member(spark):
     assert out.filter("v % 7 = 0 AND NOT __maybe").count() == 0
     assert out.filter("v % 7 <> 0 AND __maybe").count() < 20
     assert sieved(rows, ["k"], members.limit(0)).filter("__maybe").count() == 0
+
+
+@pytest.mark.parametrize("hot_keys", [1, 4, 1 << 16])
+def test_hot_keys_lose_no_row(spark, monkeypatch, hot_keys):
+    monkeypatch.setattr(shared, "HOT_KEYS", hot_keys)
+    rows = [(k, i) for i, k in enumerate([1] * 300 + [2] * 200 + [3] * 40 + list(range(4, 60)))]
+    table = shared.written(spark.createDataFrame(rows, "k int, i int"), "rows")
+    counts = shared.written(table.groupBy("k").count().filter("k % 5 <> 2"), "counts")
+    got = shared.met_by_count(table, counts, ["k"], "count")
+    assert sorted((r["k"], r["i"]) for r in got.collect()) == sorted(r for r in rows if r[0] % 5 != 2)
+    assert shared.met_by_count(table.limit(0), counts, ["k"], "count").count() == 0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.anchors import Symbols, gaps, keyed_texts, repeated_spans
-from marlstone.llm.buffers import Polynomial, inner_places, word_codes, words
+from marlstone.llm.buffers import Polynomial, inner_places, runs_of_bytes, word_codes, words
 from marlstone.llm.shared import few_files, space_words, table
 from marlstone.llm.windows import row_keys
 
@@ -104,9 +104,10 @@ def word_numbers(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     known, first, ids = np.unique(word_codes(buffer, starts, ends), return_index=True, return_inverse=True)
     size, model = ends - starts, first[ids]
     same = (size == size[model]).all()
-    if same:
-        inner = inner_places(size)
-        same = (buffer[inner + np.repeat(starts, size)] == buffer[inner + np.repeat(starts[model], size)]).all()
+    for run in runs_of_bytes(size) if same else ():
+        inner = inner_places(size[run])
+        here, there = (np.repeat(x[run], size[run]) for x in (starts, starts[model]))
+        same = same and (buffer[inner + here] == buffer[inner + there]).all()
     if same:
         return ids.astype(np.int64) + 1, len(known) + 1
     raw, numbers = buffer.tobytes(), {}

@@ -1,12 +1,13 @@
 """Repeats, near-duplicates and components against brute force on small fixtures."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from marlstone.llm import anchors, minhash, shared, substring_dedup, suffix_dedup
+from marlstone.llm import anchors, buffers, minhash, shared, substring_dedup, suffix_dedup
 from marlstone.llm.components import components
 
 SCHEMA = "doc_id long, text string, spans int, kept int"
@@ -98,6 +99,40 @@ def test_equal_codes_of_unequal_words(monkeypatch):
     assert ids.tolist() == [1, 2, 1, 3] and sigma == 4
 
 
+@pytest.mark.parametrize(("piece", "most"), [("x", 500 + 64), ("long " * 100, 100)])
+def test_shards_are_bounded(spark, monkeypatch, piece, most):
+    """By rows and by bytes, however many rows come in one batch; every fragment is in one shard."""
+    monkeypatch.setattr(anchors, "CLASS_ROWS", 64)
+    monkeypatch.setattr(anchors, "SHARD_ROWS", 500)
+    monkeypatch.setattr(anchors, "SHARD_BYTES", 20_000, raising=False)
+
+    def index(pieces, core, least, most_x, times):
+        assert len(pieces) <= most, f"{len(pieces)} fragments in a shard"
+        return np.ones((len(pieces), 1), bool)
+
+    rows = [(i // 2, i, i, 0, 0, 0, 1, False, piece.encode()) for i in range(6000)]
+    out = anchors.by_shards(spark.createDataFrame(rows, anchors._PIECES).coalesce(1), index, 3).collect()
+    assert sorted(r["k1"] for r in out) == list(range(6000)) and all((r["begin"], r["end"]) == (0, 3) for r in out)
+
+
+def test_word_numbers_take_a_bounded_multiple(monkeypatch):
+    """Places inside words are made for some of the bytes at a time, with the same numbers."""
+    rng = np.random.default_rng(5)
+    raw = b" ".join(b"%x" % x for x in (rng.integers(0, 1 << 40, 20_000) ** 3 % (1 << 62)).tolist() * 20)
+    buffer = np.frombuffer(raw, np.uint8)
+    starts, ends, _ = buffers.words(buffer, np.array([0, len(buffer)]))
+    tracemalloc.start()
+    ids, sigma = substring_dedup.word_numbers(buffer, starts, ends)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 * len(buffer), f"{most / len(buffer):.0f} bytes for one"
+    assert sigma == len(set(raw.split())) + 1 and (ids.reshape(20, -1) == ids[:20_000]).all()
+    codes = buffers.word_codes(buffer, starts, ends)
+    for most in (1, 7, 1000):
+        monkeypatch.setattr(buffers.runs_of_bytes, "__defaults__", (most,))
+        assert (buffers.word_codes(buffer, starts[:900], ends[:900]) == codes[:900]).all()
+
+
 @pytest.mark.parametrize("class_rows", [1024, 2])
 def test_production_lengths(spark, monkeypatch, class_rows):
     """400 bytes and 35 words over whole documents, with and without halved classes."""
